@@ -103,7 +103,7 @@ def read_written(value: str, dmy: bool) -> tuple[int, int | None] | None:
     return whole * 1_000_000 + int(part.get("frac", "0").ljust(6, "0")[:6]), offset
 
 
-@F.pandas_udf(T.StructType().add("local_us", "long").add("offset_s", "int"))
+@F.pandas_udf(T.StructType().add("local_us", "long").add("offset_s", "integer"))
 def parse_written(value: pd.Series, day_order: pd.Series) -> pd.DataFrame:
     """Struct (local_us, offset_s) of a written date; both null if it can't be read, offset null if it names no zone.
 
