@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import charform, leakage, newtext, packing, spans, terms
+from threadloom.llm import charform, leakage, newtext, packing, sanitise, spans, terms
 from threadloom.session import table
 
 
@@ -16,6 +16,18 @@ def p2_frequencies(spark, d):
     return terms.tag_frequencies(table(spark, d, "labels"), table(spark, d, "usefulness_tally"))
 
 
+def _personal_fields(spark, d):
+    return sanitise.text_fields(table(spark, d, "inquiries"), table(spark, d, "agent_outputs"))
+
+
+def p4_found(spark, d):
+    return sanitise.personal_items(_personal_fields(spark, d), table(spark, d, "allow_terms")).select("field_name", "record_id", "kind", "surface").distinct()
+
+
+def p4_sanitised(spark, d):
+    return sanitise.sanitised(_personal_fields(spark, d), table(spark, d, "allow_terms"))
+
+
 def _fields(spark, d):
     return charform.text_fields(table(spark, d, "inquiries"), table(spark, d, "agent_outputs"))
 
@@ -61,7 +73,7 @@ def p9_share(spark, d):
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_removal, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_removal, p9_found, p9_share)}
 
 _TERM = "regexp_replace(lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g')"
 _TAG_SQL = f"""
