@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import charform, leakage, newtext, packing, sanitise, spans, terms
+from threadloom.llm import charform, language, leakage, newtext, packing, sanitise, spans, terms
 from threadloom.session import table
 
 
@@ -16,6 +16,19 @@ def p2_frequencies(spark, d):
     return terms.tag_frequencies(table(spark, d, "labels"), table(spark, d, "usefulness_tally"))
 
 
+def _language(spark, d):
+    return language.language_findings(table(spark, d, "inquiries"), table(spark, d, "labels"), table(spark, d, "documents"))
+
+
+def p3_found(spark, d):
+    return _language(spark, d).select("inquiry_id", "message_no", "lang").distinct()
+
+
+def p3_languages(spark, d):
+    model = language.fit_discriminator(language.labelled_sample(table(spark, d, "documents")))
+    return language.thread_languages(table(spark, d, "inquiries"), model)
+
+
 def _personal_fields(spark, d):
     return sanitise.text_fields(table(spark, d, "inquiries"), table(spark, d, "agent_outputs"))
 
@@ -73,7 +86,7 @@ def p9_share(spark, d):
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_removal, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p3_languages, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_removal, p9_found, p9_share)}
 
 _TERM = "regexp_replace(lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g')"
 _TAG_SQL = f"""
