@@ -2,18 +2,393 @@
 
 from __future__ import annotations
 
-from threadloom.operators import timestamps
-from threadloom.session import table
+from pyspark.sql import functions as F
 
+from threadloom import schema
+from threadloom.functions import checks, cleaning, patterns
+from threadloom.operators import evaluation, labels, redaction, tally, termscan, threads, timestamps
+from threadloom.session import table, spread
+from threadloom.sources import readers, writers
 
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+_LABEL_COLUMNS = ["label_id", "inquiry_id", "language", "qualification_decision", "outcome", "edge_case_flag", "edge_case_reason", "labeled_at"]
+
+
+def query(sql: str | None = None):
+    """Register a query by its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+_LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY inquiry_id ORDER BY labeled_at DESC, label_id DESC) AS rn FROM labels) WHERE rn = 1)"
+_KNOWN = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY inquiry_id ORDER BY labeled_at DESC, label_id DESC) AS rn FROM labels WHERE inquiry_id IN (SELECT inquiry_id FROM inquiries)) WHERE rn = 1)"
+_COLS = ", ".join(_LABEL_COLUMNS)
+_GRADEABLE = f"(SELECT * FROM {_KNOWN} WHERE COALESCE(edge_case_reason, '') NOT ILIKE 'EXCLUDE_FROM_EVAL%')"
+
+
+@query()
 def p1_found(spark, d):
     dates = timestamps.normalise_dates(table(spark, d, "inquiries"), table(spark, d, "mailboxes"))
     return dates.where("utc_micros is not null").select("inquiry_id", "field_name", "utc_micros").distinct()
 
 
+@query()
 def p1_resolution(spark, d):
     return timestamps.normalise_dates(table(spark, d, "inquiries"), table(spark, d, "mailboxes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_resolution)}
-ORACLE: dict[str, str] = {}
+@query(f"SELECT {_COLS} FROM {_LATEST}")
+def latest_labels(spark, d):
+    return labels.latest_labels(table(spark, d, "labels").select(_LABEL_COLUMNS))
+
+
+@query("SELECT label_id, inquiry_id, labeled_at FROM labels l WHERE labeled_at = (SELECT max(labeled_at) FROM labels m WHERE m.inquiry_id = l.inquiry_id)")
+def latest_label_ties(spark, d):
+    return labels.latest_with_ties(table(spark, d, "labels").select("label_id", "inquiry_id", "labeled_at"), "inquiry_id", "labeled_at")
+
+
+@query(f"SELECT {_COLS} FROM {_GRADEABLE}")
+def gradeable_labels(spark, d):
+    return labels.gradeable(table(spark, d, "labels").select(_LABEL_COLUMNS), table(spark, d, "inquiries"))
+
+
+@query(f"SELECT {_COLS} FROM {_GRADEABLE} WHERE edge_case_flag = 0")
+def clean_inbound_labels(spark, d):
+    return labels.clean_inbounds(table(spark, d, "labels").select(_LABEL_COLUMNS), table(spark, d, "inquiries"))
+
+
+@query("SELECT inquiry_id, ingested_at FROM inquiries i WHERE redaction_status = 'verified' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.inquiry_id = i.inquiry_id)")
+def unlabelled_queue(spark, d):
+    return labels.unlabelled(table(spark, d, "inquiries"), table(spark, d, "labels")).select("inquiry_id", "ingested_at")
+
+
+@query(
+    "SELECT inquiry_id, ingested_at FROM inquiries i WHERE redaction_status = 'verified' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.inquiry_id = i.inquiry_id) ORDER BY ingested_at, inquiry_id LIMIT 1"
+)
+def next_unlabelled(spark, d):
+    return unlabelled_queue(spark, d).orderBy("ingested_at", "inquiry_id").limit(1)
+
+
+@query("SELECT label_id, inquiry_id FROM labels WHERE inquiry_id NOT IN (SELECT inquiry_id FROM inquiries)")
+def orphan_labels(spark, d):
+    return labels.orphans(table(spark, d, "labels").select("label_id", "inquiry_id"), table(spark, d, "inquiries"))
+
+
+@query("SELECT output_id, inquiry_id FROM agent_outputs WHERE inquiry_id NOT IN (SELECT inquiry_id FROM inquiries)")
+def orphan_outputs(spark, d):
+    return labels.orphans(table(spark, d, "agent_outputs").select("output_id", "inquiry_id"), table(spark, d, "inquiries"))
+
+
+@query("SELECT label_id, inquiry_id, labeled_at FROM labels WHERE inquiry_id IN (SELECT inquiry_id FROM labels GROUP BY inquiry_id HAVING count(*) > 1)")
+def relabelled_rows(spark, d):
+    return labels.relabelled(table(spark, d, "labels").select("label_id", "inquiry_id", "labeled_at"))
+
+
+@query(
+    "SELECT (SELECT count(*) FROM inquiries) AS n_inquiries, (SELECT count(*) FROM inquiries WHERE redaction_status = 'flagged') AS n_flagged, "
+    "(SELECT count(*) FROM inquiries WHERE redaction_status = 'verified') AS n_verified, (SELECT count(*) FROM labels) AS n_labels, (SELECT count(DISTINCT inquiry_id) FROM labels) AS n_labelled"
+)
+def store_counts(spark, d):
+    status = lambda s: F.count(F.when(F.col("redaction_status") == s, 1))
+    a = table(spark, d, "inquiries").agg(F.count("*").alias("n_inquiries"), status("flagged").alias("n_flagged"), status("verified").alias("n_verified"))
+    b = table(spark, d, "labels").agg(F.count("*").alias("n_labels"), F.count_distinct("inquiry_id").alias("n_labelled"))
+    return a.join(F.broadcast(b), on=F.lit(True), how="inner")
+
+
+@query("SELECT redaction_status AS value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM inquiries GROUP BY 1")
+def status_distribution(spark, d):
+    return labels.distribution(table(spark, d, "inquiries"), "redaction_status")
+
+
+@query(f"SELECT outcome AS value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM {_LATEST} GROUP BY 1")
+def outcome_distribution(spark, d):
+    return labels.distribution(labels.latest_labels(table(spark, d, "labels").select("inquiry_id", "labeled_at", "label_id", "outcome")), "outcome")
+
+
+@query(
+    f"SELECT CASE WHEN grouping(inquiry_type) = 0 THEN 'inquiry_type' WHEN grouping(qualification_decision) = 0 THEN 'qualification_decision' ELSE 'all' END AS dimension, "
+    f"COALESCE(inquiry_type, qualification_decision) AS value, count(*) AS n FROM {_GRADEABLE} GROUP BY GROUPING SETS ((), (inquiry_type), (qualification_decision))"
+)
+def gradeable_summary(spark, d):
+    rows = table(spark, d, "labels").select("inquiry_id", "labeled_at", "label_id", "inquiry_type", "qualification_decision", "edge_case_reason")
+    return labels.summary_sets(labels.gradeable(rows, table(spark, d, "inquiries")), "inquiry_type", "qualification_decision")
+
+
+@query(
+    "SELECT label_id, column_name, value FROM (UNPIVOT (SELECT label_id, edge_case_reason, decision_reasoning, friction_points, response_sent FROM labels) "
+    "ON edge_case_reason, decision_reasoning, friction_points, response_sent INTO NAME column_name VALUE value) WHERE value ILIKE '%EXCLUDE%'"
+)
+def exclusion_search(spark, d):
+    return labels.search_columns(table(spark, d, "labels"), "label_id", ["edge_case_reason", "decision_reasoning", "friction_points", "response_sent"], "EXCLUDE")
+
+
+@query(
+    f"SELECT (SELECT max(label_id) FROM labels) + row_number() OVER (ORDER BY inquiry_id) AS label_id, inquiry_id, 'mixed' AS language, qualification_decision, '2026-06-30T00:00:00+00:00' AS labeled_at, 'batch_fix' AS batch_id "
+    f"FROM {_LATEST} WHERE COALESCE(language, '') IN ('', 'und') AND inquiry_id NOT IN (SELECT inquiry_id FROM labels WHERE batch_id = 'batch_fix')"
+)
+def relabel_copy_forward(spark, d):
+    odd = F.coalesce("language", F.lit("")).isin("", "und")
+    rows = labels.copy_forward(table(spark, d, "labels"), {"language": F.lit("mixed")}, odd, "2026-06-30T00:00:00+00:00", "fixer", "batch_fix")
+    return rows.select("label_id", "inquiry_id", "language", "qualification_decision", "labeled_at", "batch_id")
+
+
+_DOMAIN_SQL = " UNION ALL ".join(
+    f"SELECT label_id, '{c} not allowed' AS rule, {c} AS value FROM labels WHERE {c} IS NOT NULL AND {c} NOT IN ({', '.join(repr(v) for v in vs)})"
+    for c, vs in schema.DOMAINS.items()
+    if c in {f.name for f in schema.LABELS.fields}
+)
+_NULL_SQL = " UNION ALL ".join(f"SELECT label_id, '{f.name} is null', NULL FROM labels WHERE {f.name} IS NULL" for f in schema.LABELS.fields if not f.nullable)
+
+
+@query(f"{_DOMAIN_SQL} UNION ALL {_NULL_SQL} UNION ALL SELECT label_id, 'edge_case_reason missing', CAST(edge_case_flag AS VARCHAR) FROM labels WHERE edge_case_flag <> 0 AND edge_case_reason IS NULL")
+def label_violations(spark, d):
+    return schema.broken_rules(table(spark, d, "labels"), schema.LABELS, "label_id")
+
+
+def _pairs(spark, d):
+    return evaluation.prediction_pairs(table(spark, d, "labels"), table(spark, d, "inquiries"), table(spark, d, "agent_outputs"))
+
+
+_ALIAS = "CASE lower(trim({c})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in schema.STATUS_ALIASES.items()) + " END"
+_PAIRS = f"""
+    (SELECT inquiry_id, agent_version, truth, pred FROM
+        (SELECT inquiry_id, {_ALIAS.format(c='qualification_decision')} AS truth FROM {_GRADEABLE}) t JOIN
+        (SELECT inquiry_id, agent_version, COALESCE({_ALIAS.format(c='qualification_decision')}, 'ERROR') AS pred FROM
+            (SELECT *, row_number() OVER (PARTITION BY inquiry_id ORDER BY created_at DESC, output_id DESC) AS r FROM agent_outputs) WHERE r = 1) p USING (inquiry_id)
+     WHERE truth IS NOT NULL)"""
+_CLASSES = f"(SELECT truth AS class FROM {_PAIRS} UNION SELECT pred FROM {_PAIRS})"
+
+
+@query(f"SELECT inquiry_id, agent_version, truth, pred FROM {_PAIRS}")
+def prediction_pairs(spark, d):
+    return _pairs(spark, d)
+
+
+@query(f"SELECT a.class AS truth, b.class AS pred, count(p.inquiry_id) AS n FROM {_CLASSES} a CROSS JOIN {_CLASSES} b LEFT JOIN {_PAIRS} p ON p.truth = a.class AND p.pred = b.class GROUP BY 1, 2")
+def confusion_long(spark, d):
+    return evaluation.confusion_long(_pairs(spark, d))
+
+
+@query(f"SELECT truth, {', '.join(f'count(*) FILTER (pred = {v!r}) AS {v}' for v in (*schema.DOMAINS['qualification_decision'], 'ERROR'))} FROM {_PAIRS} GROUP BY 1")
+def confusion_matrix(spark, d):
+    return evaluation.confusion_matrix(_pairs(spark, d), [*schema.DOMAINS["qualification_decision"], evaluation.ERROR])
+
+
+@query(
+    f"SELECT class, tp, fp, fn, tp + fn AS support, COALESCE(tp / NULLIF(tp + fp, 0), 0.0)::DOUBLE AS precision, COALESCE(tp / NULLIF(tp + fn, 0), 0.0)::DOUBLE AS recall, COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0)::DOUBLE AS f1 FROM "
+    f"(SELECT class, count(*) FILTER (truth = class AND pred = class) AS tp, count(*) FILTER (pred = class AND truth <> class) AS fp, count(*) FILTER (truth = class AND pred <> class) AS fn FROM {_CLASSES} JOIN {_PAIRS} ON truth = class OR pred = class GROUP BY class)"
+)
+def class_metrics(spark, d):
+    return evaluation.class_metrics(_pairs(spark, d))
+
+
+@query(f"SELECT agent_version, count(*) AS n, count(*) FILTER (truth = pred) AS n_correct, count(*) FILTER (truth = pred) / count(*) AS accuracy, CASE WHEN count(*) >= 100 THEN 'GATING' ELSE 'DIAGNOSTIC' END AS gating FROM {_PAIRS} GROUP BY 1")
+def accuracy_by_version(spark, d):
+    return evaluation.accuracy(_pairs(spark, d), "agent_version")
+
+
+@query(f"SELECT count(*) AS n, count(*) AS n_correct, 1.0::DOUBLE AS accuracy, CASE WHEN count(*) >= 100 THEN 'GATING' ELSE 'DIAGNOSTIC' END AS gating FROM {_PAIRS}")
+def oracle_stub_accuracy(spark, d):
+    return evaluation.accuracy(evaluation.oracle_pairs(_pairs(spark, d)))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (truth = 'declined') AS n_correct, count(*) FILTER (truth = 'declined') / count(*) AS accuracy, CASE WHEN count(*) >= 100 THEN 'GATING' ELSE 'DIAGNOSTIC' END AS gating FROM {_PAIRS}")
+def fixed_stub_accuracy(spark, d):
+    return evaluation.accuracy(evaluation.fixed_pairs(_pairs(spark, d), "declined"))
+
+
+@query()
+def random_stub_metrics(spark, d):
+    return evaluation.class_metrics(evaluation.random_pairs(_pairs(spark, d), list(schema.DOMAINS["qualification_decision"])))
+
+
+@query(
+    "SELECT inquiry_id, len(regexp_extract_all(t, '(?m)^## Message \\d+')) AS n_messages, s[1] AS first_sender, e[1] AS first_date, e[-1] AS last_date, len(list_filter(s, lambda x: contains(lower(x), 'corvanne'))) > 0 AS house_replied FROM "
+    "(SELECT inquiry_id, thread_text_redacted AS t, regexp_extract_all(thread_text_redacted, '(?m)^\\*\\*From:\\*\\* ?([^\\r\\n]*)', 1) AS s, regexp_extract_all(thread_text_redacted, '(?m)^\\*\\*Date:\\*\\* ?([^\\r\\n]*)', 1) AS e FROM inquiries)"
+)
+def thread_summary(spark, d):
+    return threads.thread_summary(table(spark, d, "inquiries"))
+
+
+@query()
+def thread_messages(spark, d):
+    return threads.messages(table(spark, d, "inquiries"))
+
+
+@query()
+def first_message_bodies(spark, d):
+    return table(spark, d, "inquiries").select("inquiry_id", threads.first_message_body(F.col("thread_text_redacted")).alias("body"))
+
+
+@query("SELECT inquiry_id, trim(regexp_extract(substring(thread_text_redacted, 1, 250), '\\*\\*From:\\*\\*([^\\r\\n]*)', 1)) AS sender FROM inquiries")
+def first_senders(spark, d):
+    return table(spark, d, "inquiries").select("inquiry_id", threads.sender_line(F.col("thread_text_redacted")).alias("sender"))
+
+
+@query(
+    "SELECT format, count(*) AS n FROM (SELECT CASE WHEN starts_with(r, '\"') AND contains(r, '<') THEN 'quoted_bracket' WHEN starts_with(r, '\"') THEN 'quoted' WHEN contains(r, '<') THEN 'bare_bracket' WHEN contains(r, '{email}') THEN 'bare_token' ELSE 'bare' END AS format "
+    "FROM (SELECT trim(unnest(regexp_extract_all(thread_text_redacted, '(?m)^\\*\\*From:\\*\\*([^\\r\\n]*)', 1))) AS r FROM inquiries)) GROUP BY 1"
+)
+def sender_formats(spark, d):
+    lines = table(spark, d, "inquiries").select(F.explode(F.regexp_extract_all("thread_text_redacted", F.lit(r"(?m)^\*\*From:\*\*([^\r\n]*)"), F.lit(1))).alias("r"))
+    return lines.select(checks.from_line_format(F.trim("r")).alias("format")).groupBy("format").agg(F.count("*").alias("n"))
+
+
+@query()
+def sender_leaks(spark, d):
+    return redaction.sender_leaks(table(spark, d, "inquiries"), redaction.allow_list(table(spark, d, "allow_terms")))
+
+
+@query()
+def redacted_threads(spark, d):
+    rows = spread(table(spark, d, "inquiries").select("inquiry_id", "thread_text_redacted"), "inquiry_id")
+    return redaction.redact_threads(rows, "thread_text_redacted", redaction.allow_list(table(spark, d, "allow_terms"))).select("inquiry_id", "safe_text", "redaction_status", F.size("findings").alias("n_findings"))
+
+
+@query("SELECT output_id, regexp_replace(response_draft, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '{email}', 'g') AS text FROM agent_outputs")
+def draft_emails_redacted(spark, d):
+    return table(spark, d, "agent_outputs").select("output_id", patterns.redact_patterns(F.col("response_draft"), ("email",)).alias("text"))
+
+
+@query()
+def draft_patterns_redacted(spark, d):
+    return table(spark, d, "agent_outputs").select("output_id", patterns.redact_patterns(F.col("response_draft")).alias("text"))
+
+
+@query(
+    "SELECT kind, count(*) AS n, sum(n_chars) AS n_chars FROM (SELECT f->>'kind' AS kind, CAST(f->'match_span'->1 AS INT) - CAST(f->'match_span'->0 AS INT) AS n_chars FROM (SELECT unnest(CAST(redaction_findings AS JSON[])) AS f FROM inquiries WHERE redaction_findings IS NOT NULL AND json_valid(redaction_findings))) GROUP BY 1"
+)
+def stored_finding_counts(spark, d):
+    return redaction.stored_findings(table(spark, d, "inquiries")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+_RE2_EMOJI = checks.EMOJI
+
+
+@query(
+    f"SELECT output_id, len(regexp_extract_all(response_draft, '—')) AS n_em_dash, len(regexp_extract_all(response_draft, '–')) AS n_en_dash, len(regexp_extract_all(response_draft, '--')) AS n_double_hyphen, len(regexp_extract_all(response_draft, '{_RE2_EMOJI}')) AS n_emoji, "
+    f"len(regexp_extract_all(response_draft, '—')) = 0 AND len(regexp_extract_all(response_draft, '{_RE2_EMOJI}')) = 0 AS passed FROM agent_outputs"
+)
+def draft_typography(spark, d):
+    return table(spark, d, "agent_outputs").select("output_id", *checks.dashes_and_emoji(F.col("response_draft")))
+
+
+@query(
+    "SELECT output_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n_emails, len(regexp_extract_all(t, '(?:\\+?1[\\s.\\-]?)?(?:\\(\\d{3}\\)|\\d{3})[\\s.\\-]?\\d{3}[\\s.\\-]?\\d{4}')) AS n_phones "
+    "FROM (SELECT output_id, regexp_replace(response_draft, '(?i)\\{[a-z_]+\\}', '', 'g') AS t FROM agent_outputs)"
+)
+def draft_leaks(spark, d):
+    return table(spark, d, "agent_outputs").select("output_id", *checks.leak_counts(F.col("response_draft")))
+
+
+@query(
+    f"SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(response_draft, '(?i)\\{{[a-z_]+\\}}', '', 'g'), '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_])([A-Z][a-z]{{2,}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1))) AS word FROM agent_outputs) WHERE word NOT IN ({', '.join(repr(w) for w in checks.EXPECTED_WORDS)}) GROUP BY 1"
+)
+def draft_name_shaped_words(spark, d):
+    return table(spark, d, "agent_outputs").select(F.explode(checks.name_shaped_words(F.col("response_draft"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(" UNION ALL ".join(f"SELECT inquiry_id, '{k}' AS carrier FROM inquiries WHERE regexp_matches(thread_text_redacted, '{p}')" for k, p in checks.CARRIERS.items()))
+def body_artifacts(spark, d):
+    return table(spark, d, "inquiries").select("inquiry_id", F.explode(checks.carriers(F.col("thread_text_redacted"))).alias("carrier"))
+
+
+@query(
+    "SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(thread_text_redacted, '{p}')) = 0 AS {k}_passed" for k, p in checks.CARRIERS.items()) + " FROM inquiries"
+)
+def artifact_bars(spark, d):
+    return table(spark, d, "inquiries").agg(*[(F.count_if(F.col("thread_text_redacted").rlike(p)) == 0).alias(f"{k}_passed") for k, p in checks.CARRIERS.items()])
+
+
+@query(" UNION ALL ".join(f"SELECT inquiry_id, '{p.replace(chr(39), chr(39) * 2)}' AS phrase FROM inquiries WHERE contains(lower(thread_text_redacted), '{p.replace(chr(39), chr(39) * 2)}')" for p in checks.TALK_BACK))
+def talk_back(spark, d):
+    return table(spark, d, "inquiries").select("inquiry_id", F.explode(checks.talk_back_phrases(F.col("thread_text_redacted"))).alias("phrase"))
+
+
+@query(
+    "SELECT damage, count(*) AS n FROM (SELECT CASE WHEN NOT contains(thread_text_redacted, '## Message') THEN 'no_header' WHEN "
+    + " OR ".join(f"contains(lower(split_part(thread_text_redacted, '## Message', 1)), '{p.replace(chr(39), chr(39) * 2)}')" for p in checks.TALK_BACK_AT_START)
+    + " THEN 'talk_back' ELSE 'ok' END AS damage FROM inquiries) GROUP BY 1"
+)
+def thread_damage(spark, d):
+    return table(spark, d, "inquiries").select(checks.thread_damage(F.col("thread_text_redacted")).alias("damage")).groupBy("damage").agg(F.count("*").alias("n"))
+
+
+_SOURCE, _SCORE = "lower(trim(source))", "lower(trim(score))"
+
+
+@query(
+    f"SELECT s.source, count(t.s) AS n, count(*) FILTER (sc = 'advances') AS n_advances, count(*) FILTER (sc = 'salvageable') AS n_salvageable, count(*) FILTER (sc = 'stalls') AS n_stalls, count(*) FILTER (sc IN ('advances', 'salvageable')) AS n_saved, "
+    f"COALESCE(round(100.0 * count(*) FILTER (sc IN ('advances', 'salvageable')) / NULLIF(count(t.s), 0), 4), 0.0)::DOUBLE AS pct_saved FROM (VALUES ('cold'), ('recall')) s(source) LEFT JOIN (SELECT {_SOURCE} AS s, {_SCORE} AS sc FROM usefulness_tally) t ON t.s = s.source GROUP BY 1"
+)
+def usefulness_rollup(spark, d):
+    return tally.rollup(table(spark, d, "usefulness_tally"))
+
+
+@query(
+    f"SELECT COALESCE(refused, 'accepted') AS verdict, count(*) AS n FROM (SELECT CASE WHEN {_SOURCE} IS NULL OR {_SOURCE} NOT IN ('cold', 'recall') THEN 'source' WHEN {_SCORE} IS NULL OR {_SCORE} NOT IN ('advances', 'salvageable', 'stalls') THEN 'score' WHEN COALESCE(trim(why), '') = '' THEN 'why' END AS refused FROM usefulness_tally) GROUP BY 1"
+)
+def tally_verdicts(spark, d):
+    return tally.canonical(table(spark, d, "usefulness_tally")).groupBy(F.coalesce("refused", F.lit("accepted")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'live-' || (COALESCE(max(TRY_CAST(regexp_extract(inquiry_id, '^live-(\\d+)$', 1) AS BIGINT)), 0) + 1) AS next_id FROM usefulness_tally")
+def next_live_id(spark, d):
+    return tally.next_live_id(table(spark, d, "usefulness_tally"))
+
+
+@query()
+def allow_term_hits(spark, d):
+    terms = table(spark, d, "allow_terms").select("kind", F.col("entry").alias("term"))
+    return termscan.term_hits(table(spark, d, "agent_outputs"), "output_id", "response_draft", terms)
+
+
+@query()
+def allow_term_hit_counts(spark, d):
+    return termscan.hit_counts(allow_term_hits(spark, d), "kind", "term")
+
+
+@query()
+def sender_names(spark, d):
+    allowed = [r[0] for r in table(spark, d, "allow_terms").select("entry").collect()]
+    return termscan.sender_names(table(spark, d, "inquiries"), "thread_text_redacted", allowed)
+
+
+@query()
+def sender_name_tokens(spark, d):
+    names = sender_names(spark, d)
+    none = spark.createDataFrame([], "name string, email string, phone string")
+    return termscan.stable_tokens(termscan.variants(names, none.select("email"), none.select("phone"), none.select("name"), []))
+
+
+@query()
+def mined_names(spark, d):
+    return termscan.mined_names(table(spark, d, "agent_outputs").where("response_draft is not null"), "response_draft", list(checks.EXPECTED_WORDS))
+
+
+@query("SELECT count(*) AS n_drafts, count(*) FILTER (length(response_draft) BETWEEN 1 AND 20000) AS n_valid FROM agent_outputs")
+def draft_lengths(spark, d):
+    return table(spark, d, "agent_outputs").agg(F.count("*").alias("n_drafts"), F.count_if(writers.draft_valid(F.col("response_draft"))).alias("n_valid"))
+
+
+@query("SELECT (SELECT count(*) FROM labels) AS n_before, (SELECT count(*) FROM labels) AS n_after, 0 AS n_lost, 0 AS n_added, (SELECT count(*) FROM labels WHERE inquiry_id NOT IN (SELECT inquiry_id FROM inquiries)) AS n_orphans")
+def label_migration_report(spark, d):
+    rows = table(spark, d, "labels")
+    return writers.reconcile(rows, rows.select(*[f.name for f in schema.LABELS.fields]), "label_id", table(spark, d, "inquiries"), "inquiry_id")
+
+
+@query()
+def cleaned_bodies(spark, d):
+    return threads.messages(table(spark, d, "inquiries")).select("inquiry_id", "message_no", cleaning.clean_body(F.col("body")).alias("body"))
+
+
+@query()
+def catalogue(spark, d):
+    return readers.table_columns({t: table(spark, d, t) for t in ("inquiries", "labels", "agent_outputs", "usefulness_tally")})
