@@ -78,9 +78,9 @@ def copy_classes(documents: DataFrame) -> DataFrame:
 
 
 def _representatives(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row (doc_id, text) for each distinct text."""
-    first = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return documents.select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"]).join(first, "doc_id")
+    """(doc_id, text) without the non-first copies. Those are few in most corpora, so the texts need not be shuffled."""
+    copies = classes.where("doc_id > class_id").select("doc_id")
+    return documents.select("doc_id", "text").where("text is not null").join(copies, "doc_id", "left_anti")
 
 
 def _runs(texts: DataFrame) -> DataFrame:
@@ -110,8 +110,8 @@ def _extend(left_a: pd.Series, left_b: pd.Series, right_a: pd.Series, right_b: p
 def shared_spans(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id_a, doc_id_b, from_a, from_b, n_chars): maximal equal spans of at least ``min_chars`` between distinct texts.
 
-    ``texts`` has one row (doc_id, text) for each distinct text. Offsets are code points. Texts shorter than ``min_chars``
-    share nothing.
+    ``texts`` has one row (doc_id, text) for each distinct text; a row stored twice changes nothing but repeats its spans.
+    Offsets are code points. Texts shorter than ``min_chars`` share nothing.
     """
     runs = _runs(spread(texts, "doc_id"))
     # a run of one text only can't match: sieve before the join, by a count combined on the map side
@@ -129,13 +129,15 @@ def shared_spans(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .groupBy("doc_id_a", "doc_id_b", "shift", "_island")
         .agg(F.min("a").alias("a"), F.max("b").alias("b"))
     )
+    spans = cut(islands.withColumn("n", F.col("b") - F.col("a")))
+    # only texts with an island are looked at again
+    near = texts.join(spans.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     around = lambda side: [
         F.expr(f"substring(text, greatest(1, p - {min_chars} + 1), least({min_chars}, p))").alias(f"left_{side}"),
         F.expr(f"substring(text, p + n + 1, {min_chars})").alias(f"right_{side}"),
     ]
-    spans = islands.withColumn("n", F.col("b") - F.col("a"))
-    with_a = spans.withColumn("p", F.col("a")).join(texts.withColumnRenamed("doc_id", "doc_id_a"), "doc_id_a").select(*spans.columns, *around("a"))
-    with_b = with_a.withColumn("p", F.col("a") + F.col("shift")).join(texts.withColumnRenamed("doc_id", "doc_id_b"), "doc_id_b")
+    with_a = spans.withColumn("p", F.col("a")).join(near.withColumnRenamed("doc_id", "doc_id_a"), "doc_id_a").select(*spans.columns, *around("a"))
+    with_b = with_a.withColumn("p", F.col("a") + F.col("shift")).join(near.withColumnRenamed("doc_id", "doc_id_b"), "doc_id_b")
     wide = with_b.select(*spans.columns, "left_a", "right_a", *around("b")).withColumn("_e", _extend("left_a", "left_b", "right_a", "right_b"))
     # an extension stops at min_chars, which is enough to decide; spans that meet there stay separate rows
     n = F.col("n") + F.col("_e.before") + F.col("_e.after")
@@ -169,7 +171,8 @@ def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     shared_chars are covered by spans shared with any other text (all of them where the document has a copy of at least
     ``min_chars``), repeated_chars by spans that an earlier text (smaller id) holds too: what removing every non-first
-    occurrence would take. Null and empty texts share nothing. Repeated ids count once.
+    occurrence would take. Null and empty texts share nothing. An id names one
+    text: rows stored twice count once.
     """
     classes = cut(copy_classes(documents))
     texts = _representatives(documents, classes)
@@ -189,7 +192,7 @@ def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.count_distinct("other").alias("n_linked"), F.collect_set(F.struct("a", "b")).alias("_all"), F.collect_set(F.when(F.col("later"), F.struct("a", "b"))).alias("_later")
     )
     per = per.select("class_id", "n_linked", covered("_all").alias("shared"), covered("_later").alias("repeated"))
-    rows = documents.dropDuplicates(["doc_id"]).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).join(classes, "doc_id", "left").join(per, "class_id", "left")
+    rows = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).distinct().join(classes, "doc_id", "left").join(per, "class_id", "left")
     copied = (F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select(
