@@ -48,16 +48,23 @@ _ID_LABEL = (
     r"|licencia(?: de conducir)?|permis de conduire|carteira de (?:motorista|identidade)|seguro social|sécurité sociale|tax id|national id|ID card|ID number|identity number)"
 )
 _ID = re.compile(rf"(?<!\w)(?i:{_ID_LABEL})(?i:\s*(?:number|no\.?|nº|núm\.?|numéro|número))?(?i:\s*(?:is|es|est|é|was|:|#))?\s*\(?(?P<id>(?=[A-Z-]*\d)[A-Z0-9](?:[A-Z0-9]|[-. ](?=[A-Z0-9]*\d)){{4,20}})(?![\w-])")
+#: Cheap tests of whether a text can hold an identity number or a street at all.
+_ID_HINTS = ("ssn", "social", "dni", " nie ", "curp", " rfc ", " cpf ", " rg ", " nss ", "passp", "pasap", "passa", "licen", "permis", "carteira", "tax id", "national id", "id card", "id number", "identity")
+_STREET_HINTS = ("Calle", "C/", "Av", "Paseo", "Plaza", "Cam", "Calzada", "Carrera", "Ronda", "Callej", "Rua", "Travessa", "Alameda", "Praça", "Largo", "Estrada")
+#: Runs of nine digits or more with single marks between them: the only places where phones and plain identity numbers are.
+_DIGITS = re.compile(r"\d(?:[ ().–-]{0,2}\d){8,}")
 _SSN = re.compile(r"(?<![\w–-])\d{3}-\d{2}-\d{4}(?![\w–-])|(?<![\w–-])(?<!\d )\d{3} \d{2} \d{4}(?![\w–-])(?! \d)")
-_DNI = re.compile(r"(?<![\w-])\d{8}[A-HJ-NP-TV-Z](?![\w-])")
+_DNI = re.compile(r"\d{8}[A-HJ-NP-TV-Z](?![\w-])")
 # Street words.
 _CITY = r"(?:, (?:\d{5} )?(?!(?:On|Get|Sent|From|To|The|We|I)\b)[A-ZÁÉÍÓÚÑ][a-záéíóúñç]+(?: (?:de |la |del )?[A-ZÁÉÍÓÚÑ][a-záéíóúñç]+){0,2}(?:,? [A-Z]{2},? \d{5}(?:-\d{4})?|,? \d{5})?)?"
 _UNIT = r"(?:, (?:(?:Apt|Suite|Ste|Unit|Floor|Room)\.? ?#?\w{1,5}|#\d{1,5}[A-Z]?))?"
-_STREET = re.compile(
+_STREET_AFTER_NUMBER = re.compile(
+    rf"\d{{1,5}}(?:[A-Z]? (?:[NSEW]\.? )?(?:[A-Z][\w'’.-]*[ ]){{1,3}}?(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Terrace|Place|Pl|Row|Square|Sq|Circle|Parkway|Pkwy|Highway|Hwy)\b(?:\.(?=,))?{_UNIT}{_CITY}"
+    rf"|,?(?: (?:bis|ter))? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|route) (?:de |du |des |la |le |l['’])*[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)?{_CITY})"
+)
+_STREET_AFTER_WORD = re.compile(
     r"(?<![\w#-])(?:"
-    rf"\d{{1,5}}[A-Z]? (?:[NSEW]\.? )?(?:[A-Z][\w'’.-]*[ ]){{1,3}}?(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Terrace|Place|Pl|Row|Square|Sq|Circle|Parkway|Pkwy|Highway|Hwy)\b(?:\.(?=,))?{_UNIT}{_CITY}"
-    rf"|(?:Calle|C/|Avenida|Av\.|Avda\.|Paseo|Plaza|Camino|Calzada|Carrera|Ronda|Callejón) ?(?:de |la |del |los )*[A-ZÁÉÍÓÚÑ][\w'’-]*(?: [A-ZÁÉÍÓÚÑ][\w'’-]*)?,? (?:n\.?º ?|#)?\d{{1,5}}(?:, (?:piso|planta|puerta|depto\.?|int\.?) ?\w{{1,4}})*{_CITY}"
-    rf"|\d{{1,5}},?(?: (?:bis|ter))? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|route) (?:de |du |des |la |le |l['’])*[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)?{_CITY}"
+    rf"(?:Calle|C/|Avenida|Av\.|Avda\.|Paseo|Plaza|Camino|Calzada|Carrera|Ronda|Callejón) ?(?:de |la |del |los )*[A-ZÁÉÍÓÚÑ][\w'’-]*(?: [A-ZÁÉÍÓÚÑ][\w'’-]*)?,? (?:n\.?º ?|#)?\d{{1,5}}(?:, (?:piso|planta|puerta|depto\.?|int\.?) ?\w{{1,4}})*{_CITY}"
     rf"|(?:Rua|Avenida|Travessa|Alameda|Praça|Largo|Estrada) (?:da |do |das |dos |de )*[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)?,? (?:n\.?º ?)?\d{{1,5}}(?:, (?:apto\.?|andar|bloco) ?\w{{1,4}})*{_CITY}"
     r")"
 )
@@ -112,7 +119,8 @@ def slot_terms(fields: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
     names = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in _SLOTS[:3]])))
     more = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in _SLOTS[3:]]))
     own = sorted({w.casefold() for entry, kind in allowed if kind in ("staff_name", "organisation") for w in re.findall(r"\w+", entry)})
-    local = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}][\p{L}._+-]{2,40})\d* ?(?:@|[(\[]at[)\]])"), F.lit(1)))
+    held = F.regexp_extract_all("text", F.lit(r"([\p{L}][\p{L}._+-]{2,40})\d* ?(?:@|[(\[]at[)\]])"), F.lit(1))
+    local = F.when(F.col("text").rlike(r"@|[(\[]at[)\]]"), F.array_distinct(held)).otherwise(F.array().cast("array<string>"))
     sources = fields.select(F.inline(F.array(F.struct(F.lit(1).alias("n"), F.array_union(names, more).alias("found")), F.struct(F.lit(0).alias("n"), local.alias("found")))))
     words = sources.select("n", F.explode("found").alias("name")).select("n", F.explode(F.split(F.lower("name"), r"[,.]? |[.,]$|[._+-]")).alias("term"))
     usable = (F.length("term") > 1) & ~F.col("term").isin(own) if own else F.length("term") > 1
@@ -131,18 +139,31 @@ def pattern_items(text: str, allowed: list[tuple[str, str]]) -> list[tuple[str,
                 found.append((kind, a, b))
 
     own = {entry.casefold() for entry, _ in allowed}
-    if "@" in text or "at)" in text.lower() or "at]" in text.lower():
+    low = text.lower()
+    if "@" in text or "at)" in low or "at]" in low:
         for m in _EMAIL.finditer(text):
             add("email", m.start(), m.end())
-    for m in _STREET.finditer(text):
-        add("street_address", m.start(), m.end())
-    for m in _ID.finditer(text):
-        add("id_number", *m.span("id"))
-    for p in (_SSN, _DNI):
-        for m in p.finditer(text):
+    for m in _STREET_AFTER_NUMBER.finditer(text):
+        before = text[m.start() - 1 : m.start()]
+        if not (before.isalnum() or before in ("_", "#", "-") and before):
+            add("street_address", m.start(), m.end())
+    if any(h in text for h in _STREET_HINTS):
+        for m in _STREET_AFTER_WORD.finditer(text):
+            add("street_address", m.start(), m.end())
+    if any(h in low for h in _ID_HINTS):
+        for m in _ID.finditer(text):
+            add("id_number", *m.span("id"))
+    runs = [(max(0, m.start() - 2), m.end() + 3) for m in _DIGITS.finditer(text)]
+    for a, b in runs:
+        for m in _SSN.finditer(text, a, b):
+            add("id_number", m.start(), m.end())
+    for m in _DNI.finditer(text):
+        before = text[m.start() - 1 : m.start()]
+        if not (before.isalnum() or before in ("_", "-") and before):
             add("id_number", m.start(), m.end())
-    for m in _PHONE.finditer(text):
-        add("phone", m.start(), m.end())
+    for a, b in runs:
+        for m in _PHONE.finditer(text, a, b):
+            add("phone", m.start(), m.end())
     return found
 
 
