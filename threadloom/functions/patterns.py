@@ -12,6 +12,8 @@ PATTERNS = {
     "payment": r"(?<!\d)(?:\d[ -]?){13,16}(?!\d)",
     "phone": r"(?<!\d)(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}(?!\d)",
 }
+#: Java's classes are ASCII unless told otherwise; Python's never are.
+_UNICODE = "(?U)"
 #: A phone without digit guards, for leak scans: it also matches inside longer runs.
 LOOSE_PHONE = r"(?:\+?1[\s.\-]?)?(?:\(\d{3}\)|\d{3})[\s.\-]?\d{3}[\s.\-]?\d{4}"
 PLACEHOLDER = r"(?i)\{[a-z_]+\}"
@@ -20,12 +22,12 @@ PLACEHOLDER = r"(?i)\{[a-z_]+\}"
 def redact_patterns(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
     """Each match replaced by its ``{kind}``. The order matters: an address inside a link goes first, long digit runs before phones."""
     for kind in kinds:
-        text = F.regexp_replace(text, PATTERNS[kind], "{" + kind + "}")
+        text = F.regexp_replace(text, _UNICODE + PATTERNS[kind], "{" + kind + "}")
     return text
 
 
 def count_pattern(text: Column, kind: str) -> Column:
-    return F.regexp_count(text, F.lit(PATTERNS[kind]))
+    return F.regexp_count(text, F.lit(_UNICODE + PATTERNS[kind]))
 
 
 def strip_all(text: Column | str) -> Column:

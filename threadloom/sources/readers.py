@@ -19,8 +19,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def thread_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, text) of the ``.md`` files of a folder, each read whole."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", recursive)
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=recursive)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def list_lines(spark: SparkSession, path: str) -> DataFrame:
