@@ -95,7 +95,7 @@ def normal_form(text: str) -> tuple[str, list[str]]:
     plain = seen.translate(_STAND_INS)
     composed = unicodedata.normalize("NFC", plain)
     spaced = _SPACE.sub(" ", composed)
-    done = _WORD.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(_LOOKS)) if _disguised(m[0]) else m[0], spaced)
+    done = unicodedata.normalize("NFC", _WORD.sub(lambda m: m[0].translate(_LOOKS) if _disguised(m[0]) else m[0], spaced))
     if plain != seen or done != spaced:
         found.append("stand_in")
     if hidden:

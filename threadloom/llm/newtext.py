@@ -53,7 +53,9 @@ _ATTRIBUTION = "|".join(
 )
 _RULER = r"-{3,} ?(?:Original Message|Forwarded message|Mensaje original|Mensaje reenviado|Mensagem original|Mensagem encaminhada|Message d['’]origine|Message original|Message transféré|Begin forwarded message) ?-{3,}|_{20,}"
 _FIELD = r"\*?(?:From|Sent|Date|To|Cc|Subject|De|Enviado|Enviada|Fecha|Para|Asunto|Assunto|Data|Envoyé|À|Objet)\s?:\*? ?"
-_HEADER = r"\*?(?:From|De)\s?:\*? [^\n]{1,160}\n[ \t]*\*?(?:Sent|Date|To|Subject|Enviado|Enviada|Fecha|Para|Asunto|Assunto|Data|Envoyé|À|Objet|Cc)\s?:\*? [^\n]*"
+_FIELDS = r"(?:Sent|Date|To|Subject|Enviado|Enviada|Fecha|Para|Asunto|Assunto|Data|Envoyé|À|Objet|Cc)"
+#: a sender with an address and one more field, or a bare sender and a dated field: one such line alone is ordinary text
+_HEADER = rf"\*?(?:From|De)\s?:\*? (?:[^\n]{{0,120}}[<@{{{{][^\n]{{0,120}}\n[ \t]*\*?{_FIELDS}\s?:\*? [^\n]*|[^\n.,]{{1,60}}\n[ \t]*\*?{_FIELDS}\s?:\*? [^\n]*\d[^\n]*)"
 _FLAT_HEADER = r"\*?(?:From|De)\s?:\*? [^\n<]{1,60}<[^>\n]{0,80}>\s+\*?(?:Sent|Date|To|Subject|Enviado|Enviada|Fecha|Para|Asunto|Assunto|Data|Envoyé|À|Objet)\s?:"
 _DEVICE = r"(?:Sent (?:from (?:my|the) [\w ]{2,30}?|while [a-z]+)(?:, please excuse [a-z ]{3,24}?)?|Get (?:the|Outlook)[\w ]{0,24} for (?:Android|iOS|iPhone)|Enviad[oa] (?:desde mi|do meu|da minha|desde el) [\wáéíóú]+|Envoyé (?:de|depuis) mon [\wáéíóú]+)"
 _NOTICE = (
@@ -175,7 +177,7 @@ def new_text(body: str, ancestors: Ancestors) -> str:
             break
     body = "\n".join(lines).strip()
     if "\n" not in body:
-        return _cut_flat(body)
+        return "" if _PREFIX.match(body) else _cut_flat(body)
     lines = body.split("\n")
     quoted = [bool(_PREFIX.match(x)) for x in lines]
     dropped = list(quoted)

@@ -38,7 +38,7 @@ _EMAIL = re.compile(
     r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*(?:@| @ | ?[(\[]at[)\]] ?)(?:[A-Za-z0-9-]+(?:\.| ?[(\[]dot[)\]] ?))+[A-Za-z]{2,}(?![\w@])", re.I
 )
 _PHONE = re.compile(
-    r"(?<![\w.+–/-])(?<!\d[ (])"
+    r"(?<![\w.+–/-])(?:(?<!\d[ (])(?=\d)|(?=[+(]))"
     r"(?:(?:\+?1[ .–-]?)?(?:\(\d{3}\)[ .–-]?|\d{3}[ .–-]?)\d{3}[ .–-]?\d{4}|\+(?!1\b)\d{1,3}(?:[ .–-]?(?:\(\d{2,4}\)|\d{2,4})){2,4}|0\d{4} \d{6}|0\d{2,3} \d{3,4} \d{4})"
     r"(?![\w–/-]|\.\d)"
 )
@@ -64,8 +64,8 @@ _STREET_AFTER_NUMBER = re.compile(
 )
 _STREET_AFTER_WORD = re.compile(
     r"(?<![\w#-])(?:"
-    rf"(?:Calle|C/|Avenida|Av\.|Avda\.|Paseo|Plaza|Camino|Calzada|Carrera|Ronda|Callejón) ?(?:de |la |del |los )*[A-ZÁÉÍÓÚÑ][\w'’-]*(?: [A-ZÁÉÍÓÚÑ][\w'’-]*)?,? (?:n\.?º ?|#)?\d{{1,5}}(?:, (?:piso|planta|puerta|depto\.?|int\.?) ?\w{{1,4}})*{_CITY}"
-    rf"|(?:Rua|Avenida|Travessa|Alameda|Praça|Largo|Estrada) (?:da |do |das |dos |de )*[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)?,? (?:n\.?º ?)?\d{{1,5}}(?:, (?:apto\.?|andar|bloco) ?\w{{1,4}})*{_CITY}"
+    rf"(?:Calle|C/|Avenida|Av\.|Avda\.|Paseo|Plaza|Camino|Calzada|Carrera|Ronda|Callejón) ?(?:de |la |del |los )*[A-ZÁÉÍÓÚÑ][\w'’-]*(?: [A-ZÁÉÍÓÚÑ][\w'’-]*)?,? (?:n\.?º ?|#)?\d{{1,5}}(?:, (?:piso|planta|puerta|depto\.?|int\.?) ?(?:\d{{1,4}}[A-Z]?|[A-Z])\b)*{_CITY}"
+    rf"|(?:Rua|Avenida|Travessa|Alameda|Praça|Largo|Estrada) (?:da |do |das |dos |de )*[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)?,? (?:n\.?º ?)?\d{{1,5}}(?:, (?:apto\.?|andar|bloco) ?(?:\d{{1,4}}[A-Z]?|[A-Z])\b)*{_CITY}"
     r")"
 )
 
@@ -265,12 +265,13 @@ def personal_items(fields: DataFrame, allow_terms: DataFrame, min_disclosure: fl
     terms = counts.join(slots, "term").select("term", F.least(F.lit(1.0), F.col("n_slot") / F.col("n")).alias("disclosure"))
     scored = uses.join(small_side(terms), "term", "left").withColumn("disclosure", F.coalesce("disclosure", F.lit(-1.0)))
     per = scored.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("at", "disclosure"))).alias("_d"))  # a sequence is a handful of words
-    # contexts of lone terms: how many different terms stand in them
-    lone = sequences.where(F.size("tokens") == 1).select(F.lower(F.col("tokens")[0]).alias("term"), "right")
+    # contexts of lone terms: how many different terms stand in them. What ends a line or a clause says nothing
+    rated = sequences.join(per, "_id", "left")
+    revealing = F.filter("_d", lambda x: x["disclosure"] >= min_disclosure)
+    lone = rated.where((F.size(revealing) == 1) & F.col("right").rlike(r"^\w+ \w+$")).select("right", F.lower(F.get("tokens", revealing[0]["at"])).alias("term"))
     contexts = lone.groupBy("right").agg(F.count("*").alias("n_context"), (F.min("term") < F.max("term")).alias("several"))
     stuck = contexts.where(~F.col("several") & (F.col("n_context") >= CONTEXT_SEEN)).select("right", F.lit(True).alias("_stuck"))
-    # a context of ordinary words only; what ends a line or a clause says nothing
-    wordy = sequences.join(per, "_id", "left").join(small_side(stuck.where(F.col("right").rlike(r"^\w+ \w+$"))), "right", "left")
+    wordy = rated.join(small_side(stuck), "right", "left")
 
     @F.pandas_udf(T.ArrayType(T.StructType().add("a", "integer").add("b", "integer")))
     def names(tokens: pd.Series, gaps: pd.Series, disclosure: pd.Series, stuck_in: pd.Series) -> pd.Series:
@@ -278,7 +279,7 @@ def personal_items(fields: DataFrame, allow_terms: DataFrame, min_disclosure: fl
         for t, g, d, s in zip(tokens, gaps, disclosure, stuck_in):
             t, g = list(t), list(g)
             spans = name_span(t, g, [x if x is not None else -1.0 for x in d], own)
-            if s and len(t) == 1:
+            if s and len(spans) == 1 and spans[0][1] - spans[0][0] == 1 and spans[0][1] == len(t):
                 spans = []
             offset, at = [], 0
             for token, gap in zip(t, g):
