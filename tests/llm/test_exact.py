@@ -261,3 +261,21 @@ def test_share(spark, corpus):
             assert r.shared_chars == len(covered), d
         assert r.repeated_chars <= r.shared_chars <= r.n_chars
     assert rows[60].repeated_chars == len(text[60]) and rows[60].n_copies == 3 and rows[200].n_chars == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data(), st.sampled_from(["ab c.", "a", "word ", "xyz", "é, ü! ", "no stop here ", "ab\n"]))
+def test_a_run_lies_in_every_shared_span(data, letters):
+    span = "".join(data.draw(st.lists(st.sampled_from(letters), min_size=300, max_size=300)))
+    around = st.text(alphabet=letters + "q. ", max_size=90)
+    a, b = (data.draw(around) + span + data.draw(around) for _ in range(2))
+    assert {h for h, _, _ in spans.sentence_runs(a)} & {h for h, _, _ in spans.sentence_runs(b)}
+    parts = spans.clauses(a)
+    assert "".join(a[x:y] for x, y in parts) == a and all(y - x <= spans.CLAUSE_CHARS for x, y in parts)
+
+
+def test_very_long_clauses():
+    for text in ("word " * 100_000, "x" * 300_000, "a,b;" * 50_000):
+        parts = spans.clauses(text)
+        assert sum(b - a for a, b in parts) == len(text) and max(b - a for a, b in parts) <= spans.CLAUSE_CHARS
+        assert len(spans.sentence_runs(text)) > 100

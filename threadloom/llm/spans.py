@@ -2,9 +2,11 @@
 
 A text is cut into sentences and clauses; each run of consecutive ones that reaches ``RUN_CHARS`` is hashed, and the hashes
 are joined over the whole corpus. Matching runs of a pair of texts on one diagonal are merged to islands, which are equal
-character by character, and an island shorter than the wanted span is extended into the clauses cut at its ends. A span of
-``MIN_CHARS`` holds a whole run unless its clauses are longer than (MIN_CHARS - RUN_CHARS) / 2 characters; longer clauses are
-therefore broken at words chosen by their own hash, so that equal text breaks at equal places.
+character by character, and an island shorter than the wanted span is extended into the clauses cut at its ends.
+
+No span is missed: clauses have at most ``CLAUSE_CHARS`` characters and break at equal places in equal text, so both texts have
+a boundary within the first 60 characters of a shared span of 300, and the run from there ends within 160 + 60 more, before
+the last 20, where the texts around the span could make a difference.
 
 Exact copies are one class with one representative before anything is joined; what is found for representatives holds for
 all members.
@@ -13,6 +15,7 @@ all members.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,31 +28,53 @@ from threadloom.session import cut, spread
 
 MIN_CHARS = 300
 RUN_CHARS = 160
-#: Clauses longer than this are broken at words.
+#: Longest clause; twice this and RUN_CHARS stay below MIN_CHARS.
 CLAUSE_CHARS = 60
 #: Classes of exact copies up to this size are written out as pairs; of larger ones, pairs hold the representative and
 #: ``copy_classes`` holds the members.
 EXPAND_COPIES = 64
 _END = re.compile(r"[.!?…;,:\n]+[\s)\]\"'”’]*")
 _GAP = re.compile(r"\s+")
+#: Masks of the word keys, step by step.
+_STEPS = (7, 3, 1, 0)
 
 
 def clauses(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences and clauses of a text, without gaps; long ones broken at words with an even hash."""
-    out, at = [], 0
+    """(start, end) of the sentences and clauses of a text, without gaps, none longer than ``CLAUSE_CHARS``.
+
+    Longer ones are broken step by step, and only as far as needed: after words whose letters give a multiple of 8, of 4, of
+    2, after any word, after characters with a multiple of 8, after any character. Every step looks at the text alone, so
+    equal stretches of two texts break at equal places but for the clauses at their ends.
+    """
+    out: list[tuple[int, int]] = []
+
+    def refine(a: int, b: int, level: int, stops: list[int], keys: list[int]) -> None:
+        if b - a <= CLAUSE_CHARS:
+            out.append((a, b))
+            return
+        if level < len(_STEPS):
+            cuts = [stops[i] for i in range(bisect_right(stops, a), bisect_left(stops, b)) if not keys[i] & _STEPS[level]]
+        else:
+            cuts = [p for p in range(a + 1, b) if level > len(_STEPS) or not ord(text[p - 1]) & 7]
+        for p in (*cuts, b):
+            refine(a, p, level + 1, stops, keys)
+            a = p
+
+    at = 0
     for m in [*_END.finditer(text), None]:
         end = len(text) if m is None else m.end()
-        if end <= at:
-            continue
         if end - at > CLAUSE_CHARS:
-            word = at
+            stops, keys, start = [], [], at
             for g in _GAP.finditer(text, at, end):
-                if g.end() < end and xxhash.xxh32_intdigest(text[word : g.start()]) % 2 == 0 and g.end() > at:
-                    out.append((at, g.end()))
-                    at = g.end()
-                word = g.end()
-        out.append((at, end))
-        at = end
+                stop = g.start()
+                if stop > start:
+                    stops.append(g.end())
+                    keys.append(ord(text[start]) + 3 * ord(text[stop - 1]) + 5 * (stop - start))
+                start = g.end()
+            refine(at, end, 0, stops, keys)
+        elif end > at:
+            out.append((at, end))
+        at = max(at, end)
     return out
 
 
@@ -80,7 +105,7 @@ def copy_classes(documents: DataFrame) -> DataFrame:
 def _representatives(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id, text) without the non-first copies. Those are few in most corpora, so the texts need not be shuffled."""
     copies = classes.where("doc_id > class_id").select("doc_id")
-    return documents.select("doc_id", "text").where("text is not null").join(copies, "doc_id", "left_anti")
+    return spread(documents.select("doc_id", "text").where("text is not null"), "doc_id").join(copies, "doc_id", "left_anti")
 
 
 def _runs(texts: DataFrame) -> DataFrame:
@@ -113,7 +138,7 @@ def shared_spans(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     ``texts`` has one row (doc_id, text) for each distinct text; a row stored twice changes nothing but repeats its spans.
     Offsets are code points. Texts shorter than ``min_chars`` share nothing.
     """
-    runs = _runs(spread(texts, "doc_id"))
+    runs = _runs(texts)
     # a run of one text only can't match: sieve before the join, by a count combined on the map side
     held = runs.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("h")
     shared = cut(runs.join(held, "h", "left_semi"))
