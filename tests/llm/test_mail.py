@@ -78,8 +78,12 @@ def test_messages_table(spark):
 
 
 def test_long_thread():
-    text = "word " * 200_000
+    text = "word " * 100_000
     assert new(text)[0].split() == text.split()
+    assert new(text, "yes please\n" + "> " + text)[1] == "yes please"
+    assert new(text, "new words\n" + "word " * 150_000)[1].split()[:2] == ["new", "words"]
+    lines = "short line\nThanks,\n" * 5_000
+    assert new(lines)[0].startswith("short line")
 
 
 # --- 3: language

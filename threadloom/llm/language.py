@@ -36,7 +36,7 @@ DIMENSIONS = 1 << 16
 SURE_WORDS, SHORT_WORDS, SURE_CONFIDENCE = 3, 10, 0.65
 _WORD = re.compile(r"[^\W\d_]+")
 #: Placeholders, addresses (also spelled out) and capitalised words inside a sentence, which are names in any language.
-_NOISE = re.compile(r"\{\w+\}|\S+ ?(?:@|[(\[]at[)\]]) ?\S+(?: ?[(\[]dot[)\]] ?\w+)*|https?://\S+|(?<=[^\W\d_,;] )[^\W\d_a-zà-ÿ][\w'’-]*")
+_NOISE = re.compile(r"\{\w+\}|(?<!\S)[^\s@]+ ?(?:@|[(\[]at[)\]]) ?\S+(?: ?[(\[]dot[)\]] ?\w+)*|https?://\S+|(?<=[^\W\d_,;] )[^\W\d_a-zà-ÿ][\w'’-]*")
 _SENTENCE = re.compile(r"(?:[^.!?:\n]|[.!?:](?=\S))+[.!?:\n]*\s*")
 
 # A few everyday sentences of each language, so that every machine has something to start from.

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -126,20 +127,28 @@ class Ancestors:
             self.at.setdefault(h, []).append(base + i)
 
     def inherited(self, words: list[str]) -> list[bool]:
-        """Which words lie in a span that occurs in an ancestor: each shingle hit is extended to both sides."""
-        held = [False] * len(words)
+        """Which words lie in a span that occurs in an ancestor: each shingle hit is extended as far as any ancestor goes on.
+
+        Extending to the right is enough, as a span's first shingle is a hit too. An ancestor that stops before the reach
+        of an earlier one is dismissed by a single word, so repetitive text stays linear.
+        """
+        held, n, reached = [False] * len(words), len(words), 0
         for i, h in self._rolling(words, self.k):
-            if held[i] and all(held[i : i + self.k]):
+            if i + self.k <= reached:
                 continue
+            reach = i
             for j in self.at.get(h, ()):
-                if self.words[j : j + self.k] != words[i : i + self.k]:
+                if reach == i:
+                    if self.words[j : j + self.k] != words[i : i + self.k]:
+                        continue
+                    reach = i + self.k
+                elif not (reach < n and j + reach - i < len(self.words) and self.words[j + reach - i] == words[reach] and self.words[j : j + reach - i] == words[i:reach]):
                     continue
-                a, b = i, i + self.k
-                while a > 0 and self.words[j - (i - a) - 1] == words[a - 1] and j - (i - a) > 0:
-                    a -= 1
-                while b < len(words) and j + (b - i) < len(self.words) and self.words[j + (b - i)] == words[b]:
-                    b += 1
-                held[a:b] = [True] * (b - a)
+                while reach < n and j + reach - i < len(self.words) and self.words[j + reach - i] == words[reach]:
+                    reach += 1
+            if reach > i:
+                held[i:reach] = [True] * (reach - i)
+                reached = max(reached, reach)
         return held
 
 
@@ -162,9 +171,10 @@ def _cut_tail(lines: list[str]) -> list[str]:
             break
     lines = [x for x in lines if not _DEVICE_LINE.match(_plain(x))]
     for i, line in enumerate(map(_plain, lines)):
-        below = [x for x in lines[i + 1 :] if x.strip()]
-        if (_CLOSING_LINE.match(line) or _DASH_NAME.match(line)) and len(below) <= 8 and all(len(x) <= 80 for x in below):
-            return lines[:i]
+        if _CLOSING_LINE.match(line) or _DASH_NAME.match(line):
+            below = [x for x in lines[i + 1 :] if x.strip()]
+            if len(below) <= 8 and all(len(x) <= 80 for x in below):
+                return lines[:i]
     return lines
 
 
@@ -185,7 +195,7 @@ def new_text(body: str, ancestors: Ancestors) -> str:
     for line in lines:
         starts.append(at)
         at += len(line) + 1
-    line_of = lambda p: next(i for i in range(len(starts) - 1, -1, -1) if starts[i] <= p)
+    line_of = lambda p: bisect_right(starts, p) - 1
     words, owner = [], []
     for i, line in enumerate(lines):
         ws = _STRIP.sub("", line).split()
