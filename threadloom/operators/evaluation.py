@@ -18,7 +18,8 @@ ERROR = "ERROR"
 
 def prediction_pairs(labels: DataFrame, inquiries: DataFrame, outputs: DataFrame) -> DataFrame:
     """(inquiry_id, agent_version, truth, pred): latest label against the latest output; a missing decision is ``ERROR``."""
-    truth = gradeable(labels, inquiries).select("inquiry_id", normal_status(F.col("qualification_decision")).alias("truth"))
+    narrow = labels.select("inquiry_id", "labeled_at", "label_id", "edge_case_reason", "qualification_decision")
+    truth = gradeable(narrow, inquiries).select("inquiry_id", normal_status(F.col("qualification_decision")).alias("truth"))
     last = latest_per_key(outputs.select("inquiry_id", "agent_version", "qualification_decision", "created_at", "output_id"), "inquiry_id", "created_at", "output_id")
     pred = last.select("inquiry_id", "agent_version", F.coalesce(normal_status(F.col("qualification_decision")), F.lit(ERROR)).alias("pred"))
     return truth.where("truth is not null").join(pred, "inquiry_id")
