@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.session import cut, spread
+from threadloom.session import cut, small_side, spread
 
 MIN_CHARS = 300
 RUN_CHARS = 160
@@ -97,14 +97,14 @@ def copy_classes(documents: DataFrame) -> DataFrame:
     Only ids and digests are shuffled; the grouping is combined on the map side, and members get their class by a join on
     the digest.
     """
-    keyed = documents.where("text is not null").select("doc_id", F.sha2("text", 256).alias("_key"))
+    keyed = documents.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("_key"))
     classes = keyed.groupBy("_key").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("n_copies"))
     return keyed.distinct().join(classes, "_key").select("doc_id", "class_id", "n_copies")
 
 
 def _representatives(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id, text) without the non-first copies. Those are few in most corpora, so the texts need not be shuffled."""
-    copies = classes.where("doc_id > class_id").select("doc_id")
+    copies = small_side(classes.where("doc_id > class_id").select("doc_id"))
     return spread(documents.select("doc_id", "text").where("text is not null"), "doc_id").join(copies, "doc_id", "left_anti")
 
 
