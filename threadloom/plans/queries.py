@@ -139,17 +139,69 @@ def relabel_copy_forward(spark, d):
     return rows.select("label_id", "inquiry_id", "language", "qualification_decision", "labeled_at", "batch_id")
 
 
-_DOMAIN_SQL = " UNION ALL ".join(
-    f"SELECT label_id, '{c} not allowed' AS rule, {c} AS value FROM labels WHERE {c} IS NOT NULL AND {c} NOT IN ({', '.join(repr(v) for v in vs)})"
-    for c, vs in schema.DOMAINS.items()
-    if c in {f.name for f in schema.LABELS.fields}
+def _violations_sql(name: str, shape, key: str, flagged: bool = False) -> str:
+    out = [
+        f"SELECT {key}, '{f.name} not allowed' AS rule, {f.name} AS value FROM {name} WHERE {f.name} IS NOT NULL AND {f.name} NOT IN ({', '.join(repr(v) for v in schema.DOMAINS[f.name])})"
+        for f in shape.fields
+        if f.name in schema.DOMAINS
+    ]
+    out += [f"SELECT {key}, '{f.name} is null', NULL FROM {name} WHERE {f.name} IS NULL" for f in shape.fields if not f.nullable]
+    if flagged:
+        out.append(f"SELECT {key}, 'edge_case_reason missing', CAST(edge_case_flag AS VARCHAR) FROM {name} WHERE edge_case_flag <> 0 AND edge_case_reason IS NULL")
+    return " UNION ALL ".join(out)
+
+
+@query(_violations_sql("labels", schema.LABELS, "label_id", flagged=True))
+def label_violations(spark, d):
+    return schema.broken_rules(table(spark, d, "labels"), schema.LABELS, "label_id")
+
+
+@query(_violations_sql("inquiries", schema.INQUIRIES, "inquiry_id"))
+def inquiry_violations(spark, d):
+    return schema.broken_rules(table(spark, d, "inquiries"), schema.INQUIRIES, "inquiry_id")
+
+
+@query(_violations_sql("agent_outputs", schema.AGENT_OUTPUTS, "output_id"))
+def output_violations(spark, d):
+    return schema.broken_rules(table(spark, d, "agent_outputs"), schema.AGENT_OUTPUTS, "output_id")
+
+
+@query(
+    "SELECT output_id, inquiry_id, agent_version, confidence, created_at FROM (SELECT *, row_number() OVER (PARTITION BY inquiry_id ORDER BY created_at DESC, output_id DESC) AS rn FROM agent_outputs) WHERE rn = 1"
 )
-_NULL_SQL = " UNION ALL ".join(f"SELECT label_id, '{f.name} is null', NULL FROM labels WHERE {f.name} IS NULL" for f in schema.LABELS.fields if not f.nullable)
+def latest_outputs(spark, d):
+    rows = table(spark, d, "agent_outputs").select("output_id", "inquiry_id", "agent_version", "confidence", "created_at")
+    return labels.latest_per_key(rows, "inquiry_id", "created_at", "output_id")
 
 
-@query(f"{_DOMAIN_SQL} UNION ALL {_NULL_SQL} UNION ALL SELECT label_id, 'edge_case_reason missing', CAST(edge_case_flag AS VARCHAR) FROM labels WHERE edge_case_flag <> 0 AND edge_case_reason IS NULL")
-def label_violations(spark, d):
-    return schema.broken_rules(table(spark, d, "labels"), schema.LABELS, "label_id")
+@query("SELECT agent_version, confidence, count(*) AS n, count(DISTINCT inquiry_id) AS n_inquiries, count(*) FILTER (response_draft IS NULL) AS n_withheld FROM agent_outputs GROUP BY 1, 2")
+def output_counts(spark, d):
+    return table(spark, d, "agent_outputs").groupBy("agent_version", "confidence").agg(
+        F.count("*").alias("n"), F.count_distinct("inquiry_id").alias("n_inquiries"), F.count_if(F.col("response_draft").isNull()).alias("n_withheld")
+    )
+
+
+@query("SELECT inquiry_id, count(*) AS n FROM labels GROUP BY 1 HAVING count(*) > 1")
+def relabel_counts(spark, d):
+    return table(spark, d, "labels").groupBy("inquiry_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT i.inquiry_id, EXISTS (SELECT 1 FROM labels l WHERE l.inquiry_id = i.inquiry_id) AS labelled FROM inquiries i")
+def labelled_flags(spark, d):
+    known = table(spark, d, "labels").select("inquiry_id").distinct().withColumn("labelled", F.lit(True))
+    return table(spark, d, "inquiries").select("inquiry_id").join(known, "inquiry_id", "left").select("inquiry_id", F.coalesce("labelled", F.lit(False)).alias("labelled"))
+
+
+@query()
+def redaction_changes(spark, d):
+    rows = redacted_threads(spark, d).join(table(spark, d, "inquiries").select("inquiry_id", "thread_text_redacted"), "inquiry_id")
+    changed = cleaning.changed_lines(F.col("thread_text_redacted"), F.col("safe_text"))
+    return rows.groupBy("redaction_status").agg(F.count("*").alias("n"), F.count_if(F.col("safe_text") != F.col("thread_text_redacted")).alias("n_changed"), F.sum(changed).alias("n_changed_lines"))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT trim(unnest(string_split(failure_tag, ';'))) AS tag FROM usefulness_tally) WHERE tag <> '' GROUP BY 1")
+def tally_tags(spark, d):
+    return table(spark, d, "usefulness_tally").select(F.explode(tally.tags(F.col("failure_tag"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def _pairs(spark, d):
@@ -263,7 +315,7 @@ def draft_patterns_redacted(spark, d):
 
 
 @query(
-    "SELECT kind, count(*) AS n, sum(n_chars) AS n_chars FROM (SELECT f->>'kind' AS kind, CAST(f->'match_span'->1 AS INT) - CAST(f->'match_span'->0 AS INT) AS n_chars FROM (SELECT unnest(CAST(redaction_findings AS JSON[])) AS f FROM inquiries WHERE redaction_findings IS NOT NULL AND json_valid(redaction_findings))) GROUP BY 1"
+    "SELECT kind, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM (SELECT f->>'kind' AS kind, CAST(f->'match_span'->1 AS INT) - CAST(f->'match_span'->0 AS INT) AS n_chars FROM (SELECT unnest(CAST(redaction_findings AS JSON[])) AS f FROM inquiries WHERE redaction_findings IS NOT NULL AND json_valid(redaction_findings))) GROUP BY 1"
 )
 def stored_finding_counts(spark, d):
     return redaction.stored_findings(table(spark, d, "inquiries")).groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
