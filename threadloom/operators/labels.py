@@ -67,7 +67,8 @@ def relabelled(labels: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """(value, n, pct): rows of each value and their percentage with two decimals. Null is a value."""
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return n.select("value", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2).alias("pct"))
+    total = n.agg(F.sum("n").alias("_all"))  # one row
+    return n.join(F.broadcast(total), on=F.lit(True), how="inner").select("value", "n", F.round(100.0 * F.col("n") / F.col("_all"), 2).alias("pct"))
 
 
 def summary_sets(df: DataFrame, *columns: str) -> DataFrame:
@@ -88,12 +89,12 @@ def dense_ids(df: DataFrame, order: list[str], name: str, start: Column) -> Data
     rows before it, so that no task holds them all. ``start`` is a literal or a column of one value.
     """
     # the cut fixes which row lies in which partition before partitions are counted
-    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    own = Window.partitionBy("_part")
-    before = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    numbered = parts.withColumn("_at", F.row_number().over(own.orderBy(*order)))
-    return numbered.join(F.broadcast(before), "_part").withColumn(name, start + F.col("_before") + F.col("_at")).drop("_part", "_n", "_before", "_at")
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy("__part")
+    before = parts.groupBy("__part").agg(F.count("*").alias("__rows"))
+    before = before.withColumn("__before", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    numbered = parts.withColumn("__at", F.row_number().over(own.orderBy(*order)))
+    return numbered.join(F.broadcast(before), "__part").withColumn(name, start + F.col("__before") + F.col("__at")).drop("__part", "__rows", "__before", "__at")
 
 
 def copy_forward(labels: DataFrame, overrides: dict[str, Column], where: Column, labeled_at: str, labeled_by: str, batch_id: str) -> DataFrame:
