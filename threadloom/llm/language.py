@@ -29,7 +29,7 @@ from threadloom.session import spread
 FAMILIES = {"germanic": ("en",), "romance": ("es", "fr", "pt")}
 LANGUAGES = tuple(x for xs in FAMILIES.values() for x in xs)
 #: Documents of each language that the machines are fitted on at most, and characters of each (the rest is not needed to fit).
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 300, 1500
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 300, 800
 MIXED_SHARE = 0.2
 DIMENSIONS = 1 << 16
 #: Sentences of fewer words, or short ones placed with less confidence, take the language of the text around them.
@@ -65,7 +65,7 @@ def sentences(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def fit_linear(rows: list[np.ndarray], signs: np.ndarray, cost: float = 0.5, epochs: int = 6, seed: int = 7) -> np.ndarray:
+def fit_linear(rows: list[np.ndarray], signs: np.ndarray, cost: float = 0.5, epochs: int = 5, seed: int = 7) -> np.ndarray:
     """Weights of a linear support vector machine without bias, by dual coordinate ascent; both classes weigh the same."""
     weights, alpha, order = np.zeros(DIMENSIONS), np.zeros(len(rows)), np.random.default_rng(seed)
     bound = np.where(signs > 0, cost * len(rows) / max(2 * (signs > 0).sum(), 1), cost * len(rows) / max(2 * (signs < 0).sum(), 1))
@@ -125,19 +125,19 @@ def fit_discriminator(labelled: list[tuple[str, str]]) -> Discriminator:
     data = [(lang, words) for lang, text in [*((k, x) for k, v in SEEDS.items() for x in v), *labelled] for _, words in sentences(text) if len(words) >= SURE_WORDS]
     family = {x: f for f, xs in FAMILIES.items() for x in xs}
 
-    def fit(part: list) -> np.ndarray:
+    def fit(part: list, epochs: int) -> np.ndarray:
         rows = [np.array([f for w in words for f in word_features(w)]) for _, words in part]
         langs = [lang for lang, _ in part]
-        machines = [fit_linear(rows, np.array([1 if family[x] == "romance" else -1 for x in langs]))]
+        machines = [fit_linear(rows, np.array([1 if family[x] == "romance" else -1 for x in langs]), epochs=epochs)]
         for a, b in pairs:
             pick = [i for i, x in enumerate(langs) if x in (a, b)]
-            machines.append(fit_linear([rows[i] for i in pick], np.array([1 if langs[i] == a else -1 for i in pick])))
+            machines.append(fit_linear([rows[i] for i in pick], np.array([1 if langs[i] == a else -1 for i in pick]), epochs=epochs))
         return np.stack(machines)
 
     held = [d for i, d in enumerate(data) if i % 5 == 4]
-    first = Discriminator(fit([d for i, d in enumerate(data) if i % 5 != 4]), pairs, 1.0)
+    first = Discriminator(fit([d for i, d in enumerate(data) if i % 5 != 4], 2), pairs, 1.0)
     clean = [d for d in data if first.place(d[1])[0] == d[0]]
-    model = Discriminator(fit(clean), pairs, 1.0)
+    model = Discriminator(fit(clean, 5), pairs, 1.0)
     # slope of the logistic curve: one Newton-fitted parameter on held-out margins
     margin = np.array([min(abs(model.scores(words)[0]), 4.0) for _, words in held])
     right = np.array([model.place(words)[0] == lang for lang, words in held], dtype=float)
