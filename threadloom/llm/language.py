@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -151,12 +152,20 @@ def fit_discriminator(labelled: list[tuple[str, str]]) -> Discriminator:
 
 
 def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """Bounded sample of labelled documents for fitting: of each language the documents with the smallest id hash."""
-    rows = []
-    for lang in LANGUAGES:
-        picked = documents.where((F.lower("lang") == lang) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        rows += [(lang, r[0]) for r in picked.select(F.substring("text", 1, SAMPLE_CHARS)).collect()]
-    return rows
+    """Bounded sample of labelled documents for fitting: of each language the documents with the smallest id hash.
+
+    Languages are counted first, so that a hash filter leaves a few times the sample before anything is sorted: what a
+    task sends on doesn't grow with the corpus or its partitions.
+    """
+    at = documents.where(F.lower("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select(F.lower("lang").alias("_lang"), "doc_id", "text").withColumn("_h", F.xxhash64("doc_id"))
+    counts = {r[0]: r[1] for r in at.groupBy("_lang").count().collect()}
+    parts = []
+    for lang, n in sorted(counts.items()):
+        few = at.where(F.col("_lang") == lang)
+        if n > 8 * per_language:  # smallest hashes: below the quantile that holds twice the sample
+            few = few.where(F.col("_h") < int((8 * per_language / n - 1) * 2**62) - 2**62)
+        parts.append(few.orderBy("_h", "doc_id").limit(per_language).select("_lang", F.substring("text", 1, SAMPLE_CHARS)))
+    return [(r[0], r[1]) for r in reduce(DataFrame.unionByName, parts).collect()] if parts else []
 
 
 def word_shares(text: str, model: Discriminator) -> tuple[dict[str, int], float]:
