@@ -167,6 +167,20 @@ def test_pattern_items(text, want):
     assert items(text) == want
 
 
+ID_TEXTS = [
+    "SSN 123456", "social security number: 123456", "social security no. 123456", "DNI 1234567", "NIE: X1234567L", "NIE X1234567L", "CURP ABCD010101HDF", "(RFC ABCD010101AB1)", "CPF: 123.456.789-09", "RG 12.345.678-9", "NSS: 12345678901",
+    "Mon passeport est 12AB34567", "passport no. ZZ50916", "pasaporte nº XA12345", "O passaporte é FX12345", "driver’s license D123-4567", "drivers licence D1234567", "driving licence D1234567", "licencia: B1234567", "licencia de conducir B1234567", "permis de conduire 12AB34567",
+    "carteira de motorista 01234567", "carteira de identidade 01234567", "seguro social 01234567", "sécurité sociale: 1850578006084", "SÉCURITÉ SOCIALE: 1850578006084", "tax id 12-34567", "national id 1234567", "ID card 1234567", "ID number 1234567", "identity number 1234567",
+]
+
+
+@pytest.mark.parametrize("text", [*ID_TEXTS, "paſſport ZZ50916", "DRİVİNG LİCENCE D1234567", "Natıonal ID 1234567"])
+@pytest.mark.parametrize("around", ["{}", "large org: {}.", "\n{}\n"])
+def test_every_label_of_an_identity_number(text, around):
+    text = around.format(text)
+    assert [m["id"] for m in sanitise._ID.finditer(text)] == [x for k, x in items(text) if k == "id_number"] != []
+
+
 def fields(spark):
     slots = [thread(f"Dear {n},\nsee you.").replace("{name} <", f"{n} <") for n in ("Iker Tambode", "Zoë Quellar", "Mark Serrano", "Dora Ilmubal", "Mark", "Iker")]
     uses = [

@@ -42,14 +42,18 @@ _PHONE = re.compile(
     r"(?:(?:\+?1[ .–-]?)?(?:\(\d{3}\)[ .–-]?|\d{3}[ .–-]?)\d{3}[ .–-]?\d{4}|\+(?!1\b)\d{1,3}(?:[ .–-]?(?:\(\d{2,4}\)|\d{2,4})){2,4}|0\d{4} \d{6}|0\d{2,3} \d{3,4} \d{4})"
     r"(?![\w–/-]|\.\d)"
 )
-# Words that label an identity number in the four languages.
-_ID_LABEL = (
-    r"(?:SSN|social security(?: number| no\.?)?|DNI|NIE|CURP|RFC|CPF|RG|NSS|passport|pasaporte|passeport|passaporte|driver['’]?s? licen[sc]e|driving licen[sc]e"
-    r"|licencia(?: de conducir)?|permis de conduire|carteira de (?:motorista|identidade)|seguro social|sécurité sociale|tax id|national id|ID card|ID number|identity number)"
-)
+# Words that label an identity number in the four languages, each under a part that stands in everything it matches.
+_ID_LABELS = {
+    "ssn": r"SSN", "social secur": r"social security(?: number| no\.?)?", "dni": r"DNI", "nie": r"NIE", "curp": r"CURP", "rfc": r"RFC", "cpf": r"CPF", "rg": r"RG", "nss": r"NSS",
+    "passport": r"passport", "pasaporte": r"pasaporte", "passeport": r"passeport", "passaporte": r"passaporte",
+    "driver": r"driver['’]?s? licen[sc]e", "driving": r"driving licen[sc]e", "licencia": r"licencia(?: de conducir)?", "permis de": r"permis de conduire", "carteira": r"carteira de (?:motorista|identidade)",
+    "seguro soc": r"seguro social", "sociale": r"sécurité sociale", "tax id": r"tax id", "national id": r"national id", "id card": r"ID card", "id number": r"ID number", "identity": r"identity number",
+}
+_ID_LABEL = rf"(?:{'|'.join(_ID_LABELS.values())})"
 _ID = re.compile(rf"(?<!\w)(?i:{_ID_LABEL})(?i:\s*(?:number|no\.?|nº|núm\.?|numéro|número))?(?i:\s*(?:is|es|est|é|was|:|#))?\s*\(?(?P<id>(?=[A-Z-]*\d)[A-Z0-9](?:[A-Z0-9]|[-. ](?=[A-Z0-9]*\d)){{4,20}})(?![\w-])")
-#: Cheap tests of whether a text can hold an identity number or a street at all.
-_ID_HINTS = ("ssn", "social", "dni", " nie ", "curp", " rfc ", " cpf ", " rg ", " nss ", "passp", "pasap", "passa", "licen", "permis", "carteira", "tax id", "national id", "id card", "id number", "identity")
+#: Cheap tests of whether a text can hold an identity number or a street at all. Parts of up to four letters stand inside many words, so only a word's beginning counts.
+_ID_HINTS = tuple(h for h in _ID_LABELS if len(h) > 4)
+_ID_SHORT = tuple((h, re.compile(rf"{h}(?<!\w{h})")) for h in _ID_LABELS if len(h) <= 4)
 _STREET_HINTS = ("Calle", "C/", "Av", "Paseo", "Plaza", "Cam", "Calzada", "Carrera", "Ronda", "Callej", "Rua", "Travessa", "Alameda", "Praça", "Largo", "Estrada")
 #: Runs of nine digits or more with single marks between them: the only places where phones and plain identity numbers are.
 _DIGITS = re.compile(r"\d(?:[ ().–-]{0,2}\d){8,}")
@@ -127,6 +131,13 @@ def slot_terms(fields: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
     return words.where(usable & ~F.col("term").isin(sorted(ORGANISATION_WORDS))).groupBy("term").agg(F.sum("n").alias("n_slot"))
 
 
+def can_hold_id(text: str, low: str) -> bool:
+    """Whether a label of an identity number may stand in the text; never False where ``_ID`` matches. low: the text in lower case."""
+    if not text.isascii():  # letters that count as i and s where case is ignored
+        low = low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
+    return any(h in low for h in _ID_HINTS) or any(h in low and p.search(low) for h, p in _ID_SHORT)
+
+
 def pattern_items(text: str, allowed: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
     """(kind, start, end) of e-mail addresses, identity numbers, phones and street addresses; earlier kinds win overlaps."""
     found: list[tuple[str, int, int]] = []
@@ -150,7 +161,7 @@ def pattern_items(text: str, allowed: list[tuple[str, str]]) -> list[tuple[str,
     if any(h in text for h in _STREET_HINTS):
         for m in _STREET_AFTER_WORD.finditer(text):
             add("street_address", m.start(), m.end())
-    if any(h in low for h in _ID_HINTS):
+    if can_hold_id(text, low):
         for m in _ID.finditer(text):
             add("id_number", *m.span("id"))
     runs = [(max(0, m.start() - 2), m.end() + 3) for m in _DIGITS.finditer(text)]
