@@ -200,6 +200,26 @@ def test_names(spark):
     assert sanitise.personal_items(f.limit(0), allowed).count() == 0
 
 
+def found_names(spark, drafts, threads=()):
+    inquiries = spark.createDataFrame([("slot", thread("Dear Priya,\nsee you."), None), *((f"t{i}", x, None) for i, x in enumerate(threads))], "inquiry_id string, thread_text_redacted string, subject_redacted string")
+    outputs = spark.createDataFrame([*enumerate(drafts), (9999, None)], "output_id long, response_draft string")
+    items = sanitise.personal_items(sanitise.text_fields(inquiries, outputs), spark.createDataFrame(ALLOWED, "entry string, kind string"))
+    return sorted((r.record_id, r.surface) for r in items.where("kind = 'person_name' and record_id <> 'slot'").collect())
+
+
+def test_copies_of_a_text_count_once(spark):
+    # a context: the same words in one text and its copies, equal or quoted
+    assert found_names(spark, ["The terms are set. Priya brings flowers for the hall."] * 11) == sorted((str(i), "Priya") for i in range(11))
+    said = "We met at the gate on the first day and it was all in order. Priya brings flowers for the hall, so leave the long table free and keep the side door open until noon."
+    quoted = [thread(said, *("Fine.\n\nOn Mon, Feb 5, 2024 at 10:00 AM {name} <{email}> wrote:\n\n" + "\n".join("> " * k + line for line in said.replace(", ", ",\n").split("\n")) for k in (1, 2, 3)))]
+    assert found_names(spark, [], quoted * 2) == [(f"t{i}", "Priya") for i in range(2) for _ in range(4)]
+    # disclosure: one slot, and one mention in many copies
+    assert found_names(spark, ["Both halls are free, so ask Priya."] * 40) == sorted((str(i), "Priya") for i in range(40))
+    # in different texts the same context is still that of an ordinary word
+    assert found_names(spark, [f"Hall {i} is free. Priya the boxes." for i in range(3)]) == []
+    assert found_names(spark, [f"Hall {i} is free, so ask Priya." for i in range(40)]) == []
+
+
 def test_large_vocabulary_is_joined(spark, monkeypatch):
     f, allowed = fields(spark)
     want = sorted(map(tuple, sanitise.personal_items(f, allowed).collect()))

@@ -3,7 +3,7 @@
 E-mail addresses, phone numbers, identity numbers and street addresses have a form of their own and are matched by it. Names
 have none. How strongly a term reveals a person is estimated from the whole corpus: a term's *disclosure* is the share of its
 occurrences that co-occur with a protected slot (sender, attribution, greeting, signature), the places where a person is
-named by position. Terms above the threshold make up names wherever they stand; where a lone term is also an ordinary word
+named by position. Copies say nothing new: quoted history and equal texts count once, by hashes of what stands around. Terms above the threshold make up names wherever they stand; where a lone term is also an ordinary word
 ("Mark the boxes"), the contexts it stands in are compared: a context that reveals persons co-occurs with many different
 names, one that doesn't repeats a single word. Terms that exceed the thresholds are generalised to their type.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from threadloom.session import cut, small_side, spread
 MIN_DISCLOSURE = 0.05
 #: A context around a lone term that was seen this often, always with the same term, doesn't reveal a person.
 CONTEXT_SEEN = 3
+#: Characters before and after a use, without blanks and quote marks, that tell it from the same use in a copy of its text.
+SURROUNDING_CHARS = 80
 #: Slot terms sent to the tasks; a larger vocabulary is joined instead.
 VOCABULARY_ROWS = 500_000
 PLACEHOLDERS = {"email": "{email}", "phone": "{phone}", "id_number": "{id_number}", "street_address": "{street_address}", "person_name": "{name}"}
@@ -115,7 +118,7 @@ def _allowed(allow_terms: DataFrame) -> list[tuple[str, str]]:
 
 
 def slot_terms(fields: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
-    """(term, n_slot): how often each term fills a slot that names a person. Initials and the house's own words don't count.
+    """(term, n_slot): in how many different texts each term fills a slot that names a person. Initials and the house's own words don't count.
 
     Terms of e-mail local parts come too, with n_slot 0 if they fill no other slot: they don't reveal a person alone, but
     belong to a name next to a term that does.
@@ -125,10 +128,10 @@ def slot_terms(fields: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
     own = sorted({w.casefold() for entry, kind in allowed if kind in ("staff_name", "organisation") for w in re.findall(r"\w+", entry)})
     held = F.regexp_extract_all("text", F.lit(r"([\p{L}][\p{L}._+-]{2,40})\d* ?(?:@|[(\[]at[)\]])"), F.lit(1))
     local = F.when(F.col("text").rlike(r"@|[(\[]at[)\]]"), F.array_distinct(held)).otherwise(F.array().cast("array<string>"))
-    sources = fields.select(F.inline(F.array(F.struct(F.lit(1).alias("n"), F.array_union(names, more).alias("found")), F.struct(F.lit(0).alias("n"), local.alias("found")))))
-    words = sources.select("n", F.explode("found").alias("name")).select("n", F.explode(F.split(F.lower("name"), r"[,.]? |[.,]$|[._+-]")).alias("term"))
+    sources = fields.select(F.xxhash64("text").alias("_text"), F.inline(F.array(F.struct(F.lit(1).alias("n"), F.array_union(names, more).alias("found")), F.struct(F.lit(0).alias("n"), local.alias("found")))))
+    words = sources.select("n", "_text", F.explode("found").alias("name")).select("n", F.when(F.col("n") > 0, F.xxhash64("_text", "name")).alias("_use"), F.explode(F.split(F.lower("name"), r"[,.]? |[.,]$|[._+-]")).alias("term"))
     usable = (F.length("term") > 1) & ~F.col("term").isin(own) if own else F.length("term") > 1
-    return words.where(usable & ~F.col("term").isin(sorted(ORGANISATION_WORDS))).groupBy("term").agg(F.sum("n").alias("n_slot"))
+    return words.where(usable & ~F.col("term").isin(sorted(ORGANISATION_WORDS))).distinct().groupBy("term").agg(F.sum("n").alias("n_slot"))
 
 
 def can_hold_id(text: str, low: str) -> bool:
@@ -184,6 +187,13 @@ def _around(text: str, a: int, b: int) -> tuple[str, str]:
     return " ".join(left).lower(), " ".join(right).lower()
 
 
+def _surroundings(text: str, a: int, b: int) -> int:
+    """A hash of text[a:b] and what stands around it, the same wherever the text is quoted or wrapped anew."""
+    plain = ["".join(t.replace(">", " ").replace("|", " ").split()) for t in (text[max(0, a - 3 * SURROUNDING_CHARS) : a], text[a:b], text[b : b + 3 * SURROUNDING_CHARS])]
+    held = f"{plain[0][-SURROUNDING_CHARS:]} {plain[1]} {plain[2][:SURROUNDING_CHARS]}"
+    return int.from_bytes(blake2b(held.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def capital_sequences(text: str, known, masked: list[tuple[int, int]]) -> list[tuple[int, list[str], list[int], str, str]]:
     """(start, tokens, token offsets, left context, right context) of capitalised sequences that hold a known term."""
     out = []
@@ -198,11 +208,14 @@ def capital_sequences(text: str, known, masked: list[tuple[int, int]]) -> list[t
     return out
 
 
-_ITEM = "field_name string, record_id string, kind string, surface string, start int, tokens array<string>, gaps array<string>, left string, right string"
+_ITEM = "field_name string, record_id string, kind string, surface string, start int, tokens array<string>, gaps array<string>, left string, right string, around long"
 
 
 def scan_fields(fields: DataFrame, allowed: list[tuple[str, str]], known: frozenset | None) -> DataFrame:
-    """Pattern items, and capitalised sequences (kind ``sequence``) with their tokens, what follows each, and contexts."""
+    """Pattern items, and capitalised sequences (kind ``sequence``) with their tokens, what follows each, and contexts.
+
+    around tells different uses apart; it is null where the record holds the sequence before the same words already, as quoted history does.
+    """
     shared = None if known is None else fields.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,15 +224,20 @@ def scan_fields(fields: DataFrame, allowed: list[tuple[str, str]], known: frozen
             rows = []
             for field, record, text in zip(batch["field_name"], batch["record_id"], batch["text"]):
                 items = pattern_items(text, allowed)
-                rows += [(field, record, kind, text[a:b], a, None, None, None, None) for kind, a, b in items]
+                rows += [(field, record, kind, text[a:b], a, None, None, None, None, None) for kind, a, b in items]
                 if names is not None and not any(_key(w) in names for w in set(_TOKEN.findall(text))):
                     continue
+                seen = set()
                 for start, tokens, at in capital_sequences(text, names, [(a, b) for _, a, b in items]):
                     ends = [a + len(t) for a, t in zip(at, tokens)]
                     gaps = [text[e:a] for e, a in zip(ends, at[1:])] + [""]
                     left, right = _around(text, start, ends[-1])
-                    rows.append((field, record, "sequence", text[start : ends[-1]], start, tokens, gaps, left, right))
-            yield pd.DataFrame(rows, columns=["field_name", "record_id", "kind", "surface", "start", "tokens", "gaps", "left", "right"])
+                    surface = text[start : ends[-1]]
+                    around = None if (surface, right) in seen else _surroundings(text, start, ends[-1])
+                    seen.add((surface, right))
+                    rows.append((field, record, "sequence", surface, start, tokens, gaps, left, right, around))
+            found = pd.DataFrame(rows, columns=["field_name", "record_id", "kind", "surface", "start", "tokens", "gaps", "left", "right", "around"])
+            yield found.astype({"around": "Int64"})
 
     return spread(fields).mapInPandas(run, _ITEM)
 
@@ -271,16 +289,16 @@ def personal_items(fields: DataFrame, allow_terms: DataFrame, min_disclosure: fl
     sequences = scanned.where("kind = 'sequence'").drop("kind").withColumn("_id", F.xxhash64("field_name", "record_id", "start"))
 
     key = F.lower(F.regexp_replace("token", r"['’][sS]?$", ""))
-    uses = sequences.select("_id", "left", "right", F.posexplode("tokens").alias("at", "token")).withColumn("term", key)
-    counts = uses.groupBy("term").agg(F.count("*").alias("n"))
+    uses = sequences.select("_id", "around", F.posexplode("tokens").alias("at", "token")).withColumn("term", key)
+    counts = uses.where("around is not null").select("term", "around").distinct().groupBy("term").agg(F.count("*").alias("n"))
     terms = counts.join(slots, "term").select("term", F.least(F.lit(1.0), F.col("n_slot") / F.col("n")).alias("disclosure"))
     scored = uses.join(small_side(terms), "term", "left").withColumn("disclosure", F.coalesce("disclosure", F.lit(-1.0)))
     per = scored.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("at", "disclosure"))).alias("_d"))  # a sequence is a handful of words
-    # contexts of lone terms: how many different terms stand in them. What ends a line or a clause says nothing
+    # contexts of lone terms, each text once: how many different terms stand in them. What ends a line or a clause says nothing
     rated = sequences.join(per, "_id", "left")
     revealing = F.filter("_d", lambda x: x["disclosure"] >= min_disclosure)
-    lone = rated.where((F.size(revealing) == 1) & F.col("right").rlike(r"^\w+ \w+$")).select("right", F.lower(F.get("tokens", revealing[0]["at"])).alias("term"))
-    contexts = lone.groupBy("right").agg(F.count("*").alias("n_context"), (F.min("term") < F.max("term")).alias("several"))
+    lone = rated.where((F.size(revealing) == 1) & F.col("right").rlike(r"^\w+ \w+$")).select("right", F.lower(F.get("tokens", revealing[0]["at"])).alias("term"), "around")
+    contexts = lone.where("around is not null").distinct().groupBy("right").agg(F.count("*").alias("n_context"), (F.min("term") < F.max("term")).alias("several"))
     stuck = contexts.where(~F.col("several") & (F.col("n_context") >= CONTEXT_SEEN)).select("right", F.lit(True).alias("_stuck"))
     wordy = rated.join(small_side(stuck), "right", "left")
 
