@@ -220,6 +220,16 @@ def test_copies_of_a_text_count_once(spark):
     assert found_names(spark, [f"Hall {i} is free, so ask Priya." for i in range(40)]) == []
 
 
+def test_repeated_rows_give_repeated_names(spark):
+    f, allowed = fields(spark)
+    once = sorted(map(tuple, sanitise.personal_items(f, allowed).collect()))
+    assert sorted(map(tuple, sanitise.personal_items(f.unionByName(f), allowed).collect())) == sorted(once * 2)
+    texts = "field_name string, record_id string, text string"  # one id, two texts with a name at the same place
+    both = f.unionByName(spark.createDataFrame([("response_draft", "0", "Please ask for Mark Ilmubal.")], texts))
+    got = [r.surface for r in sanitise.personal_items(both, allowed).where("kind = 'person_name' and field_name = 'response_draft' and record_id = '0'").collect()]
+    assert sorted(got) == ["Dora", "Iker Quellar", "Mark Ilmubal"]
+
+
 def test_large_vocabulary_is_joined(spark, monkeypatch):
     f, allowed = fields(spark)
     want = sorted(map(tuple, sanitise.personal_items(f, allowed).collect()))

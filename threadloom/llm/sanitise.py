@@ -286,14 +286,14 @@ def personal_items(fields: DataFrame, allow_terms: DataFrame, min_disclosure: fl
     known = frozenset(r[0] for r in slots.select("term").collect()) if fits else None
     scanned = cut(scan_fields(fields, allowed, known))
     patterns = scanned.where("kind <> 'sequence'").select("field_name", "record_id", "kind", "surface", "start", F.length("surface").alias("n_chars"))
-    sequences = scanned.where("kind = 'sequence'").drop("kind").withColumn("_id", F.xxhash64("field_name", "record_id", "start"))
+    sequences = scanned.where("kind = 'sequence'").drop("kind").withColumn("_id", F.xxhash64("field_name", "record_id", "start", "tokens"))
 
     key = F.lower(F.regexp_replace("token", r"['’][sS]?$", ""))
     uses = sequences.select("_id", "around", F.posexplode("tokens").alias("at", "token")).withColumn("term", key)
     counts = uses.where("around is not null").select("term", "around").distinct().groupBy("term").agg(F.count("*").alias("n"))
     terms = counts.join(slots, "term").select("term", F.least(F.lit(1.0), F.col("n_slot") / F.col("n")).alias("disclosure"))
     scored = uses.join(small_side(terms), "term", "left").withColumn("disclosure", F.coalesce("disclosure", F.lit(-1.0)))
-    per = scored.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("at", "disclosure"))).alias("_d"))  # a sequence is a handful of words
+    per = scored.groupBy("_id").agg(F.sort_array(F.collect_set(F.struct("at", "disclosure"))).alias("_d"))  # a sequence is a handful of words; a repeated record has each once
     # contexts of lone terms, each text once: how many different terms stand in them. What ends a line or a clause says nothing
     rated = sequences.join(per, "_id", "left")
     revealing = F.filter("_d", lambda x: x["disclosure"] >= min_disclosure)
