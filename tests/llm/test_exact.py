@@ -263,6 +263,29 @@ def test_share(spark, corpus):
     assert rows[60].repeated_chars == len(text[60]) and rows[60].n_copies == 3 and rows[200].n_chars == 0
 
 
+def test_spans_and_texts_without_repeats(spark, corpus):
+    df = spark.createDataFrame(corpus, "doc_id long, text string").selectExpr("*", "1 as a", "2 as b", "3 as later", "4 as class_id")
+    text, found = dict(corpus), defaultdict(list)
+    for r in spans.document_spans(df).collect():
+        found[r.doc_id].append((r.from_char, r.to_char, r.is_first))
+    assert all(len(x) == len(set(x)) for x in found.values())
+    clean = {r.doc_id: r for r in spans.without_repeats(df).collect()}
+    assert len(clean) == len(corpus) and clean[200].clean_text is None
+    for d, t in text.items():
+        t = t or ""
+        windows = [t[p : p + 300] for p in range(len(t) - 299)]
+        for ids, marks in (([i for i in text if i != d], (True, False)), ([i for i in text if i < d], (False,))):
+            others = "\0".join(text[i] or "" for i in ids)
+            want = {q for p, w in enumerate(windows) if w in others for q in range(p, p + 300)}
+            assert {q for a, b, first in found[d] if first in marks for q in range(a, b)} == want, d
+        assert (clean[d].clean_text or "") == "".join(c for q, c in enumerate(t) if q not in want) and clean[d].n_removed == len(want)
+    assert any(r.n_removed == len(text[d]) > 0 for d, r in clean.items()) and any(0 < r.n_removed < len(text[d] or "") for d, r in clean.items())
+    twice = df.unionByName(df)
+    assert {tuple(r) for r in spans.document_spans(twice).collect()} == {(d, *x) for d, xs in found.items() for x in xs}
+    assert sorted(map(str, spans.without_repeats(twice).collect())) == sorted([*map(str, clean.values())] * 2)
+    assert spans.document_spans(df.limit(0)).count() == 0 and spans.without_repeats(df.limit(0)).count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.data(), st.sampled_from(["ab c.", "a", "word ", "xyz", "é, ü! ", "no stop here ", "ab\n"]))
 def test_a_run_lies_in_every_shared_span(data, letters):

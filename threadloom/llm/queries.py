@@ -86,7 +86,15 @@ def p9_share(spark, d):
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p3_languages, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_removal, p9_found, p9_share)}
+def p9_spans(spark, d):
+    return spans.document_spans(table(spark, d, "documents"))
+
+
+def p9_without_repeats(spark, d):
+    return spans.without_repeats(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p3_languages, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_removal, p9_found, p9_share, p9_spans, p9_without_repeats)}
 
 _TERM = "regexp_replace(lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g')"
 _TAG_SQL = f"""

@@ -191,6 +191,53 @@ def span_pairs(documents: DataFrame, min_chars: int = MIN_CHARS, expand_copies:
     return both.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b")).distinct()
 
 
+def _sides(spans: DataFrame) -> DataFrame:
+    """(class_id, other, a, b, later): each span from either text; later where the other text has the smaller id."""
+    end = lambda c: (F.col(c) + F.col("n_chars")).alias("b")
+    return spans.select(F.col("doc_id_a").alias("class_id"), F.col("doc_id_b").alias("other"), F.col("from_a").alias("a"), end("from_a"), F.lit(False).alias("later")).unionByName(
+        spans.select(F.col("doc_id_b").alias("class_id"), F.col("doc_id_a").alias("other"), F.col("from_b").alias("a"), end("from_b"), F.lit(True).alias("later"))
+    )
+
+
+def document_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Distinct (doc_id, from_char, to_char, is_first): the maximal spans a document shares with others, in code points.
+
+    is_first is false where a text of smaller id holds the span too. A text with exact copies is a span as a whole in each of
+    them; its inner spans stand with the first copy only, so that the rows stay in proportion to the documents.
+    """
+    classes = cut(copy_classes(documents))
+    inner = _sides(shared_spans(_representatives(documents, classes), min_chars)).select(F.col("class_id").alias("doc_id"), "a", "b", "later")
+    long = documents.where(F.length("text") >= min_chars).select("doc_id", F.length("text").alias("b"))
+    whole = long.join(classes.where("n_copies > 1"), "doc_id").select("doc_id", F.lit(0).alias("a"), "b", (F.col("doc_id") != F.col("class_id")).alias("later"))
+    spans = inner.unionByName(whole).groupBy("doc_id", "a", "b").agg(F.max("later").alias("later"))
+    return spans.select("doc_id", F.col("a").alias("from_char"), F.col("b").alias("to_char"), (~F.col("later")).alias("is_first"))
+
+
+def without_repeats(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, n_removed, clean_text) of every stored document: its text without the spans that an earlier text holds too.
+
+    n_removed is ``repeated_chars`` of ``shared_share``. The first occurrence of a span stays; null texts stay null.
+    """
+    later = document_spans(documents, min_chars).where("not is_first").groupBy("doc_id").agg(F.collect_set(F.struct("from_char", "to_char")).alias("_later"))
+
+    @F.pandas_udf(T.StringType())
+    def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, held in zip(text, spans):
+            if t is None or held is None or not len(held):
+                out.append(t)
+                continue
+            parts, at = [], 0
+            for a, b in sorted((s["from_char"], s["to_char"]) for s in held):
+                parts.append(t[at:a])  # empty where spans overlap
+                at = max(at, b)
+            out.append("".join(parts) + t[at:])
+        return pd.Series(out)
+
+    joined = spread(documents.select("doc_id", "text"), "doc_id").join(small_side(later), "doc_id", "left")
+    return joined.select("doc_id", "text", kept("text", "_later").alias("clean_text")).select("doc_id", F.coalesce(F.length("text") - F.length("clean_text"), F.lit(0)).alias("n_removed"), "clean_text")
+
+
 def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_chars, class_id, n_copies, n_linked, shared_chars, repeated_chars) of every document.
 
@@ -202,10 +249,7 @@ def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     classes = cut(copy_classes(documents))
     texts = _representatives(documents, classes)
     spans = shared_spans(texts, min_chars)
-    end = lambda c: (F.col(c) + F.col("n_chars")).alias("b")
-    sides = spans.select(F.col("doc_id_a").alias("class_id"), F.col("doc_id_b").alias("other"), F.col("from_a").alias("a"), end("from_a"), F.lit(False).alias("later")).unionByName(
-        spans.select(F.col("doc_id_b").alias("class_id"), F.col("doc_id_a").alias("other"), F.col("from_b").alias("a"), end("from_b"), F.lit(True).alias("later"))
-    )
+    sides = _sides(spans)
 
     def covered(which: str):
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
