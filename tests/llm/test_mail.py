@@ -69,6 +69,32 @@ def test_pasted_history_without_marks():
     assert new(FIRST, f"As you said:\n{FIRST}\nYes.")[1] == "As you said:\nYes."
 
 
+SHORT_LINES = FIRST.replace("for 106", "for\n106").replace("time? ", "time?\n").replace("speech, ", "speech,\n")
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"As you said: {FIRST} Yes, gladly.", "As you said: Yes, gladly."),  # one line
+        (FIRST, ""),
+        (f"Yes, gladly. Best, Jo Doe On 2/5/2024 10:00 AM, {{name}} wrote: {FIRST}", "Yes, gladly."),
+        (f"Yes.\n{SHORT_LINES}\nNo.", "Yes. No."),  # shorter lines
+        (f"As you said: {FIRST} Yes,\ngladly.", "As you said: Yes, gladly."),  # part of a line
+        (f"Yes.\n{SHORT_LINES} No.\nGladly.", "Yes. No. Gladly."),
+        ("Would grazing tables be possible for 106 people in the mezzanine this time or for 10 next time?\nJo", "Would grazing tables be possible for 106 people in the mezzanine this time or for 10 next time? Jo"),  # a turn used again
+        ("Thanks for this. There will be a short speech, then coffee.", "Thanks for this. There will be a short speech, then coffee."),
+    ],
+)
+def test_pasted_history_in_one_line_or_in_parts(body, want):
+    assert new(FIRST, body)[1].split() == want.split()
+
+
+def test_closing_inside_pasted_history_cuts_nothing():
+    old = "We would take the long table by the window and both of the side rooms after lunch.  Best,  Ana Ruiz and everyone here. Please do tell us the price for all of it."
+    found = [r[1].split() for r in newtext.thread_new_texts(thread("_(x)_", old.replace("  Best,  ", " Best, "), f"{old} It is 90."))]
+    assert found[2] == "It is 90.".split()
+
+
 def test_messages_table(spark):
     rows = [("a", thread("yes\n> old", "_(no body extracted)_")), ("b", None), ("c", ""), ("d", "no blocks"), ("a", thread("yes\n> old")), ("e", thread("> only"))]
     df = spark.createDataFrame(rows, "inquiry_id string, thread_text_redacted string").selectExpr("*", "1 as message_no", "2 as n_words")

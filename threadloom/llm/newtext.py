@@ -6,7 +6,7 @@ blocks before it. Three passes over each message:
 1. quoted regions open at an attribution, a forwarding ruler, a header block or a quote prefix;
 2. the words of every line are compared with all ancestors: k-word shingles are looked up by rolling hash, each hit is
    extended word by word to a maximal aligned span, and a line that spans cover is inherited. Inheritance ends an
-   unprefixed quote under a leading attribution, and removes pasted history that carries no marker at all;
+   unprefixed quote under a leading attribution, and long spans remove pasted history that carries no marker at all;
 3. from what is left, the closing phrase with the signature under it, device lines and notices are cut.
 
 Threads are independent of each other, so the operator is one Arrow pass without a shuffle.
@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from threadloom.session import spread
 
 SHINGLE_WORDS = 5
-#: Unmarked lines count as pasted history from this many words on.
+#: Unmarked lines and spans count as pasted history from this many words on.
 PASTED_WORDS = 14
+#: A lone sentence inside other text counts from this many words on.
+PASTED_SENTENCE_WORDS = 25
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 # Closing phrases, alone on their line, in the four languages of the mail.
@@ -69,6 +71,8 @@ _NOTICE = (
 _OPENER = re.compile(rf"(?m)^[ \t]*(?:(?P<attr>{_ATTRIBUTION})|(?P<ruler>{_RULER})|(?P<head>{_HEADER}))[ \t]*$")
 _FLAT_OPENER = re.compile(rf"(?:(?<![\w])|(?<=[a-záéíóú]))(?:{_ATTRIBUTION}|{_RULER}|{_FLAT_HEADER})")
 _PREFIX = re.compile(r"^[ \t]*[>|]")
+_SENTENCE_END = re.compile(r"[.!?…:][)\]\"'”’»]*$")
+_WORD = re.compile(r"\S+")
 _STRIP = re.compile(r"^[ \t]*(?:[>|]+ ?)+")
 _FIELD_LINE = re.compile(rf"^[ \t]*{_FIELD}")
 _CLOSING_LINE = re.compile(rf"^\s*(?:(?:{_CLOSING})\s?[,.!]?|--|[—–])\s*$", re.I)
@@ -104,6 +108,31 @@ def split_thread(text: str) -> list[Message]:
     return out
 
 
+def _marked(n: int, spans: list[tuple[int, int]]) -> list[bool]:
+    held = [False] * n
+    for a, b in spans:
+        held[a:b] = [True] * (b - a)
+    return held
+
+
+def _pasted(words: list[str], line_starts: set[int], spans: list[tuple[int, int]]) -> list[bool]:
+    """Which words are pasted history: the whole sentences of each inherited span, where they have ``PASTED_WORDS`` together.
+
+    People use the same turns again, so words at the ends of a span that make up a part of a sentence only are no history,
+    nor is a lone sentence of less than ``PASTED_SENTENCE_WORDS``.
+    """
+    begins = lambda i: i in (0, len(words)) or i in line_starts or _SENTENCE_END.search(words[i - 1])
+    out = []
+    for a, b in spans:
+        if b - a >= PASTED_WORDS:
+            a = next((i for i in range(a, b) if begins(i)), b)
+            b = next((i for i in range(b, a, -1) if begins(i)), a)
+            several = any(_SENTENCE_END.search(words[i - 1]) for i in range(a + 1, b))
+            if b - a >= (PASTED_WORDS if several else PASTED_SENTENCE_WORDS):
+                out.append((a, b))
+    return _marked(len(words), out)
+
+
 class Ancestors:
     """Words of all earlier messages, with their k-word shingles by rolling hash."""
 
@@ -126,17 +155,19 @@ class Ancestors:
         for i, h in self._rolling(words, self.k):
             self.at.setdefault(h, []).append(base + i)
 
-    def inherited(self, words: list[str]) -> list[bool]:
-        """Which words lie in a span that occurs in an ancestor: each shingle hit is extended as far as any ancestor goes on.
+    def spans(self, words: list[str]) -> list[tuple[int, int]]:
+        """(start, end) of the spans that occur in an ancestor: each shingle hit is extended as far as any ancestor goes on.
 
-        Extending to the right is enough, as a span's first shingle is a hit too. An ancestor that stops before the reach
+        Extending to the left matters only where the span before ends inside this one, as a span's first shingle is a hit too. An ancestor that stops before the reach
         of an earlier one is dismissed by a single word, so repetitive text stays linear.
         """
-        held, n, reached = [False] * len(words), len(words), 0
+        out, n, reached = [], len(words), 0
+        if not self.words:
+            return out
         for i, h in self._rolling(words, self.k):
             if i + self.k <= reached:
                 continue
-            reach = i
+            reach, best = i, 0
             for j in self.at.get(h, ()):
                 if reach == i:
                     if self.words[j : j + self.k] != words[i : i + self.k]:
@@ -144,18 +175,45 @@ class Ancestors:
                     reach = i + self.k
                 elif not (reach < n and j + reach - i < len(self.words) and self.words[j + reach - i] == words[reach] and self.words[j : j + reach - i] == words[i:reach]):
                     continue
+                best = j
                 while reach < n and j + reach - i < len(self.words) and self.words[j + reach - i] == words[reach]:
                     reach += 1
             if reach > i:
-                held[i:reach] = [True] * (reach - i)
                 reached = max(reached, reach)
-        return held
+                start = i
+                while start and best and self.words[best - 1] == words[start - 1]:
+                    start, best = start - 1, best - 1
+                out.append((start, reach))
+        return out
 
-
-def _cut_flat(line: str) -> str:
-    """A body collapsed into one line: cut at the earliest closing phrase with a name, device line, quote opener or notice."""
-    ends = [m.start() for p in (_FLAT_OPENER, _FLAT_CLOSING, _FLAT_DEVICE, _FLAT_NOTICE) if (m := p.search(line))]
-    return line[: min(ends)] if ends else line
+    def inherited(self, words: list[str]) -> list[bool]:
+        """Which words lie in a span that occurs in an ancestor."""
+        return _marked(len(words), self.spans(words))
+
+
+def _without(line: str, held: list[bool]) -> str:
+    """A line without its held words; held tells of each word behind the quote marks."""
+    begin = m.end() if (m := _STRIP.match(line)) else 0
+    out, at, before = [], 0, False
+    for w, h in zip(_WORD.finditer(line, begin), held):
+        if h and not before:
+            out.append(line[at : w.start()])
+        if h:
+            at = w.end()
+        before = h
+    return "".join(out) + line[at:]
+
+
+def _cut_flat(line: str, ancestors: Ancestors) -> str:
+    """A body collapsed into one line, without pasted history: cut at the earliest closing phrase with a name, device line, quote
+    opener or notice. Inside pasted history those belong to an ancestor and cut nothing."""
+    words = list(_WORD.finditer(line))
+    texts = [w[0] for w in words]
+    held = _pasted(texts, set(), ancestors.spans(texts))
+    pasted = [w.span() for w, h in zip(words, held) if h]
+    inside = lambda m: (k := bisect_right(pasted, (m.end() - len(m[0].lstrip()), len(line)))) and m.end() - len(m[0].lstrip()) < pasted[k - 1][1]
+    ends = [m.start() for p in (_FLAT_OPENER, _FLAT_CLOSING, _FLAT_DEVICE, _FLAT_NOTICE) if (m := next((m for m in p.finditer(line) if not inside(m)), None))]
+    return _without(line[: min(ends)] if ends else line, held)
 
 
 def _plain(line: str) -> str:
@@ -187,7 +245,7 @@ def new_text(body: str, ancestors: Ancestors) -> str:
             break
     body = "\n".join(lines).strip()
     if "\n" not in body:
-        return "" if _PREFIX.match(body) else _cut_flat(body)
+        return "" if _PREFIX.match(body) else _cut_flat(body, ancestors)
     lines = body.split("\n")
     quoted = [bool(_PREFIX.match(x)) for x in lines]
     dropped = list(quoted)
@@ -201,11 +259,13 @@ def new_text(body: str, ancestors: Ancestors) -> str:
         ws = _STRIP.sub("", line).split()
         words += ws
         owner += [i] * len(ws)
-    held = ancestors.inherited(words) if ancestors.words else [False] * len(words)
-    n_words, n_held = [0] * len(lines), [0] * len(lines)
-    for i, h in zip(owner, held):
+    spans = ancestors.spans(words)
+    held, pasted = _marked(len(words), spans), _pasted(words, {k for k in range(1, len(words)) if owner[k] != owner[k - 1]}, spans)
+    n_words, n_held, in_paste = [0] * len(lines), [0] * len(lines), [[] for _ in lines]
+    for i, h, p in zip(owner, held, pasted):
         n_words[i] += 1
         n_held[i] += h
+        in_paste[i].append(p)
     for m in _OPENER.finditer(body):
         first, last = line_of(m.start()), line_of(max(m.start(), m.end() - 1))
         if quoted[first]:
@@ -232,12 +292,15 @@ def new_text(body: str, ancestors: Ancestors) -> str:
     for i in range(len(lines)):
         if not dropped[i] and n_words[i] >= PASTED_WORDS and n_held[i] == n_words[i]:
             dropped[i] = True
+    # pasted history over shorter lines, or in a part of one: whole lines go at once, parts when closings and notices were looked for
+    whole = [bool(p) and all(p) for p in in_paste]
+    rest_of = {id(x): _without(x, p) for x, p in zip(lines, in_paste) if any(p) and not all(p)}
     own, out = [], []
     for i in range(len(lines) + 1):
         if i < len(lines) and not dropped[i]:
-            own.append(lines[i])
+            own += [] if whole[i] else [lines[i]]
         elif own:
-            out += _cut_tail(own)
+            out += [rest_of.get(id(x), x) for x in _cut_tail(own)]
             own = []
     return "\n".join(out)
 
