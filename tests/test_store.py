@@ -174,3 +174,25 @@ def test_stream_equals_batch(spark, labels, tmp_path):
         part.coalesce(1).write.mode("append").parquet(src)
         latest.keep_latest(latest.label_stream(spark, src, labels.schema), str(tmp_path / "v"), str(tmp_path / "c")).awaitTermination()
     assert ids(latest.current(spark, str(tmp_path / "v"), 1)) == ids(lb.latest_labels(rows))
+
+
+def test_queries_run_their_operators_on_data(spark, tmp_path):
+    from threadloom.plans import queries
+
+    thread = "## Message 1\n**From:** Ana Ruiz <a@b.test>\n**Date:** x\n\nMail ana.ruiz@dun.example2.org or desk@house.org, call (415) 867-5309 or (619) 867-0100."
+    rows = [(1, "a"), (1, "a"), (2, "ghost")]
+    filled = spark.createDataFrame(rows, "label_id long, inquiry_id string")
+    filled = filled.select(*[F.col(f.name) if f.name in filled.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.LABELS.fields])
+    tables = {
+        "labels": filled,
+        "inquiries": spark.createDataFrame([("a", thread)], "inquiry_id string, thread_text_redacted string"),
+        "agent_outputs": spark.createDataFrame([("Hi Ruiz, Hello Nobody.",)], "response_draft string"),
+        "allow_terms": spark.createDataFrame([("desk@house.org", "email"), ("(619) 867-0100", "phone")], "entry string, kind string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    report = queries.label_migration_report(spark, str(tmp_path)).collect()[0]
+    assert (report.n_before, report.n_after, report.n_lost, report.n_added, report.n_orphans) == (3, 2, 1, 0, 1)
+    got = {(r.kind, r.term) for r in queries.sender_name_tokens(spark, str(tmp_path)).collect()}
+    assert {("email", "ana.ruiz@dun.example2.org"), ("phone", "(415) 867-5309"), ("name", "ana ruiz"), ("name", "ruiz")} <= got
+    assert not {t for _, t in got} & {"desk@house.org", "(619) 867-0100", "nobody"}

@@ -415,9 +415,10 @@ def sender_names(spark, d):
 
 @query()
 def sender_name_tokens(spark, d):
-    names = sender_names(spark, d)
-    none = spark.createDataFrame([], "name string, email string, phone string")
-    return termscan.stable_tokens(termscan.variants(names, none.select("email"), none.select("phone"), none.select("name"), []))
+    allowed = [r[0] for r in table(spark, d, "allow_terms").where("entry is not null").select("entry").collect()]
+    text, own = F.col("thread_text_redacted"), [a.lower() for a in allowed]
+    held = lambda kind: table(spark, d, "inquiries").select(F.explode(F.regexp_extract_all(text, F.lit("(?U)" + patterns.PATTERNS[kind]), F.lit(0))).alias(kind)).where(~F.lower(kind).isin(own)).distinct()
+    return termscan.stable_tokens(termscan.variants(sender_names(spark, d), held("email"), held("phone"), mined_names(spark, d), allowed))
 
 
 @query()
@@ -433,7 +434,9 @@ def draft_lengths(spark, d):
 @query("SELECT (SELECT count(*) FROM labels) AS n_before, (SELECT count(*) FROM labels) AS n_after, 0 AS n_lost, 0 AS n_added, (SELECT count(*) FROM labels WHERE inquiry_id NOT IN (SELECT inquiry_id FROM inquiries)) AS n_orphans")
 def label_migration_report(spark, d):
     rows = table(spark, d, "labels")
-    return writers.reconcile(rows, rows.select(*[f.name for f in schema.LABELS.fields]), "label_id", table(spark, d, "inquiries"), "inquiry_id")
+    stored = rows.select(*[f.name for f in schema.LABELS.fields])
+    rebuilt = labels.new_rows(stored.limit(0), stored, "label_id")
+    return writers.reconcile(rows, rebuilt, "label_id", table(spark, d, "inquiries"), "inquiry_id")
 
 
 @query()
