@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadloom.llm import language, newtext, sanitise
@@ -193,6 +195,18 @@ def test_pattern_items(text, want):
     assert items(text) == want
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["+47 22 33 44", "(415) 555-0101", "123-45-6789", "12345678A", "My CPF: 123.456.789-09", "NIE: X1234567L", "12 Elm St", "Calle Sol 5", "jo (at) dun.test", "+1", "(", ")", "-", " ", ".", "4", "20", "555", "0101", "–", "a", "Av. Dun 7", ", ", "rg", "\n"]), max_size=12))
+def test_gates_lose_nothing(parts):
+    text = "".join(parts)
+    own = frozenset(a[0].casefold() for a in ALLOWED if a[0])
+    assert sanitise.pattern_items(text, own) == sanitise.pattern_items(text, own, gated=False)
+
+
+def test_phones_of_few_digits():
+    assert items("call +47 22 33 44 or (415)-(555)") == [("phone", "+47 22 33 44")]
+
+
 ID_TEXTS = [
     "SSN 123456", "social security number: 123456", "social security no. 123456", "DNI 1234567", "NIE: X1234567L", "NIE X1234567L", "CURP ABCD010101HDF", "(RFC ABCD010101AB1)", "CPF: 123.456.789-09", "RG 12.345.678-9", "NSS: 12345678901",
     "Mon passeport est 12AB34567", "passport no. ZZ50916", "pasaporte nº XA12345", "O passaporte é FX12345", "driver’s license D123-4567", "drivers licence D1234567", "driving licence D1234567", "licencia: B1234567", "licencia de conducir B1234567", "permis de conduire 12AB34567",
@@ -256,6 +270,15 @@ def test_repeated_rows_give_repeated_names(spark):
     assert sorted(got) == ["Dora", "Iker Quellar", "Mark Ilmubal"]
 
 
+def test_items_in_very_many_texts_tell_nobody_apart(spark):
+    texts = "field_name string, record_id string, text string"
+    rows = [("response_draft", str(i), f"Case {i}: ring (415) 555-0123" + (f" or mail j{i}@dun.test" if i % 2 else "")) for i in range(400)]
+    allowed = spark.createDataFrame([], "entry string, kind string")
+    found = sanitise.personal_items(spark.createDataFrame(rows, texts), allowed)
+    assert {r.kind for r in found.collect()} == {"email"} and found.count() == 200
+    assert sanitise.personal_items(spark.createDataFrame(rows[:100], texts), allowed).where("kind = 'phone'").count() == 100
+
+
 def test_large_vocabulary_is_joined(spark, monkeypatch):
     f, allowed = fields(spark)
     want = sorted(map(tuple, sanitise.personal_items(f, allowed).collect()))

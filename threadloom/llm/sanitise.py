@@ -1,20 +1,30 @@
 """Personal data in free text: found, typed, and replaced by placeholders.
 
-E-mail addresses, phone numbers, identity numbers and street addresses have a form of their own and are matched by it. Names
-have none. How strongly a term reveals a person is estimated from the whole corpus: a term's *disclosure* is the share of its
-occurrences that co-occur with a protected slot (sender, attribution, greeting, signature), the places where a person is
-named by position. Copies say nothing new: quoted history and equal texts count once, by hashes of what stands around. Terms above the threshold make up names wherever they stand; where a lone term is also an ordinary word
-("Mark the boxes"), the contexts it stands in are compared: a context that reveals persons co-occurs with many different
-names, one that doesn't repeats a single word. Terms that exceed the thresholds are generalised to their type.
-
-Pass 1 collects the slot terms inside the JVM. Pass 2 emits narrow rows only (pattern items, and capitalised sequences with
+Candidates come from the text alone: e-mail addresses, phone numbers, identity numbers and street addresses have a form, and
+capitalised words may be names. Whether a candidate is personal is decided by what it discloses, in bits, estimated from
+co-occurrence over the whole corpus:
+
+* a word discloses a person by its pointwise mutual information with the protected slots (sender, attribution, greeting,
+  signature), where a person is named by position, as a share of the information that "a person is meant here" holds:
+  ``PMI(word; slot) / IC(slot)``. From ``MIN_DISCLOSURE`` on it makes up names wherever it stands;
+* a context (the words that follow a lone name) in which many names stand discloses persons. One that repeats a single word
+  ("Mark the boxes") does not: ``(n - 1) * IC(word)`` bits speak against n uses being persons named by chance alike, and from
+  ``CONTEXT_BITS`` on its uses are ordinary words;
+* a formed item discloses its bearer by its own information content, ``-log2`` of the share of texts that hold it, the most
+  that it can have in common with any person. Below ``ITEM_BITS`` it stands in so many texts that it tells nobody apart.
+
+Terms that exceed the thresholds are generalised to their type, the rest stays. Copies say nothing new: quoted history and
+equal texts count once, by hashes of what stands around.
+
+Pass 1 collects the slot terms inside the JVM. Pass 2 emits narrow rows only (formed items, and capitalised sequences with
 a slot term); counts are combined on the map side, so a record or key that holds a third of all rows costs nothing extra.
-The slot vocabulary is sent to pass 2 only after its size was checked; beyond that bound pass 2 emits every sequence and a
-join does the sieving.
+The slot vocabulary and the ordinary contexts are sent to the tasks only after their size was checked; beyond that bound
+pass 2 emits every sequence and joins do the sieving, with equal results.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -25,15 +35,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.newtext import _CLOSING
-from threadloom.session import cut, small_side, spread
-
-#: Share of a term's occurrences in person slots from which it counts as part of a name.
-MIN_DISCLOSURE = 0.05
-#: A context around a lone term that was seen this often, always with the same term, doesn't reveal a person.
-CONTEXT_SEEN = 3
+from threadloom.session import cut, spread
+
+#: Share of the information content of a person slot that a term has to disclose to be part of a name.
+MIN_DISCLOSURE = 0.5
+#: Bits of evidence from which a context that repeats a single term doesn't reveal a person. 8 bits: odds of 256 to 1.
+CONTEXT_BITS = 8.0
+#: Information content below which a formed item tells nobody apart: it stands in an eighth of all texts.
+ITEM_BITS = 3.0
+#: Texts, words (one of them in a slot) and uses of names taken to have been seen before the corpus, so that small tables give no firm estimate.
+PRIOR_TEXTS, PRIOR_WORDS, PRIOR_USES = 1000, 1000, 100
 #: Characters before and after a use, without blanks and quote marks, that tell it from the same use in a copy of its text.
 SURROUNDING_CHARS = 80
-#: Slot terms sent to the tasks; a larger vocabulary is joined instead.
+#: Slot terms, or ordinary contexts, sent to the tasks; larger sets are joined instead.
 VOCABULARY_ROWS = 500_000
 PLACEHOLDERS = {"email": "{email}", "phone": "{phone}", "id_number": "{id_number}", "street_address": "{street_address}", "person_name": "{name}"}
 
@@ -58,15 +72,15 @@ _ID = re.compile(rf"(?<!\w)(?i:{_ID_LABEL})(?i:\s*(?:number|no\.?|nº|núm\.?|nu
 _ID_HINTS = tuple(h for h in _ID_LABELS if len(h) > 4)
 _ID_SHORT = tuple((h, re.compile(rf"{h}(?<!\w{h})")) for h in _ID_LABELS if len(h) <= 4)
 _STREET_HINTS = ("Calle", "C/", "Av", "Paseo", "Plaza", "Cam", "Calzada", "Carrera", "Ronda", "Callej", "Rua", "Travessa", "Alameda", "Praça", "Largo", "Estrada")
-#: Runs of nine digits or more with single marks between them: the only places where phones and plain identity numbers are.
-_DIGITS = re.compile(r"\d(?:[ ().–-]{0,2}\d){8,}")
+#: Runs of nine digits or more, or of five behind a plus, with few marks between them: the only places where phones and plain identity numbers are.
+_DIGITS = re.compile(r"(?:\d(?:[ ().–-]{0,3}\d){8}|\+(?:[ ().–-]{0,3}\d){5})(?:[ ().–-]{0,3}\d)*")
 _SSN = re.compile(r"(?<![\w–-])\d{3}-\d{2}-\d{4}(?![\w–-])|(?<![\w–-])(?<!\d )\d{3} \d{2} \d{4}(?![\w–-])(?! \d)")
-_DNI = re.compile(r"\d{8}[A-HJ-NP-TV-Z](?![\w-])")
 # Street words.
 _CITY = r"(?:, (?:\d{5} )?(?!(?:On|Get|Sent|From|To|The|We|I)\b)[A-ZÁÉÍÓÚÑ][a-záéíóúñç]+(?: (?:de |la |del )?[A-ZÁÉÍÓÚÑ][a-záéíóúñç]+){0,2}(?:,? [A-Z]{2},? \d{5}(?:-\d{4})?|,? \d{5})?)?"
 _UNIT = r"(?:, (?:(?:Apt|Suite|Ste|Unit|Floor|Room)\.? ?#?\w{1,5}|#\d{1,5}[A-Z]?))?"
-_STREET_AFTER_NUMBER = re.compile(
-    rf"\d{{1,5}}(?:[A-Z]? (?:[NSEW]\.? )?(?:[A-Z][\w'’.-]*[ ]){{1,3}}?(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Terrace|Place|Pl|Row|Square|Sq|Circle|Parkway|Pkwy|Highway|Hwy)\b(?:\.(?=,))?{_UNIT}{_CITY}"
+#: a street after its number, or a national number of eight digits and a letter
+_AFTER_NUMBER = re.compile(
+    rf"(?P<dni>\d{{8}}[A-HJ-NP-TV-Z](?![\w-]))|\d{{1,5}}(?:[A-Z]? (?:[NSEW]\.? )?(?:[A-Z][\w'’.-]*[ ]){{1,3}}?(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Terrace|Place|Pl|Row|Square|Sq|Circle|Parkway|Pkwy|Highway|Hwy)\b(?:\.(?=,))?{_UNIT}{_CITY}"
     rf"|,?(?: (?:bis|ter))? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|route) (?:de |du |des |la |le |l['’])*[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)?{_CITY})"
 )
 _STREET_AFTER_WORD = re.compile(
@@ -82,27 +96,29 @@ _TOKEN = re.compile(_CAP)
 #: a line break inside quoted text
 _QUOTE = re.compile(r"\r?\n[>|][>| ]*")
 _POSSESSIVE = re.compile(r"['’]s?$", re.I)
-# Last words of organisations, venues and streets.
-ORGANISATION_WORDS = frozenset(
-    "architects barn bank boathouse cafe chapel church club company college credit dental foundation freight gallery garden gardens group hall hotel house inc labs library llc ltd "
-    "partners pavilion press restaurant robotics rowing school service services studio studios table terrace theatre trust union university works "
-    "street st avenue ave road rd lane drive court way row blvd board council team committee".split()
+# Common last words of the names of institutions and streets, which make the word before them no person.
+INSTITUTION_WORDS = frozenset(
+    "academy avenue bank cafe chapel church city club college committee company council court department foundation gallery garden group hall hospital hotel house inc institute "
+    "lane library llc ltd museum office park place plaza press restaurant road school services square street team theatre trust union university".split()
 )
 # Words that open a greeting.
 _GREETING = r"(?:Dear|Hi|Hello|Hey|Good (?:morning|afternoon|evening)|Hola|Buenos días|Buenas tardes|Qué tal|Estimad[oa]|Querid[oa]|Bonjour|Bonsoir|Cher|Chère|Olá|Oi|Bom dia|Boa tarde|Prezad[oa]|Car[oa])"
-_SLOT_NAME = r"((?:[A-ZÀ-ÖØ-Þ]\.|[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]*)(?:,? (?:[A-ZÀ-ÖØ-Þ]\.|[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]*)){0,3})"
-#: Java regexes of the slots; group 1 is the name.
-_SLOTS = [
-    rf"(?m)^(?:\*\*From:\*\*|[>|* ]*(?:From|De):\*?) {_SLOT_NAME} *<",
-    rf"(?m)(?:\d{{1,2}}:\d{{2}}(?: [AP]M)?,? |GMT[+-]\d{{2}}:\d{{2}} ){_SLOT_NAME} ?[<(]",
-    rf"(?m)^{_GREETING} {_SLOT_NAME} ?[,:]\s",
-    rf"(?mi)^(?-i:\s*)(?:{_CLOSING}),? *\r?\n(?:\r?\n)?(?-i:{_SLOT_NAME}) *\r?$",
-    rf"(?m)^(?:—|–|--) ?(?:\r?\n)?{_SLOT_NAME} *\r?$",
+_SLOT_NAME = r"(?:[A-ZÀ-ÖØ-Þ]\.|[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]*)(?:,? (?:[A-ZÀ-ÖØ-Þ]\.|[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]*)){0,3}"
+#: What stands before and after a name in a slot at the beginning of a line: sender, greeting, closing phrase, dash.
+_LINE_SLOTS = [
+    (r"(?:\*\*From:\*\*|[>|* ]*(?:From|De):\*?) ", " *<"),
+    (rf"{_GREETING} ", r" ?[,:]\s"),
+    (rf"(?i:{_CLOSING}),? *\r?\n(?:\r?\n)?", r" *\r?$"),
+    (r"(?:—|–|--) ?(?:\r?\n)?", r" *\r?$"),
 ]
+#: Java regexes: all line slots in one scan, then the name (group 1) in what one of them matched; attributions have their own.
+_LINE_SLOT = "(?m)^(?:" + "|".join(f"{before}{_SLOT_NAME}{after}" for before, after in _LINE_SLOTS) + ")"
+_IN_SLOT = [rf"^{before}({_SLOT_NAME}){after}" for before, after in _LINE_SLOTS]
+_ATTRIBUTION_SLOT = rf"(?:\d{{1,2}}:\d{{2}}(?: [AP]M)?,? |GMT[+-]\d{{2}}:\d{{2}} )({_SLOT_NAME}) ?[<(]"
 
 
 def _key(token: str) -> str:
-    return _POSSESSIVE.sub("", token).casefold()
+    return _POSSESSIVE.sub("", token).lower()
 
 
 def text_fields(inquiries: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -123,15 +139,17 @@ def slot_terms(fields: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
     Terms of e-mail local parts come too, with n_slot 0 if they fill no other slot: they don't reveal a person alone, but
     belong to a name next to a term that does.
     """
-    names = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in _SLOTS[:3]])))
-    more = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in _SLOTS[3:]]))
+    in_slot = lambda hit: F.coalesce(*[F.nullif(F.regexp_extract(hit, p, 1), F.lit("")) for p in _IN_SLOT])
+    names = F.array_compact(F.transform(F.regexp_extract_all("text", F.lit(_LINE_SLOT), F.lit(0)), in_slot))
+    more = F.regexp_extract_all("text", F.lit(_ATTRIBUTION_SLOT), F.lit(1))
     own = sorted({w.casefold() for entry, kind in allowed if kind in ("staff_name", "organisation") for w in re.findall(r"\w+", entry)})
     held = F.regexp_extract_all("text", F.lit(r"([\p{L}][\p{L}._+-]{2,40})\d* ?(?:@|[(\[]at[)\]])"), F.lit(1))
-    local = F.when(F.col("text").rlike(r"@|[(\[]at[)\]]"), F.array_distinct(held)).otherwise(F.array().cast("array<string>"))
+    marked = F.contains("text", F.lit("@")) | F.contains("text", F.lit("at)")) | F.contains("text", F.lit("at]"))
+    local = F.when(marked, F.array_distinct(held)).otherwise(F.array().cast("array<string>"))
     sources = fields.select(F.xxhash64("text").alias("_text"), F.inline(F.array(F.struct(F.lit(1).alias("n"), F.array_union(names, more).alias("found")), F.struct(F.lit(0).alias("n"), local.alias("found")))))
     words = sources.select("n", "_text", F.explode("found").alias("name")).select("n", F.when(F.col("n") > 0, F.xxhash64("_text", "name")).alias("_use"), F.explode(F.split(F.lower("name"), r"[,.]? |[.,]$|[._+-]")).alias("term"))
     usable = (F.length("term") > 1) & ~F.col("term").isin(own) if own else F.length("term") > 1
-    return words.where(usable & ~F.col("term").isin(sorted(ORGANISATION_WORDS))).distinct().groupBy("term").agg(F.sum("n").alias("n_slot"))
+    return words.where(usable & ~F.col("term").isin(sorted(INSTITUTION_WORDS))).distinct().groupBy("term").agg(F.sum("n").alias("n_slot"))
 
 
 def can_hold_id(text: str, low: str) -> bool:
@@ -141,10 +159,15 @@ def can_hold_id(text: str, low: str) -> bool:
     return any(h in low for h in _ID_HINTS) or any(h in low and p.search(low) for h, p in _ID_SHORT)
 
 
-def pattern_items(text: str, allowed: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of e-mail addresses, identity numbers, phones and street addresses; earlier kinds win overlaps."""
+def pattern_items(text: str, allowed: list[tuple[str, str]] | frozenset, gated: bool = True) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of e-mail addresses, identity numbers, phones and street addresses; earlier kinds win overlaps.
+
+    allowed: the house's entries with their kinds, or their lower-cased texts. The gates are implied by the patterns and only
+    save time; without them the result is the same.
+    """
     found: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
+    own = allowed if isinstance(allowed, frozenset) else frozenset(entry.casefold() for entry, _ in allowed)
 
     def add(kind: str, a: int, b: int) -> None:
         if all(b <= x or a >= y for x, y in taken):
@@ -152,39 +175,40 @@ def pattern_items(text: str, allowed: list[tuple[str, str]]) -> list[tuple[str,
             if text[a:b].casefold() not in own:
                 found.append((kind, a, b))
 
-    own = {entry.casefold() for entry, _ in allowed}
     low = text.lower()
-    if "@" in text or "at)" in low or "at]" in low:
+    if "@" in text or "at)" in low or "at]" in low or not gated:
         for m in _EMAIL.finditer(text):
             add("email", m.start(), m.end())
-    for m in _STREET_AFTER_NUMBER.finditer(text):
+    plain = []
+    for m in _AFTER_NUMBER.finditer(text):
         before = text[m.start() - 1 : m.start()]
-        if not (before.isalnum() or before in ("_", "#", "-") and before):
+        if before and (before.isalnum() or before in "_-" or before == "#" and not m["dni"]):
+            continue
+        if m["dni"]:
+            plain.append(m.span())
+        else:
             add("street_address", m.start(), m.end())
-    if any(h in text for h in _STREET_HINTS):
+    if not gated or any(h in text for h in _STREET_HINTS):
         for m in _STREET_AFTER_WORD.finditer(text):
             add("street_address", m.start(), m.end())
-    if can_hold_id(text, low):
+    if not gated or can_hold_id(text, low):
         for m in _ID.finditer(text):
             add("id_number", *m.span("id"))
-    runs = [(max(0, m.start() - 2), m.end() + 3) for m in _DIGITS.finditer(text)]
+    runs = [(max(0, m.start() - 2), m.end() + 3) for m in _DIGITS.finditer(text)] if gated else [(0, len(text))]
     for a, b in runs:
         for m in _SSN.finditer(text, a, b):
             add("id_number", m.start(), m.end())
-    for m in _DNI.finditer(text):
-        before = text[m.start() - 1 : m.start()]
-        if not (before.isalnum() or before in ("_", "-") and before):
-            add("id_number", m.start(), m.end())
+    for a, b in plain:
+        add("id_number", a, b)
     for a, b in runs:
         for m in _PHONE.finditer(text, a, b):
             add("phone", m.start(), m.end())
     return found
 
 
-def _around(text: str, a: int, b: int) -> tuple[str, str]:
-    left = re.findall(r"\w+|[^\w\s]|\n", _QUOTE.sub(" ", text[max(0, a - 40) : a]))[-2:]
-    right = re.findall(r"\w+|[^\w\s]|\n", _QUOTE.sub(" ", text[b : b + 40]))[:2]
-    return " ".join(left).lower(), " ".join(right).lower()
+def _following(text: str, b: int) -> str:
+    """The two words or marks after a position, in lower case."""
+    return " ".join(re.findall(r"\w+|[^\w\s]|\n", _QUOTE.sub(" ", text[b : b + 40]))[:2]).lower()
 
 
 def _surroundings(text: str, a: int, b: int) -> int:
@@ -194,8 +218,8 @@ def _surroundings(text: str, a: int, b: int) -> int:
     return int.from_bytes(blake2b(held.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def capital_sequences(text: str, known, masked: list[tuple[int, int]]) -> list[tuple[int, list[str], list[int], str, str]]:
-    """(start, tokens, token offsets, left context, right context) of capitalised sequences that hold a known term."""
+def capital_sequences(text: str, known, masked: list[tuple[int, int]]) -> list[tuple[int, list[str], list[int]]]:
+    """(start, tokens, token offsets) of capitalised sequences that hold a known term."""
     out = []
     for m in _CAPS.finditer(text):
         tokens = list(_TOKEN.finditer(text, m.start(), m.end()))
@@ -208,35 +232,45 @@ def capital_sequences(text: str, known, masked: list[tuple[int, int]]) -> list[t
     return out
 
 
-_ITEM = "field_name string, record_id string, kind string, surface string, start int, tokens array<string>, gaps array<string>, left string, right string, around long"
+_ITEM = "field_name string, record_id string, kind string, surface string, start int, tokens array<string>, gaps array<string>, right string, around long"
+_WORD_HEAD, _CAP_HEAD = re.compile(r"\w+"), re.compile(r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ]*")
 
 
 def scan_fields(fields: DataFrame, allowed: list[tuple[str, str]], known: frozenset | None) -> DataFrame:
-    """Pattern items, and capitalised sequences (kind ``sequence``) with their tokens, what follows each, and contexts.
+    """Formed items, capitalised sequences (kind ``sequence``) with their tokens and what follows, and kind ``total``.
 
-    around tells different uses apart; it is null where the record holds the sequence before the same words already, as quoted history does.
+    around tells different uses apart; it is null where the record holds the sequence before the same words already, as
+    quoted history does. Of a formed item it is a hash of the text. Rows of kind total, one a batch, count the texts
+    (start) and their words (around). known: only sequences with one of these terms, or None for all.
     """
-    shared = None if known is None else fields.sparkSession.sparkContext.broadcast(known)
+    sc = fields.sparkSession.sparkContext
+    heads = None if known is None else frozenset(m[0] for k in known if (m := _WORD_HEAD.match(k)))
+    shared, own = sc.broadcast((known, heads)), frozenset(entry.casefold() for entry, _ in allowed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = None if shared is None else shared.value
+        names, first = shared.value
         for batch in batches:
-            rows = []
+            rows, n_words = [], 0
             for field, record, text in zip(batch["field_name"], batch["record_id"], batch["text"]):
-                items = pattern_items(text, allowed)
-                rows += [(field, record, kind, text[a:b], a, None, None, None, None, None) for kind, a, b in items]
-                if names is not None and not any(_key(w) in names for w in set(_TOKEN.findall(text))):
+                n_words += text.count(" ") + text.count("\n") + 1
+                items = pattern_items(text, own)
+                if items:
+                    digest = int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                    rows += [(field, record, kind, text[a:b], a, None, None, None, digest) for kind, a, b in items]
+                # no name without a word that begins as a known term does
+                if names is not None and first.isdisjoint(map(str.lower, _CAP_HEAD.findall(text))):
                     continue
                 seen = set()
                 for start, tokens, at in capital_sequences(text, names, [(a, b) for _, a, b in items]):
                     ends = [a + len(t) for a, t in zip(at, tokens)]
                     gaps = [text[e:a] for e, a in zip(ends, at[1:])] + [""]
-                    left, right = _around(text, start, ends[-1])
+                    right = _following(text, ends[-1])
                     surface = text[start : ends[-1]]
                     around = None if (surface, right) in seen else _surroundings(text, start, ends[-1])
                     seen.add((surface, right))
-                    rows.append((field, record, "sequence", surface, start, tokens, gaps, left, right, around))
-            found = pd.DataFrame(rows, columns=["field_name", "record_id", "kind", "surface", "start", "tokens", "gaps", "left", "right", "around"])
+                    rows.append((field, record, "sequence", surface, start, tokens, gaps, right, around))
+            rows.append((None, None, "total", None, len(batch), None, None, None, n_words))
+            found = pd.DataFrame(rows, columns=["field_name", "record_id", "kind", "surface", "start", "tokens", "gaps", "right", "around"])
             yield found.astype({"around": "Int64"})
 
     return spread(fields).mapInPandas(run, _ITEM)
@@ -251,7 +285,7 @@ def name_span(tokens: list[str], gaps: list[str], disclosure: list[float], own:
     initial = [len(t) == 2 and t[1] == "." for t in tokens]
     blocked = [False] * n
     for i in range(n):  # an organisation word takes the word before it along
-        if keys[i] in ORGANISATION_WORDS and i:
+        if keys[i] in INSTITUTION_WORDS and i:
             blocked[i] = True
             if gaps[i - 1].strip() == "":
                 blocked[i - 1] = True
@@ -273,59 +307,109 @@ def name_span(tokens: list[str], gaps: list[str], disclosure: list[float], own:
     return out
 
 
-def personal_items(fields: DataFrame, allow_terms: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
+def _few(df: DataFrame) -> list | None:
+    """The rows of ``df`` if there are no more than ``VOCABULARY_ROWS``, else None."""
+    rows = df.limit(VOCABULARY_ROWS + 1).collect()
+    return rows if len(rows) <= VOCABULARY_ROWS else None
+
+
+def _lone(tokens: list[str], scores: list[tuple[float, float]]) -> tuple[str, float] | None:
+    """The term, and its bits, of a sequence in which just one token discloses a person."""
+    telling = [i for i, (d, _) in enumerate(scores) if d >= MIN_DISCLOSURE]
+    return (tokens[telling[0]].lower(), scores[telling[0]][1]) if len(telling) == 1 else None
+
+
+_CONTEXT = re.compile(r"\w+ \w+")
+
+
+def personal_items(fields: DataFrame, allow_terms: DataFrame) -> DataFrame:
     """(field_name, record_id, kind, surface, start, n_chars) of every personal item; start counts code points.
 
     kind is email, phone, id_number, street_address or person_name. Null and empty texts hold nothing; repeated rows give
     repeated items; entries of ``allow_terms`` (null entries are skipped) are never items.
     """
+    sc = fields.sparkSession.sparkContext
     allowed = _allowed(allow_terms)
-    own = frozenset(w.casefold() for entry, kind in allowed if kind in ("staff_name", "organisation") for w in re.findall(r"\w+", entry))
+    own = frozenset(w.lower() for entry, kind in allowed if kind in ("staff_name", "organisation") for w in re.findall(r"\w+", entry))
     slots = cut(slot_terms(fields, allowed))
-    fits = slots.limit(VOCABULARY_ROWS + 1).count() <= VOCABULARY_ROWS
-    known = frozenset(r[0] for r in slots.select("term").collect()) if fits else None
-    scanned = cut(scan_fields(fields, allowed, known))
-    patterns = scanned.where("kind <> 'sequence'").select("field_name", "record_id", "kind", "surface", "start", F.length("surface").alias("n_chars"))
-    sequences = scanned.where("kind = 'sequence'").drop("kind").withColumn("_id", F.xxhash64("field_name", "record_id", "start", "tokens"))
-
-    key = F.lower(F.regexp_replace("token", r"['’][sS]?$", ""))
-    uses = sequences.select("_id", "around", F.posexplode("tokens").alias("at", "token")).withColumn("term", key)
-    counts = uses.where("around is not null").select("term", "around").distinct().groupBy("term").agg(F.count("*").alias("n"))
-    terms = counts.join(slots, "term").select("term", F.least(F.lit(1.0), F.col("n_slot") / F.col("n")).alias("disclosure"))
-    scored = uses.join(small_side(terms), "term", "left").withColumn("disclosure", F.coalesce("disclosure", F.lit(-1.0)))
-    per = scored.groupBy("_id").agg(F.sort_array(F.collect_set(F.struct("at", "disclosure"))).alias("_d"))  # a sequence is a handful of words; a repeated record has each once
+    rows = _few(slots)
+    slot_uses = None if rows is None else {r["term"]: r["n_slot"] for r in rows}
+    scanned = cut(scan_fields(fields, allowed, None if slot_uses is None else frozenset(slot_uses)))
+    sequences = scanned.where("kind = 'sequence'").drop("kind")
+
+    # uses of each term and texts of each formed item, copies once; of the items only those are kept that may be too common
+    term = F.lower(F.regexp_replace("token", r"['’][sS]?$", ""))
+    uses = sequences.where("around is not null").select(F.lit("term").alias("kind"), F.explode("tokens").alias("token"), "around").select("kind", term.alias("term"), "around")
+    held = scanned.where("kind not in ('sequence', 'total')").select("kind", F.col("surface").alias("term"), "around")
+    totals = scanned.where("kind = 'total'").agg(F.coalesce(F.sum("start"), F.lit(0)), F.coalesce(F.sum("around"), F.lit(0))).first()
+    n_slots = sum(slot_uses.values()) if slot_uses is not None else slots.agg(F.coalesce(F.sum("n_slot"), F.lit(0))).first()[0]
+    person_bits = max(1.0, math.log2((totals[1] + PRIOR_WORDS) / (n_slots + 1)))
+    counts = uses.unionByName(held).distinct().groupBy("kind", "term").agg(F.count("*").alias("n"))
+    known_terms = F.broadcast(slots) if slot_uses is not None else slots
+    common = F.col("n") >= (totals[0] + PRIOR_TEXTS) * 2.0**-ITEM_BITS  # no more than 2 ** ITEM_BITS items for each one that a text holds
+    stats = counts.join(known_terms, "term", "left").where(F.when(F.col("kind") == "term", F.col("n_slot").isNotNull()).otherwise(common))
+    if slot_uses is not None:
+        rows = stats.collect()
+        terms = [r for r in rows if r["kind"] == "term"]
+        n_uses = sum(r["n"] for r in terms) + PRIOR_USES
+        scores = {r["term"]: (1 + math.log2(min(1.0, r["n_slot"] / r["n"])) / person_bits if r["n_slot"] else 0.0, -math.log2(r["n"] / n_uses)) for r in terms}
+        shared, scored = sc.broadcast(scores), sequences
+    else:
+        stats = cut(stats)
+        rows = stats.where("kind <> 'term'").collect()
+        terms = stats.where("kind = 'term'")
+        n_uses = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + PRIOR_USES
+        given = F.when(F.col("n_slot") > 0, 1 + F.log2(F.least(F.lit(1.0), F.col("n_slot") / F.col("n"))) / person_bits).otherwise(0.0)
+        given = terms.select("term", F.struct(given.alias("d"), (-F.log2(F.col("n") / n_uses)).alias("bits")).alias("given"))
+        keyed = sequences.withColumn("_id", F.xxhash64("field_name", "record_id", "start", "tokens"))
+        each = keyed.select("_id", F.posexplode("tokens").alias("at", "token")).select("_id", "at", term.alias("term")).join(given, "term", "left")
+        # a sequence is a handful of words; a repeated record has each once
+        per = each.groupBy("_id").agg(F.sort_array(F.collect_set(F.struct("at", "given"))).alias("_s"))
+        shared, scored = None, keyed.join(per, "_id", "left").withColumn("_s", F.transform("_s", lambda x: x["given"])).drop("_id")
+
+    def scores_of(batch: pd.DataFrame) -> Iterator[list[tuple[float, float]]]:
+        """(disclosure, bits) of each token of each row; (-1, 0) where unknown."""
+        if shared is None:
+            return ([(-1.0, 0.0) if g is None else (g["d"], g["bits"]) for g in s] for s in batch["_s"])
+        by_term = shared.value
+        return ([by_term.get(_key(t), (-1.0, 0.0)) for t in tokens] for tokens in batch["tokens"])
+
     # contexts of lone terms, each text once: how many different terms stand in them. What ends a line or a clause says nothing
-    rated = sequences.join(per, "_id", "left")
-    revealing = F.filter("_d", lambda x: x["disclosure"] >= min_disclosure)
-    lone = rated.where((F.size(revealing) == 1) & F.col("right").rlike(r"^\w+ \w+$")).select("right", F.lower(F.get("tokens", revealing[0]["at"])).alias("term"), "around")
-    contexts = lone.where("around is not null").distinct().groupBy("right").agg(F.count("*").alias("n_context"), (F.min("term") < F.max("term")).alias("several"))
-    stuck = contexts.where(~F.col("several") & (F.col("n_context") >= CONTEXT_SEEN)).select("right", F.lit(True).alias("_stuck"))
-    wordy = rated.join(small_side(stuck), "right", "left")
-
-    @F.pandas_udf(T.ArrayType(T.StructType().add("a", "integer").add("b", "integer")))
-    def names(tokens: pd.Series, gaps: pd.Series, disclosure: pd.Series, stuck_in: pd.Series) -> pd.Series:
-        found = []
-        for t, g, d, s in zip(tokens, gaps, disclosure, stuck_in):
-            t, g = list(t), list(g)
-            spans = name_span(t, g, [x if x is not None else -1.0 for x in d], own)
-            if s and len(spans) == 1 and spans[0][1] - spans[0][0] == 1 and spans[0][1] == len(t):
-                spans = []
-            offset, at = [], 0
-            for token, gap in zip(t, g):
-                offset.append(at)
-                at += len(token) + len(gap)
-            rows = []
-            for i, j in spans:
-                last = _POSSESSIVE.sub("", t[j - 1])
-                rows.append((offset[i], offset[j - 1] + len(last)))
-            found.append(rows)
-        return pd.Series(found)
-
-    people = wordy.withColumn("_n", F.explode(names("tokens", "gaps", F.transform("_d", lambda x: x["disclosure"]), F.coalesce("_stuck", F.lit(False)))))
-    people = people.select(
-        "field_name", "record_id", F.lit("person_name").alias("kind"), F.expr("substring(surface, _n.a + 1, _n.b - _n.a)").alias("surface"), (F.col("start") + F.col("_n.a")).alias("start"), (F.col("_n.b") - F.col("_n.a")).alias("n_chars")
-    )
-    return patterns.unionByName(people)
+    def lone_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(r, *x, a) for t, s, r, a in zip(batch["tokens"], scores_of(batch), batch["right"], batch["around"]) if _CONTEXT.fullmatch(r) and (x := _lone(t, s))]
+            yield pd.DataFrame(found, columns=["right", "term", "bits", "around"])
+
+    lone = scored.where("around is not null").mapInPandas(lone_terms, "right string, term string, bits double, around long").distinct()
+    contexts = lone.groupBy("right").agg(F.count("*").alias("n"), (F.min("term") < F.max("term")).alias("several"), F.max("bits").alias("bits"))
+    stuck = contexts.where(~F.col("several") & ((F.col("n") - 1) * F.col("bits") >= CONTEXT_BITS)).select("right", F.lit(True).alias("_stuck"))
+    ordinary = _few(stuck)
+    if ordinary is None:
+        scored = scored.join(stuck, "right", "left")
+    plain = None if ordinary is None else sc.broadcast(frozenset(r["right"] for r in ordinary))
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            worded = [r in plain.value for r in batch["right"]] if plain is not None else [x is True for x in batch["_stuck"]]
+            found = []
+            for field, record, surface, start, tokens, gaps, given, word in zip(*(batch[c] for c in ("field_name", "record_id", "surface", "start", "tokens", "gaps")), scores_of(batch), worded):
+                spans = name_span(tokens := list(tokens), gaps := list(gaps), [d for d, _ in given], own)
+                if word and len(spans) == 1 and spans[0][1] - spans[0][0] == 1 and spans[0][1] == len(tokens):
+                    continue
+                offset, at = [], 0
+                for token, gap in zip(tokens, gaps):
+                    offset.append(at)
+                    at += len(token) + len(gap)
+                for i, j in spans:
+                    a, b = offset[i], offset[j - 1] + len(_POSSESSIVE.sub("", tokens[j - 1]))
+                    found.append((field, record, "person_name", surface[a:b], start + a, b - a))
+            yield pd.DataFrame(found, columns=["field_name", "record_id", "kind", "surface", "start", "n_chars"])
+
+    people = scored.mapInPandas(names, "field_name string, record_id string, kind string, surface string, start int, n_chars int")
+    formed = scanned.where("kind not in ('sequence', 'total')").select("field_name", "record_id", "kind", "surface", "start", F.length("surface").alias("n_chars"))
+    if everywhere := [(r["kind"], r["term"]) for r in rows if r["kind"] != "term"]:
+        formed = formed.join(F.broadcast(fields.sparkSession.createDataFrame(everywhere, "kind string, surface string")), ["kind", "surface"], "left_anti")
+    return formed.unionByName(people)
 
 
 def sanitised(fields: DataFrame, allow_terms: DataFrame) -> DataFrame:
