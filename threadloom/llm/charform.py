@@ -1,39 +1,48 @@
-"""One character form for text that looks the same: confusables skeleton, normal form, and which records need it.
-
-``skeleton`` decomposes a text, replaces every character by its prototype from a look-alike table, and decomposes again;
-two texts that look equal have equal skeletons, so records are grouped by it. ``normal_form`` is the readable counterpart:
-it changes only characters that stand in for another one, invisible characters, disguised spaces and accented letters in
-parts, and leaves emoji, typographic quotes and dashes and words wholly in another script as they are.
-
-The table is built by rule from the compatibility decompositions of the Unicode database; only the look-alike letters of
-other scripts, which have no decomposition, are listed. Plain ASCII text never leaves the JVM.
+"""One character form for text that looks the same: confusables skeleton, class form, and which records need it.
+
+``skeleton`` decomposes a text, replaces every character by its prototype from the look-alike table, and decomposes again;
+two texts that look equal have equal skeletons, and originals are grouped by it. A class of equal skeletons has one plain
+member, its *class form*: the same text with ordinary characters in place of those that stand in for another one, of
+invisible characters, disguised spaces and accented letters in parts. Emoji, typographic quotes and dashes and words wholly
+in another script are ordinary. A record needs normalising where it differs from the class form of its own skeleton.
+
+The table is the public confusables data of Unicode as shipped with the session's ICU library, with the compatibility
+decompositions of the Unicode database and small capitals (by their names) added by rule. It is read once on the driver
+(half a second) and sent to the tasks; its size is that of the standard, whatever the data. Plain ASCII text never leaves
+the JVM.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.session import spread
+from threadloom.session import cut, spread
 
-# Letters of other scripts that look like a Latin letter, in alphabetical order of their script.
-LOOK_ALIKES = {
-    # Cyrillic
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ѵ": "v", "ӏ": "l",
-    # Greek
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "α": "a", "γ": "y", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
-    # Armenian and other
-    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ɑ": "a", "ɡ": "g", "ⲟ": "o", "к": "k", "ѡ": "w", "т": "t",
-}
-#: Of the look-alikes, those too loose to count in a word that is otherwise wholly of their own script.
-_LOOSE = set("ктγνυ")
+_SPACES = "   -   　"
+_UNSEEN = "­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯﻿"
+_SPACE = re.compile(f"[{_SPACES}]")
+_INVISIBLE = re.compile(f"[{_UNSEEN}]+")
+#: scripts in which joiners change how a word is written
+_JOINING = re.compile("[֐-῿]")
+_IN_WORD = re.compile(f"(?<=\\w)[{_UNSEEN}]+(?=\\w)")
+_EMOJI = re.compile("[←-⯿️\U0001f000-\U0001faff\U000e0020-\U000e007f]")
+_WORD = re.compile(r"[^\W_]+")
+_LATIN = re.compile("[A-Za-zÀ-ɏ]")
+#: Records from which a group of look-alikes counts as hot, and the keys its rows are dealt over.
+HOT_RECORDS, SALTS = 1_000_000, 64
+#: letters that only Turkish and its relatives have beside the dotless i
+_TURKISH = re.compile("[ĞğİŞş]")
+# Prototypes of the table that are letters of no language of the mail, and how they read.
+_READS = {"ĸ": "k", "ʜ": "h", "ᴛ": "t"}
+#: Java class of ordinary characters besides ASCII: composed Latin letters, marks of typography.
+_ORDINARY = [*range(0xA1, 0xAD), *range(0xAE, 0x250), 0x2013, 0x2014, *range(0x2018, 0x2020), 0x2022, 0x2026, 0x20AC]
 
 
 def _stand_ins() -> dict[int, str]:
@@ -49,81 +58,139 @@ def _stand_ins() -> dict[int, str]:
     return out
 
 
-_STAND_INS = _stand_ins()
-_SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
-_UNSEEN = "\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff"
-_SPACE = re.compile(f"[{_SPACES}]")
-_INVISIBLE = re.compile(f"[{_UNSEEN}]+")
-#: scripts in which joiners change how a word is written
-_JOINING = re.compile("[\u0590-\u1fff]")
-_IN_WORD = re.compile(f"(?<=\\w)[{_UNSEEN}]+(?=\\w)")
-_EMOJI = re.compile("[\u2190-\u2bff\ufe0f\U0001f000-\U0001faff\U000e0020-\U000e007f]")
-_WORD = re.compile(r"[^\W\d_]+")
-_FOREIGN = re.compile("[\u0370-\u058f\u2c80-\u2cff\u0251\u0261]")
-_LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
-_LOOKS = {ord(k): v for k, v in LOOK_ALIKES.items()}
-# Prototypes of typographic quotes and dashes, used in skeletons only.
-_MARKS = {0x2018: "'", 0x2019: "'", 0x201B: "'", 0x2032: "'", 0x201C: '"', 0x201D: '"', 0x201F: '"', 0x2033: '"', 0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2014: "-", 0x2212: "-"}
-#: Java regex of texts worth sending to Python: anything beyond ASCII, the composed Latin letters and typographic marks.
-SUSPECT = "[^\\x00-\\x7f\\x{a1}-\\x{ac}\\x{ae}-\\x{24f}\\x{2013}\\x{2014}\\x{2018}-\\x{201f}\\x{2022}\\x{2026}\\x{20ac}]"
-
-
-def _disguised(word: str) -> bool:
-    """Whether look-alike letters stand in for Latin ones: beside Latin letters, or making up the whole word."""
-    if not _FOREIGN.search(word):
-        return False
-    if _LATIN.search(word):
-        return any(ord(c) in _LOOKS for c in word)
-    return all(ord(c) in _LOOKS and c not in _LOOSE for c in word)
+def _small_capitals() -> dict[int, str]:
+    """Small capital letters by their names: a letter of the Latin alphabet each."""
+    named = ((cp, unicodedata.name(chr(cp), "")) for cp in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800)))
+    return {cp: n[-1].lower() for cp, n in named if re.fullmatch(r"LATIN LETTER SMALL CAPITAL [A-Z]", n)}
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+class Forms:
+    """Skeletons and class forms by a table of prototypes: {code point: prototype} of decomposed characters."""
+
+    def __init__(self, prototypes: dict[int, str]) -> None:
+        self.prototypes = prototypes
+
+    @cached_property
+    def _stand(self) -> dict[int, str]:
+        return _stand_ins()
+
+    @cached_property
+    def _reads(self) -> dict[int, str]:
+        """Ordinary Latin letters or digits that characters stand in for in a word: the readable side of the table."""
+        out = {cp: c for cp, c in _small_capitals().items()}
+        for cp, look in self.prototypes.items():
+            c = chr(cp)
+            if cp < 0x80 or cp in self._stand or unicodedata.category(c)[0] not in "LN":
+                continue
+            plain = _READS.get(look) or (_small_capitals().get(ord(look)) if len(look) == 1 else None) or look
+            if not (plain.isascii() and plain.isalnum()) or (len(plain) > 1 and cp < 0x250):
+                continue  # æ and œ are letters of their own
+            if unicodedata.category(c) == "Lu":  # prototypes are what a character looks like: a capital that looks like l is an I
+                plain = "I" if plain == "l" else plain.upper()
+            out[cp] = plain
+        return out
+
+    @cached_property
+    def _strict(self) -> frozenset[str]:
+        """Characters that look exactly like a Latin letter: a word wholly made of them is taken for a Latin one."""
+        return frozenset(chr(cp) for cp, plain in self._reads.items() if self.prototypes.get(cp, "").isascii() and plain.isalpha())
+
+    @cached_property
+    def _foreign(self) -> re.Pattern:
+        return re.compile("[" + "".join(re.escape(chr(cp)) for cp in self._reads) + "]")
+
+    def suspect(self) -> str:
+        """Java class of characters that can make a text differ from its class form."""
+        ordinary, runs = [cp for cp in _ORDINARY if cp not in self._reads], []
+        for cp in ordinary:
+            runs[-1:] = [(runs[-1][0], cp)] if runs and cp == runs[-1][1] + 1 else [*runs[-1:], (cp, cp)]
+        return "[^\\x00-\\x7f" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+    def _genuine(self, word: str, script: str) -> bool:
+        """Whether a word is wholly in a script, with letters that no Latin one looks like."""
+        return bool(word) and all(_script(c) == script for c in word if c.isalpha()) and not all(c in self._strict for c in word)
+
+    def _disguised(self, m: re.Match) -> bool:
+        """Whether letters of a word stand in for Latin ones: beside Latin letters, or making up the whole word. A word
+        that looks Latin by chance stands beside other words of its script."""
+        word = m[0]
+        held = self._foreign.findall(word)
+        if not held:
+            return False
+        if _LATIN.search(word.replace("ı", "")):
+            return set(held) != {"ı"} or not _TURKISH.search(m.string)
+        if not all(c in self._strict for c in word) or (len(word) == 1 and word.islower() and _script(word) == "GREEK"):
+            return False  # a Greek letter alone is a symbol
+        text, script = m.string, _script(word[0])
+        before, after = re.search(r"([^\W\d_]+)[^\w\n]*\Z", text[max(0, m.start() - 40) : m.start()]), re.match(r"[^\w\n]*([^\W\d_]+)", text[m.end() : m.end() + 40])
+        return not any(self._genuine(x[1], script) for x in (before, after) if x)
+
+    def class_form(self, text: str) -> tuple[str, list[str]]:
+        """The plain text of the same skeleton, and what differed: any of stand_in, invisible, space, accent, in this order."""
+        if text.isascii():
+            return text, []
+        found = []
+        seen = _INVISIBLE.sub(_unveil, text)
+        hidden = any(_unveil(m) == "" for m in _IN_WORD.finditer(text))
+        plain = seen.translate(self._stand)
+        composed = unicodedata.normalize("NFC", plain)
+        spaced = _SPACE.sub(" ", composed)
+        done = spaced
+        if self._foreign.search(spaced):
+            done = unicodedata.normalize("NFC", _WORD.sub(lambda m: m[0].translate(self._reads) if self._disguised(m) else m[0], spaced))
+        if plain != seen or done != spaced:
+            found.append("stand_in")
+        if hidden:
+            found.append("invisible")
+        if spaced != composed:
+            found.append("space")
+        if composed != plain:
+            found.append("accent")
+        return done, found
+
+    def skeleton(self, text: str) -> str:
+        """Decompose, drop what can't be seen, replace every character by its prototype, decompose again."""
+        seen = text if text.isascii() else _INVISIBLE.sub(_unveil, text).translate(self._stand)
+        apart = unicodedata.normalize("NFD", _SPACE.sub(" ", seen))
+        return unicodedata.normalize("NFD", apart.translate(self._capitals).translate(self.prototypes))
+
+    @cached_property
+    def _capitals(self) -> dict[int, str]:
+        """Characters whose readable side isn't of their prototype's class: small capitals, and capitals of small forms."""
+        return {cp: plain for cp, plain in self._reads.items() if "".join(self.prototypes.get(ord(c), c) for c in plain) != self.prototypes.get(cp)}
+
+    def differs(self, text: str) -> list[str]:
+        """What makes a text differ from the class form of its skeleton; empty where it is the class form itself."""
+        plain, found = self.class_form(text)
+        return found if found and self.skeleton(plain) == self.skeleton(text) else []
 
 
 def _unveil(m: re.Match) -> str:
     before, after = m.string[m.start() - 1 : m.start()], m.string[m.end() : m.end() + 1]
-    keep = "\u200c" in m[0] or "\u200d" in m[0]
+    keep = "‌" in m[0] or "‍" in m[0]
     if keep and (_EMOJI.match(before or " ") or _EMOJI.match(after or " ") or (_JOINING.match(before or " ") and _JOINING.match(after or " "))):
         return m[0]
     return ""
 
 
-def normal_form(text: str) -> tuple[str, list[str]]:
-    """The text in its normal form, and what was there: any of stand_in, invisible, space, accent, in this order."""
-    if text.isascii():
-        return text, []
-    found = []
-    seen = _INVISIBLE.sub(_unveil, text)
-    hidden = any(_unveil(m) == "" for m in _IN_WORD.finditer(text))
-    plain = seen.translate(_STAND_INS)
-    composed = unicodedata.normalize("NFC", plain)
-    spaced = _SPACE.sub(" ", composed)
-    done = unicodedata.normalize("NFC", _WORD.sub(lambda m: m[0].translate(_LOOKS) if _disguised(m[0]) else m[0], spaced))
-    if plain != seen or done != spaced:
-        found.append("stand_in")
-    if hidden:
-        found.append("invisible")
-    if spaced != composed:
-        found.append("space")
-    if composed != plain:
-        found.append("accent")
-    return done, found
-
-
-def skeleton(text: str) -> str:
-    """Decompose, drop what can't be seen, replace every character by its prototype, decompose again."""
-    if text.isascii():
-        return text
-    apart = unicodedata.normalize("NFD", _INVISIBLE.sub(_unveil, text)).translate(_STAND_INS)
-    return unicodedata.normalize("NFD", _SPACE.sub(" ", apart).translate(_LOOKS).translate(_MARKS))
+_FORMS: dict[int, Forms] = {}
 
 
-@F.pandas_udf(T.StructType().add("normal_text", "string").add("skeleton", "string").add("found", T.ArrayType(T.StringType())))
-def _forms(text: pd.Series) -> pd.DataFrame:
-    rows = [(None, None, None) if t is None else (*(n := normal_form(t))[:1], skeleton(t), n[1]) for t in text]
-    return pd.DataFrame(rows, columns=["normal_text", "skeleton", "found"])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _found(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else normal_form(t)[1])
+def forms(spark: SparkSession) -> Forms:
+    """The table of the session's ICU library, read once: its skeleton of each assigned character that doesn't decompose."""
+    key = id(spark.sparkContext)
+    if key not in _FORMS:
+        checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        cps = [cp for cp in range(0x20, 0x110000) if unicodedata.category(chr(cp)) not in ("Cc", "Cf", "Cn", "Co", "Cs") and unicodedata.normalize("NFD", chr(cp)) == chr(cp)]
+        # a line each: line ends are their own prototypes, and keep combining marks apart
+        looks = checker.getSkeleton("\n".join(map(chr, cps))).split("\n")
+        _FORMS.clear()
+        _FORMS[key] = Forms({cp: look for cp, look in zip(cps, looks, strict=True) if look != chr(cp)})
+    return _FORMS[key]
 
 
 def text_fields(inquiries: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -133,42 +200,82 @@ def text_fields(inquiries: DataFrame, outputs: DataFrame) -> DataFrame:
     return threads.unionByName(drafts).where("text is not null")
 
 
-def suspect(text: Column) -> Column:
-    return text.rlike(SUSPECT)
+def _ascii_skeleton(text: Column, table: Forms) -> Column:
+    """``skeleton`` of ASCII text as JVM expressions."""
+    looks = {chr(cp): look for cp, look in table.prototypes.items() if cp < 0x80}
+    single = {c: look for c, look in looks.items() if len(look) == 1 and look not in looks}
+    out = F.translate(text, "".join(single), "".join(single.values()))
+    for c, look in looks.items():
+        if c not in single:
+            out = F.replace(out, F.lit(c), F.lit(look))
+    return out
 
 
 def character_forms(fields: DataFrame) -> DataFrame:
     """Add normal_text, skeleton_id and found to rows with ``text``; rows with equal skeleton_id look the same.
 
-    Texts without any suspect character are their own normal form and are not sent to Python; their skeleton still is
-    taken there if they hold anything beyond ASCII. Null text gives null results, empty text is its own form.
+    ASCII texts are their own class form, and get their skeleton in the JVM. Null text gives null results, empty text is its
+    own form.
     """
-    rows = spread(fields).withColumn("_f", F.when(F.col("text").rlike("[^\\x00-\\x7f]"), _forms("text")))
+    table = forms(fields.sparkSession)
+    shared = fields.sparkSession.sparkContext.broadcast(table.prototypes)
+
+    @F.pandas_udf(T.StructType().add("normal_text", "string").add("skeleton", "string").add("found", T.ArrayType(T.StringType())))
+    def both(text: pd.Series) -> pd.DataFrame:
+        own = _local(shared)
+        rows = [(None, None, None) if t is None else (own.class_form(t)[0], own.skeleton(t), own.differs(t)) for t in text]
+        return pd.DataFrame(rows, columns=["normal_text", "skeleton", "found"])
+
+    rows = spread(fields).withColumn("_f", F.when(F.col("text").rlike("[^\\x00-\\x7f]"), both("text")))
     return rows.select(
         *fields.columns,
         F.coalesce("_f.normal_text", "text").alias("normal_text"),
-        F.xxhash64(F.coalesce("_f.skeleton", "text")).alias("skeleton_id"),
+        F.xxhash64(F.coalesce("_f.skeleton", _ascii_skeleton(F.col("text"), table))).alias("skeleton_id"),
         F.when(F.col("text").isNotNull(), F.coalesce("_f.found", F.array().cast("array<string>"))).alias("found"),
     )
 
 
+_LOCAL: list = []
+
+
+def _local(shared) -> Forms:
+    """The table of a task, made once a worker."""
+    if not _LOCAL or _LOCAL[0] is not shared.value:
+        _LOCAL[:] = [shared.value, Forms(shared.value)]
+    return _LOCAL[1]
+
+
 def disguised_records(fields: DataFrame) -> DataFrame:
-    """(field_name, record_id, found) of the records that hold disguised, invisible, spacing or split characters.
+    """(field_name, record_id, found) of the records that differ from the class form of their skeleton.
 
-    The scan drops texts without a suspect character inside the JVM, then one Arrow pass decides. Repeated rows stay.
+    The scan drops texts of ordinary characters, which are class forms, inside the JVM; of the others one Arrow pass takes
+    class form and skeletons. Repeated rows stay.
     """
-    hit = spread(fields.where(suspect(F.col("text")))).withColumn("found", _found("text"))
+    table = forms(fields.sparkSession)
+    shared = fields.sparkSession.sparkContext.broadcast(table.prototypes)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(text: pd.Series) -> pd.Series:
+        own = _local(shared)
+        return text.map(lambda t: [] if t is None else own.differs(t))
+
+    hit = spread(fields.where(F.col("text").rlike(table.suspect()))).withColumn("found", found("text"))
     return hit.where(F.size("found") > 0).select("field_name", "record_id", "found")
 
 
 def look_alike_groups(fields: DataFrame) -> DataFrame:
     """(field_name, record_id, skeleton_id, n_records, n_texts): each record with the size of its look-alike group.
 
-    One row per record with its class id, never pairs; the counts are summed by hash on the map side, so a group that holds
-    a third of all rows costs one partial row per task, and its counts come back by a join on the class id, which adaptive
-    execution splits where a class is hot.
+    One row per record with its class id, never pairs. Sizes are counted from narrow hashes on the map side, so a group that
+    holds a third of all rows costs one partial row per task. Only groups of several records meet the rows again in a join;
+    there a hot class is dealt over ``SALTS`` keys, its one size row repeated for each.
     """
-    forms = character_forms(fields).select("field_name", "record_id", "skeleton_id", F.xxhash64("text").alias("_t"))
-    distinct = forms.groupBy("skeleton_id", "_t").agg(F.count("*").alias("n"))
-    sizes = distinct.groupBy("skeleton_id").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_texts"))
-    return forms.drop("_t").join(sizes, "skeleton_id").select("field_name", "record_id", "skeleton_id", "n_records", "n_texts")
+    rows = cut(character_forms(fields).select("field_name", "record_id", "skeleton_id", F.xxhash64("text").alias("_t")))  # counts and rows both need them
+    distinct = rows.groupBy("skeleton_id", "_t").agg(F.count("*").alias("n"))
+    sizes = distinct.groupBy("skeleton_id").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_texts")).where("n_records > 1")
+    dealt = sizes.withColumn("_salt", F.explode(F.when(F.col("n_records") > HOT_RECORDS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    hot = F.broadcast(sizes.where(F.col("n_records") > HOT_RECORDS).select("skeleton_id", F.lit(True).alias("_hot")))  # at most rows / HOT_RECORDS
+    keyed = rows.join(hot, "skeleton_id", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("field_name", "record_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    joined = keyed.join(dealt, ["skeleton_id", "_salt"], "left")
+    one = lambda c: F.coalesce(c, F.lit(1).cast("long")).alias(c)
+    return joined.select("field_name", "record_id", "skeleton_id", one("n_records"), one("n_texts"))
