@@ -71,16 +71,20 @@ _ID = re.compile(rf"(?<!\w)(?i:{_ID_LABEL})(?i:\s*(?:number|no\.?|nº|núm\.?|nu
 #: Cheap tests of whether a text can hold an identity number or a street at all. Parts of up to four letters stand inside many words, so only a word's beginning counts.
 _ID_HINTS = tuple(h for h in _ID_LABELS if len(h) > 4)
 _ID_SHORT = tuple((h, re.compile(rf"{h}(?<!\w{h})")) for h in _ID_LABELS if len(h) <= 4)
-_STREET_HINTS = ("Calle", "C/", "Av", "Paseo", "Plaza", "Cam", "Calzada", "Carrera", "Ronda", "Callej", "Rua", "Travessa", "Alameda", "Praça", "Largo", "Estrada")
-#: Runs of nine digits or more, or of five behind a plus, with few marks between them: the only places where phones and plain identity numbers are.
-_DIGITS = re.compile(r"(?:\d(?:[ ().–-]{0,3}\d){8}|\+(?:[ ().–-]{0,3}\d){5})(?:[ ().–-]{0,3}\d)*")
+_STREET_HINT = re.compile("C/|Av|Pa[sr]eo|Plaza|Ca[lmr]|Ronda|Rua|Travessa|Alameda|Praça|Largo|Estrada")
+#: The only places where phones and plain identity numbers are: runs of nine digits or more, or of five behind a plus, with few marks between.
+_DIGITS = re.compile(r"\d(?:[ ().–-]{0,3}\d){8,}")
+_PLUS_DIGITS = re.compile(r"\+(?:[ ().–-]{0,3}\d){5,}")
+#: What parts the two sides of an address.
+_AT = re.compile(r"@|[(\[]at[)\]]", re.I)
 _SSN = re.compile(r"(?<![\w–-])\d{3}-\d{2}-\d{4}(?![\w–-])|(?<![\w–-])(?<!\d )\d{3} \d{2} \d{4}(?![\w–-])(?! \d)")
 # Street words.
 _CITY = r"(?:, (?:\d{5} )?(?!(?:On|Get|Sent|From|To|The|We|I)\b)[A-ZÁÉÍÓÚÑ][a-záéíóúñç]+(?: (?:de |la |del )?[A-ZÁÉÍÓÚÑ][a-záéíóúñç]+){0,2}(?:,? [A-Z]{2},? \d{5}(?:-\d{4})?|,? \d{5})?)?"
 _UNIT = r"(?:, (?:(?:Apt|Suite|Ste|Unit|Floor|Room)\.? ?#?\w{1,5}|#\d{1,5}[A-Z]?))?"
-#: a street after its number, or a national number of eight digits and a letter
-_AFTER_NUMBER = re.compile(
-    rf"(?P<dni>\d{{8}}[A-HJ-NP-TV-Z](?![\w-]))|\d{{1,5}}(?:[A-Z]? (?:[NSEW]\.? )?(?:[A-Z][\w'’.-]*[ ]){{1,3}}?(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Terrace|Place|Pl|Row|Square|Sq|Circle|Parkway|Pkwy|Highway|Hwy)\b(?:\.(?=,))?{_UNIT}{_CITY}"
+#: the letter behind the eight digits of a national number: looked for first, being the rarer part
+_DNI_LETTER = re.compile(r"[A-HJ-NP-TV-Z](?<=\d{8}.)(?![\w-])")
+_STREET_AFTER_NUMBER = re.compile(
+    rf"\d{{1,5}}(?:[A-Z]? (?:[NSEW]\.? )?(?:[A-Z][\w'’.-]*[ ]){{1,3}}?(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Terrace|Place|Pl|Row|Square|Sq|Circle|Parkway|Pkwy|Highway|Hwy)\b(?:\.(?=,))?{_UNIT}{_CITY}"
     rf"|,?(?: (?:bis|ter))? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|route) (?:de |du |des |la |le |l['’])*[A-ZÀ-Ý][\w'’-]*(?: [A-ZÀ-Ý][\w'’-]*)?{_CITY})"
 )
 _STREET_AFTER_WORD = re.compile(
@@ -159,6 +163,37 @@ def can_hold_id(text: str, low: str) -> bool:
     return any(h in low for h in _ID_HINTS) or any(h in low and p.search(low) for h, p in _ID_SHORT)
 
 
+def _emails(text: str, low: str) -> Iterator[re.Match]:
+    """The matches of ``_EMAIL``, each looked for from its sign backwards."""
+    if "@" not in text and "at)" not in low and "at]" not in low:
+        return
+    done = 0
+    for at in _AT.finditer(text):
+        begin = at.start()
+        begin -= begin > done and text[begin - 1] == " "
+        while begin > done and (text[begin - 1].isalnum() or text[begin - 1] in "_.+%-"):
+            begin -= 1
+        for start in (begin, *(i + 1 for i in range(begin, at.start()) if text[i] == "%")):
+            if m := _EMAIL.match(text, start):
+                done = m.end()
+                yield m
+                break
+
+
+def _digit_runs(text: str) -> list[tuple[int, int]]:
+    """Ranges of the text, apart from each other, outside of which there are neither phones nor plain identity numbers."""
+    found = [m.span() for m in _DIGITS.finditer(text)]
+    if "+" in text:
+        found = sorted(found + [m.span() for m in _PLUS_DIGITS.finditer(text)])
+    out: list[tuple[int, int]] = []
+    for a, b in ((max(0, a - 2), b + 3) for a, b in found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def pattern_items(text: str, allowed: list[tuple[str, str]] | frozenset, gated: bool = True) -> list[tuple[str, int, int]]:
     """(kind, start, end) of e-mail addresses, identity numbers, phones and street addresses; earlier kinds win overlaps.
 
@@ -176,30 +211,26 @@ def pattern_items(text: str, allowed: list[tuple[str, str]] | frozenset, gated:
                 found.append((kind, a, b))
 
     low = text.lower()
-    if "@" in text or "at)" in low or "at]" in low or not gated:
-        for m in _EMAIL.finditer(text):
-            add("email", m.start(), m.end())
-    plain = []
-    for m in _AFTER_NUMBER.finditer(text):
+    for m in _emails(text, low) if gated else _EMAIL.finditer(text):
+        add("email", m.start(), m.end())
+    for m in _STREET_AFTER_NUMBER.finditer(text):
         before = text[m.start() - 1 : m.start()]
-        if before and (before.isalnum() or before in "_-" or before == "#" and not m["dni"]):
-            continue
-        if m["dni"]:
-            plain.append(m.span())
-        else:
+        if not before or not (before.isalnum() or before in "_-#"):
             add("street_address", m.start(), m.end())
-    if not gated or any(h in text for h in _STREET_HINTS):
+    if not gated or _STREET_HINT.search(text):
         for m in _STREET_AFTER_WORD.finditer(text):
             add("street_address", m.start(), m.end())
     if not gated or can_hold_id(text, low):
         for m in _ID.finditer(text):
             add("id_number", *m.span("id"))
-    runs = [(max(0, m.start() - 2), m.end() + 3) for m in _DIGITS.finditer(text)] if gated else [(0, len(text))]
+    runs = _digit_runs(text) if gated else [(0, len(text))]
     for a, b in runs:
         for m in _SSN.finditer(text, a, b):
             add("id_number", m.start(), m.end())
-    for a, b in plain:
-        add("id_number", a, b)
+    for m in _DNI_LETTER.finditer(text):
+        before = text[m.start() - 9 : m.start() - 8]
+        if not before or not (before.isalnum() or before in "_-"):
+            add("id_number", m.start() - 8, m.end())
     for a, b in runs:
         for m in _PHONE.finditer(text, a, b):
             add("phone", m.start(), m.end())
