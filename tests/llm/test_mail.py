@@ -91,6 +91,47 @@ def test_pasted_history_in_one_line_or_in_parts(body, want):
     assert new(FIRST, body)[1].split() == want.split()
 
 
+UNPREFIXED = "On Mon, Feb 5, 2024 at 10:00 AM {name} <{email}> wrote:\n"
+LONGER = "We would take the long table by the window for lunch.\nPlease do tell us the price for all of it.\n\nIs the side room free as well?"
+ALIGNED = [
+    (FIRST, f"Sure.\n{UNPREFIXED}{FIRST}\n\nThat makes 90 for all of it.", "Sure. That makes 90 for all of it."),  # written below
+    (LONGER, UNPREFIXED + LONGER.replace("lunch.", "lunch.\nYes, it is yours.").replace("it.\n", "it.\nIt is 90 a head.\n"), "Yes, it is yours. It is 90 a head."),  # written into it
+    (LONGER, UNPREFIXED + LONGER.replace("the long table", "our long table").replace("side room", "back room") + "\nIt is not.", "It is not."),  # changed words
+    (FIRST, f"As you said:\n{FIRST}\nYes.", "As you said: Yes."),  # no mark
+    (FIRST, f"As you said: {FIRST} Yes, gladly.", "As you said: Yes, gladly."),  # one line
+]
+
+
+@pytest.mark.parametrize("old, body, want", ALIGNED)
+def test_alignment_decides(old, body, want, monkeypatch):
+    assert new(old, body)[1].split() == want.split()
+    monkeypatch.setattr(newtext.Ancestors, "spans", lambda *_: [])
+    assert new(old, body)[1].split() != want.split()
+
+
+def test_quote_from_outside_the_thread_goes_to_the_end():
+    assert new(FIRST, f"Sure.\n{UNPREFIXED}Something else was said there.\n\nAnd this below.")[1] == "Sure."
+
+
+def test_order_by_dates():
+    later, first = (thread(x) for x in (f"As you said:\n{FIRST}\nYes.", FIRST))
+    text = later.replace("5 Feb", "6 Feb") + "\n" + first.replace("Message 1", "Message 2")  # newest block first
+    assert [(r[0], r[1].strip()) for r in newtext.thread_new_texts(text)] == [(1, "As you said:\nYes."), (2, FIRST)]
+    undated = text.replace("Mon, 6 Feb 2024 10:00:00 +0000", "soon")
+    assert newtext.thread_new_texts(undated)[0][2] > 3  # the order of the blocks, where dates can't be read
+    assert newtext.thread_new_texts(thread(FIRST, f"As you said:\n{FIRST}\nYes.").replace(" +0000", " -0000", 1))[1][2] == 4
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abc"), max_size=40))
+def test_spans_match_brute_force(old, words):
+    a = newtext.Ancestors(3)
+    a.add(old, newtext.rolling_hashes(old, 3))
+    held = newtext._marked(len(words), a.spans(words, newtext.rolling_hashes(words, 3)))
+    grams = {tuple(old[i : i + 3]) for i in range(len(old) - 2)}
+    assert held == [any(tuple(words[i : i + 3]) in grams for i in range(max(0, k - 2), k + 1) if i + 3 <= len(words)) for k in range(len(words))]
+
+
 def test_closing_inside_pasted_history_cuts_nothing():
     old = "We would take the long table by the window and both of the side rooms after lunch.  Best,  Ana Ruiz and everyone here. Please do tell us the price for all of it."
     found = [r[1].split() for r in newtext.thread_new_texts(thread("_(x)_", old.replace("  Best,  ", " Best, "), f"{old} It is 90."))]
