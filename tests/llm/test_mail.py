@@ -165,8 +165,8 @@ PARTS = {
 }
 
 
-def sample(lang, rng, n=6):
-    return " ".join(f"{rng.choice(a)} {rng.choice(b)} {rng.choice(c)} ({rng.randrange(99)}).".capitalize() for a, b, c in [PARTS[lang]] * n)
+def sample(lang, rng, n=6, part=slice(None)):
+    return " ".join(f"{rng.choice(a[part])} {rng.choice(b[part])} {rng.choice(c[part])} ({rng.randrange(99)}).".capitalize() for a, b, c in [PARTS[lang]] * n)
 
 
 @pytest.fixture(scope="module")
@@ -177,11 +177,36 @@ def model():
     return language.fit_discriminator(labelled)
 
 
-def test_held_out_accuracy(model):
+def test_held_out_accuracy():
+    """Fitted on half of the phrases, with wrong labels among them, and tested on the other half."""
     rng = random.Random(2)
-    tries = [(lang, sample(lang, rng, 1)) for lang in PARTS for _ in range(40)]
-    right = sum(language.name_language(language.word_shares(t, model)[0]) == lang for lang, t in tries)
-    assert right >= 0.95 * len(tries)
+    labelled = [(lang, sample(lang, rng, part=slice(0, 2))) for lang in PARTS for _ in range(25)] + [("es", sample("en", rng, part=slice(0, 2))) for _ in range(3)]
+    own = language.fit_discriminator(labelled)
+    tries = [(lang, sample(lang, rng, 1, slice(2, 4))) for lang in PARTS for _ in range(40)]
+    right = sum(language.name_language(language.word_shares(t, own)[0]) == lang for lang, t in tries)
+    assert right >= 0.85 * len(tries)
+
+
+def test_confidence_is_fitted_on_texts_no_machine_saw(monkeypatch):
+    rng, seen = random.Random(5), []
+    labelled = [(lang, sample(lang, rng)) for lang in PARTS for _ in range(20)]
+    fit = language.fit_linear
+    monkeypatch.setattr(language, "fit_linear", lambda rows, *a, **k: seen.extend(map(tuple, rows)) or fit(rows, *a, **k))
+    language.fit_discriminator(labelled)
+    held = [text for lang in PARTS for text in [t for x, t in labelled if x == lang][4::5]]
+    rows = {tuple(f for w in words for f in language.word_features(w)) for text in held for _, words in language.sentences(text)}
+    assert len(seen) > len(rows) > 20
+    other = {tuple(f for w in words for f in language.word_features(w)) for lang in PARTS for text in [t for i, (x, t) in enumerate([y for y in labelled if y[0] == lang]) if i % 5 != 4] for _, words in language.sentences(text)}
+    assert not (rows - other) & set(seen)
+
+
+def test_sample_is_bounded_and_whole(spark):
+    long = "una frase larga " * 2000
+    rows = [(i, "en", f"text {i}") for i in range(500)] + [(1000, "ES", long), (1000, "ES", long), (1001, None, "x"), (1002, "xx", "x"), (1003, "fr", None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").selectExpr("*", "1 as _n")
+    got = language.labelled_sample(df, 20)
+    assert sorted(x for x, _ in got) == ["en"] * 20 + ["es"] and ("es", long) in got
+    assert language.labelled_sample(df.limit(0), 20) == [] and got == language.labelled_sample(df.repartition(3), 20)
 
 
 def test_seeds_alone_tell_languages():

@@ -3,11 +3,13 @@
 A text is cut into sentences, and each is placed by hierarchical discrimination: one linear machine tells the Germanic from
 the Romance family, and inside the Romance family one machine for each pair of languages votes. Features are hashed words
 and character n-grams of words, so a word's scores are computed once and looked up from then on. The machines are fitted
-here, on the driver, on a bounded sample of labelled documents (``SAMPLE_PER_LANGUAGE``), after which sentences whose label
-the first fit contradicts are dropped and the fit is repeated: labels may be wrong and texts may mix languages. Everything
-else - every thread, message and sentence - is classified without a sample.
+here, on the driver, on a bounded sample of labelled documents (``SAMPLE_PER_LANGUAGE``) and of the sentences of their whole
+texts (``SENTENCES_PER_LANGUAGE``), after which sentences whose label the first fit contradicts are dropped and the fit is
+repeated: labels may be wrong and texts may mix languages. Everything else - every thread, message and sentence - is
+classified without a sample.
 
-Margins become confidences by a logistic curve fitted on the part of the sample that was held out.
+Margins become confidences by a logistic curve fitted on a fifth of the sample's documents, which no machine was fitted on,
+and on the margin that is reported: the smaller of the family's and the closest pair's.
 """
 
 from __future__ import annotations
@@ -15,13 +17,12 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.newtext import thread_new_texts
@@ -29,8 +30,8 @@ from threadloom.session import spread
 
 FAMILIES = {"germanic": ("en",), "romance": ("es", "fr", "pt")}
 LANGUAGES = tuple(x for xs in FAMILIES.values() for x in xs)
-#: Documents of each language that the machines are fitted on at most, and characters of each (the rest is not needed to fit).
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 300, 800
+#: Documents of each language that the machines are fitted on at most, and sentences of them, drawn from whole texts.
+SAMPLE_PER_LANGUAGE, SENTENCES_PER_LANGUAGE = 300, 3000
 MIXED_SHARE = 0.2
 DIMENSIONS = 1 << 16
 #: Sentences of fewer words, or short ones placed with less confidence, take the language of the text around them.
@@ -42,10 +43,10 @@ _SENTENCE = re.compile(r"(?:[^.!?:\n]|[.!?:](?=\S))+[.!?:\n]*\s*")
 
 # A few everyday sentences of each language, so that every machine has something to start from.
 SEEDS = {
-    "en": ["We would like to book a table for the party.", "Could you tell me whether there is parking near the hall?", "Thank you for your message, we look forward to it.", "The guests will arrive at about six and leave before midnight.", "Please let us know what you need for this and that.", "I have not heard from them since the last time we were there."],
-    "es": ["Nos gustaría reservar una mesa para la fiesta.", "¿Me puede decir si hay estacionamiento cerca del salón?", "Muchas gracias por su mensaje, quedamos a la espera.", "Los invitados llegan a las seis y se van antes de medianoche.", "Por favor díganos qué necesitan para esto y aquello.", "No he sabido nada de ellos desde la última vez que estuvimos allí."],
-    "fr": ["Nous voudrions réserver une table pour la fête.", "Pouvez-vous me dire s'il y a un parking près de la salle ?", "Merci beaucoup pour votre message, nous restons à votre disposition.", "Les invités arrivent vers six heures et partent avant minuit.", "Dites-nous s'il vous plaît ce qu'il vous faut pour cela.", "Je n'ai pas eu de leurs nouvelles depuis la dernière fois que nous y étions."],
-    "pt": ["Gostaríamos de reservar uma mesa para a festa.", "Pode me dizer se há estacionamento perto do salão?", "Muito obrigado pela sua mensagem, ficamos à espera.", "Os convidados chegam às seis e vão embora antes da meia-noite.", "Por favor, digam o que precisam para isto e aquilo.", "Não tenho notícias deles desde a última vez que estivemos lá."],
+    "en": ["We would like to book a table for the party.", "Could you tell me whether there is parking near the hall?", "Thank you for your message, we look forward to it.", "The guests will arrive at about six and leave before midnight.", "Please let us know what you need for this and that.", "I have not heard from them since the last time we were there.", "My brother has asked for the smaller room because the other one is taken.", "She needs more of these for her friends and would have them before lunch.", "What is the price when there are more than fifty of us?", "They were here last year and it was very good.", "He wants to know how long the food can stay on the table after dinner.", "Which of the two houses did you choose, and why not this one?", "Our manager does not think that we should pay upstairs.", "If it rains, we will come inside with all of our chairs."],
+    "es": ["Nos gustaría reservar una mesa para la fiesta.", "¿Me puede decir si hay estacionamiento cerca del salón?", "Muchas gracias por su mensaje, quedamos a la espera.", "Los invitados llegan a las seis y se van antes de medianoche.", "Por favor díganos qué necesitan para esto y aquello.", "No he sabido nada de ellos desde la última vez que estuvimos allí.", "Mi hermano ha pedido la sala más chica porque la otra está ocupada.", "Ella necesita más de estos para sus amigas y los quisiera antes del almuerzo.", "¿Cuánto cuesta cuando somos más de cincuenta?", "Estuvieron aquí el año pasado y todo fue muy bueno.", "Quiere saber cuánto tiempo puede quedar la comida en la mesa después de la cena.", "¿Cuál de las dos casas han elegido, y por qué no esta?", "Nuestra directora no cree que debamos pagar arriba.", "Si llueve, entramos con todas nuestras sillas."],
+    "fr": ["Nous voudrions réserver une table pour la fête.", "Pouvez-vous me dire s'il y a un parking près de la salle ?", "Merci beaucoup pour votre message, nous restons à votre disposition.", "Les invités arrivent vers six heures et partent avant minuit.", "Dites-nous s'il vous plaît ce qu'il vous faut pour cela.", "Je n'ai pas eu de leurs nouvelles depuis la dernière fois que nous y étions.", "Mon frère a demandé la petite salle parce que l'autre est prise.", "Elle a besoin de plus de ceux-ci pour ses amies et les voudrait avant le déjeuner.", "Quel est le prix quand nous sommes plus de cinquante ?", "Ils étaient ici l'année dernière et c'était très bon.", "Il veut savoir combien de temps le repas peut rester sur la table après le dîner.", "Laquelle des deux maisons avez-vous choisie, et pourquoi pas celle-ci ?", "Notre directeur ne pense pas que nous devions payer à l'étage.", "S'il pleut, nous entrerons avec toutes nos chaises."],
+    "pt": ["Gostaríamos de reservar uma mesa para a festa.", "Pode me dizer se há estacionamento perto do salão?", "Muito obrigado pela sua mensagem, ficamos à espera.", "Os convidados chegam às seis e vão embora antes da meia-noite.", "Por favor, digam o que precisam para isto e aquilo.", "Não tenho notícias deles desde a última vez que estivemos lá.", "Meu irmão pediu a sala menor porque a outra está ocupada.", "Ela precisa de mais destes para as suas amigas e gostaria de tê-los antes do almoço.", "Quanto custa quando somos mais de cinquenta?", "Eles estiveram aqui no ano passado e foi muito bom.", "Ele quer saber quanto tempo a comida pode ficar na mesa depois do jantar.", "Qual das duas casas vocês escolheram, e por que não esta?", "A nossa gerente não acha que devemos pagar lá em cima.", "Se chover, entramos com todas as nossas cadeiras."],
 }
 
 
@@ -66,7 +67,7 @@ def sentences(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def fit_linear(rows: list[np.ndarray], signs: np.ndarray, cost: float = 0.5, epochs: int = 5, seed: int = 7) -> np.ndarray:
+def fit_linear(rows: list[np.ndarray], signs: np.ndarray, cost: float = 0.5, epochs: int = 6, seed: int = 7) -> np.ndarray:
     """Weights of a linear support vector machine without bias, by dual coordinate ascent; both classes weigh the same."""
     weights, alpha, order = np.zeros(DIMENSIONS), np.zeros(len(rows)), np.random.default_rng(seed)
     bound = np.where(signs > 0, cost * len(rows) / max(2 * (signs > 0).sum(), 1), cost * len(rows) / max(2 * (signs < 0).sum(), 1))
@@ -106,42 +107,57 @@ class Discriminator:
 
     def place(self, words: list[str]) -> tuple[str, float]:
         """(language, confidence) of a sentence. A sentence without letters is English with confidence 0.5."""
+        lang, margin = self.margin(words)
+        return lang, self._sure(margin)
+
+    def margin(self, words: list[str]) -> tuple[str, float]:
+        """(language, margin): the smaller of the family's margin and, within a family, the winner's closest pair."""
         s = self.scores(words)
         if s[0] <= 0:
-            return FAMILIES["germanic"][0], self._sure(-s[0])
+            return FAMILIES["germanic"][0], -s[0]
         votes: dict[str, float] = defaultdict(float)
         for (a, b), x in zip(self.pairs, s[1:]):
             votes[a if x > 0 else b] += 1 + min(abs(x), 0.49)
         best = max(votes, key=votes.get)
-        near = min(abs(x) for (a, b), x in zip(self.pairs, s[1:]) if best in (a, b))
-        return best, self._sure(min(s[0], near))
+        return best, min(s[0], *(abs(x) for pair, x in zip(self.pairs, s[1:]) if best in pair))
 
     def _sure(self, margin: float) -> float:
         return float(1.0 / (1.0 + np.exp(-self.slope * margin)))
 
 
-def fit_discriminator(labelled: list[tuple[str, str]]) -> Discriminator:
-    """Fit on (language, text) pairs; labels may be noisy. The seed sentences are always part of it."""
+def fit_discriminator(labelled: list[tuple[str, str]], sentences_per_language: int = SENTENCES_PER_LANGUAGE, seed: int = 11) -> Discriminator:
+    """Fit on (language, text) pairs; labels may be noisy. The seed sentences are always part of it.
+
+    Every fifth text is held out for the confidences. Of the sentences of the others, at most ``sentences_per_language`` of
+    each language are drawn.
+    """
     pairs = list(combinations(FAMILIES["romance"], 2))
-    data = [(lang, words) for lang, text in [*((k, x) for k, v in SEEDS.items() for x in v), *labelled] for _, words in sentences(text) if len(words) >= SURE_WORDS]
+    words_of = lambda texts: [(lang, words) for lang, text in texts for _, words in sentences(text) if len(words) >= SURE_WORDS]
+    seeds = words_of((k, x) for k, v in SEEDS.items() for x in v)
+    each: dict[str, list[tuple[str, str]]] = defaultdict(list)
+    for lang, text in labelled:
+        each[lang].append((lang, text))
+    rng, data, held = np.random.default_rng(seed), list(seeds), []
+    for lang in sorted(each):
+        held += words_of(each[lang][4::5])
+        own = words_of(t for i, t in enumerate(each[lang]) if i % 5 != 4)
+        data += [own[i] for i in sorted(rng.permutation(len(own))[:sentences_per_language])]
     family = {x: f for f, xs in FAMILIES.items() for x in xs}
 
-    def fit(part: list, epochs: int) -> np.ndarray:
+    def fit(part: list) -> np.ndarray:
         rows = [np.array([f for w in words for f in word_features(w)]) for _, words in part]
         langs = [lang for lang, _ in part]
-        machines = [fit_linear(rows, np.array([1 if family[x] == "romance" else -1 for x in langs]), epochs=epochs)]
+        machines = [fit_linear(rows, np.array([1 if family[x] == "romance" else -1 for x in langs]))]
         for a, b in pairs:
             pick = [i for i, x in enumerate(langs) if x in (a, b)]
-            machines.append(fit_linear([rows[i] for i in pick], np.array([1 if langs[i] == a else -1 for i in pick]), epochs=epochs))
+            machines.append(fit_linear([rows[i] for i in pick], np.array([1 if langs[i] == a else -1 for i in pick])))
         return np.stack(machines)
 
-    held = [d for i, d in enumerate(data) if i % 5 == 4]
-    first = Discriminator(fit([d for i, d in enumerate(data) if i % 5 != 4], 2), pairs, 1.0)
-    clean = [d for d in data if first.place(d[1])[0] == d[0]]
-    model = Discriminator(fit(clean, 5), pairs, 1.0)
-    # slope of the logistic curve: one Newton-fitted parameter on held-out margins
-    margin = np.array([min(abs(model.scores(words)[0]), 4.0) for _, words in held])
-    right = np.array([model.place(words)[0] == lang for lang, words in held], dtype=float)
+    first = Discriminator(fit(data), pairs, 1.0)
+    model = Discriminator(fit([d for d in data if first.place(d[1])[0] == d[0]]), pairs, 1.0)
+    # slope of the logistic curve: one Newton-fitted parameter on the margins of sentences that no machine saw
+    placed = [(min(margin, 4.0), found == lang) for lang, words in held or seeds for found, margin in [model.margin(words)]]
+    margin, right = np.array([x for x, _ in placed]), np.array([x for _, x in placed], dtype=float)
     slope = 1.0
     for _ in range(25):
         p = 1 / (1 + np.exp(-slope * margin))
@@ -152,20 +168,21 @@ def fit_discriminator(labelled: list[tuple[str, str]]) -> Discriminator:
 
 
 def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """Bounded sample of labelled documents for fitting: of each language the documents with the smallest id hash.
+    """Bounded sample of labelled documents for fitting: of each language the documents with the smallest id hash, whole.
 
-    Languages are counted first, so that a hash filter leaves a few times the sample before anything is sorted: what a
-    task sends on doesn't grow with the corpus or its partitions.
+    A scan of ids and labels alone counts the languages; then one scan of the texts keeps about four times the sample by
+    hash before anything is compared, so that what is shuffled doesn't grow with the corpus.
     """
-    at = documents.where(F.lower("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select(F.lower("lang").alias("_lang"), "doc_id", "text").withColumn("_h", F.xxhash64("doc_id"))
-    counts = {r[0]: r[1] for r in at.groupBy("_lang").count().collect()}
-    parts = []
-    for lang, n in sorted(counts.items()):
-        few = at.where(F.col("_lang") == lang)
-        if n > 8 * per_language:  # smallest hashes: below the quantile that holds twice the sample
-            few = few.where(F.col("_h") < int((8 * per_language / n - 1) * 2**62) - 2**62)
-        parts.append(few.orderBy("_h", "doc_id").limit(per_language).select("_lang", F.substring("text", 1, SAMPLE_CHARS)))
-    return [(r[0], r[1]) for r in reduce(DataFrame.unionByName, parts).collect()] if parts else []
+    labelled = documents.where(F.lower("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
+    at = labelled.select(F.lower("lang").alias("_lang"), "doc_id", F.xxhash64("doc_id").alias("_h"), "text")
+    counts = {r[0]: r[1] for r in documents.select(F.lower("lang").alias("_lang")).where(F.col("_lang").isin(*LANGUAGES)).groupBy("_lang").count().collect()}
+    bound = {lang: int((8 * per_language / n - 1) * 2**62) - 2**62 for lang, n in counts.items() if n > 8 * per_language}  # smallest hashes
+    if not counts:
+        return []
+    few = at.where(F.coalesce(*[F.when(F.col("_lang") == lang, F.col("_h") < b) for lang, b in bound.items()], F.lit(True)))
+    one = few.groupBy("_lang", "_h", "doc_id").agg(F.min("text").alias("text"))  # an id stored many times is one document
+    ranked = one.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "doc_id"))).where(F.col("_n") <= per_language)
+    return [(r[0], r[1]) for r in ranked.orderBy("_lang", "_n").select("_lang", "text").collect()]
 
 
 def word_shares(text: str, model: Discriminator) -> tuple[dict[str, int], float]:
