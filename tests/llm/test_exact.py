@@ -167,6 +167,7 @@ def test_suffix_array(symbols):
 
 def test_leaks_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(leakage, "SHARD_WORDS", 120)
+    monkeypatch.setattr(leakage, "WINDOW_BLOCK", 7)
     rng = random.Random(5)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(25))) for i in range(8)] + [(90, "too short"), (91, None), (0, " ".join(WORDS))]
     docs = []
@@ -189,9 +190,23 @@ def test_leaks_match_brute_force(spark, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(7))
     e = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     assert {tuple(r) for r in leakage.leaked_items(d, e).collect()} == want
-    whole = {r.doc_id: r for r in leakage.removal_spans(d, e).collect()}[102]
+    whole = {r.doc_id: r for r in leakage.removal_counts(leakage.removal_spans(d, e)).collect()}[102]
     assert whole.n_spans == 1 and whole.removed_chars == len(items[1][1])
     assert leakage.leaked_items(d.limit(0), e).count() == 0 and leakage.leaked_items(d, e.limit(0)).count() == 0
+    assert leakage.removal_spans(d, e.limit(0)).count() == 0
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 300)  # several passes
+    assert {tuple(r) for r in leakage.leaked_items(d, e).collect()} == want
+
+
+def test_leaked_spans_hold_for_the_stored_text(spark):
+    item = " ".join(WORDS[:14])
+    text = f"İstanbul İİİ ΣΑΣ. {item.upper()} and İ more: {' '.join(WORDS[2:16])}!"
+    d, e = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item), (2, " ".join(WORDS[1:15]))], "item_id long, text string")
+    got = sorted((r.item_id, text[r.char_from : r.char_to]) for r in leakage.leaked_spans(d, e).collect())
+    assert got == [(1, item.upper()), (1, " ".join(WORDS[2:14])), (2, " ".join(WORDS[1:14]).upper()), (2, " ".join(WORDS[2:15]))]
+    (row,) = leakage.removal_spans(d, e).collect()
+    assert [text[s.char_from : s.char_to] for s in row.spans] == [item.upper(), " ".join(WORDS[2:15])] and row.n_items == 2
+    assert leakage.words_of("İstanbul, ΣΑΣ.Α") == ["i\u0307stanbul", "σας", "α"]
 
 
 # --- 9: shared spans

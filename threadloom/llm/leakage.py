@@ -5,8 +5,8 @@ suffix array by prefix doubling, Burrows-Wheeler transform, wavelet tree with co
 sampled every few words. All test phrases (every window of ``MIN_WORDS`` words of every item) are searched backwards at
 once, the ranges found are located through the sampled positions, and the located words are merged to removal spans.
 
-The test items are the stated query set: they are sent to every task in blocks of bounded size. The corpus is never
-shuffled, so no key of it can be hot.
+The test items are the stated query set: they are sent to every task, each shard is indexed once, and the windows are searched
+in blocks of bounded size. The corpus is never shuffled, so no key of it can be hot.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 from threadloom.session import spread
 
 MIN_WORDS = 12
-#: Words in a shard, and test items sent to the tasks at once.
-SHARD_WORDS, ITEM_BLOCK = 400_000, 20_000
+#: Words in a shard, windows searched at once, and characters of test items sent to the tasks in one pass over the corpus.
+SHARD_WORDS, WINDOW_BLOCK, ITEM_CHARS = 400_000, 200_000, 64_000_000
 SAMPLE_EVERY = 16
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Longest runs of letters or digits, lower-cased."""
+    """Longest runs of letters or digits, each lower-cased; as many, at the same places, as in the text."""
+    if "İ" in text or "Σ" in text:  # the letters whose small form depends on more than themselves
+        return [w.lower() for w in _WORD.findall(text)]
     return _WORD.findall(text.lower())
 
 
@@ -119,12 +121,15 @@ class FMIndex:
         self.samples = order[sampled]
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range [low, high) of suffixes that start with each row of ``patterns``, all rows at once from their last word."""
+        """Range [low, high) of suffixes that start with each row of ``patterns``, all rows at once from their last word. Rows
+        that no suffix can match any more are left behind."""
         low, high = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), self.n, dtype=np.int64)
+        alive = np.arange(len(patterns))
         for column in patterns.T[::-1]:
-            low = self.first[column] + self.tree.rank(column, low)
-            high = self.first[column] + self.tree.rank(column, high)
-            high = np.maximum(low, high)
+            symbol = column[alive]
+            low[alive] = self.first[symbol] + self.tree.rank(symbol, low[alive])
+            high[alive] = np.maximum(low[alive], self.first[symbol] + self.tree.rank(symbol, high[alive]))
+            alive = alive[low[alive] < high[alive]]
         return low, high
 
     def locate(self, at: np.ndarray) -> np.ndarray:
@@ -143,64 +148,91 @@ class FMIndex:
         return found
 
 
-def _item_windows(items: list[tuple[int, str]], min_words: int) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
-    vocabulary: dict[str, int] = {}
-    patterns, owner, at = [], [], []
-    for item, text in items:
-        codes = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in words_of(text or "")]
-        for i in range(len(codes) - min_words + 1):
-            patterns.append(codes[i : i + min_words])
-            owner.append(item)
-            at.append(i)
-    return vocabulary, np.array(patterns, dtype=np.int64).reshape(-1, min_words), np.array(owner, dtype=np.int64), np.array(at, dtype=np.int64)
+class _Windows:
+    """Every window of ``width`` words of every item, as positions in the items' words."""
 
+    def __init__(self, items: list[tuple[int, str]], width: int) -> None:
+        self.width, self.vocabulary, codes, starts, owners, at = width, {}, [], [], [], 0
+        for item, text in items:
+            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text or "")]
+            if len(words) >= width:
+                codes += words
+                n = len(words) - width + 1
+                starts.append(np.arange(at, at + n))
+                owners.append(np.full(n, item, dtype=np.int64))
+                at += len(words)
+        self.codes = np.array(codes, dtype=np.int64)
+        self.starts = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
+        self.owners = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
 
-def _search_shard(docs: list[tuple[int, str]], codes: list[np.ndarray], windows: tuple) -> pd.DataFrame:
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(patterns, owners) of windows, ``WINDOW_BLOCK`` at a time."""
+        for i in range(0, len(self), WINDOW_BLOCK):
+            starts = self.starts[i : i + WINDOW_BLOCK]
+            yield self.codes[starts[:, None] + np.arange(self.width)], self.owners[i : i + WINDOW_BLOCK]
+
+
+def _search_shard(docs: list[tuple[int, str]], codes: list[np.ndarray], windows: _Windows) -> pd.DataFrame:
     """(item_id, doc_id, word_from, word_to, char_from, char_to): merged spans of one shard."""
-    vocabulary, patterns, owner, _ = windows
     text = np.concatenate([*(x for c in codes for x in (c, [1])), [0]]).astype(np.int64)
     starts = np.cumsum([0] + [len(c) + 1 for c in codes])
-    index = FMIndex(text, len(vocabulary) + 2)
-    low, high = index.search(patterns)
-    n = high - low
-    which = np.repeat(np.arange(len(patterns)), n)
-    ranks = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    position = index.locate(ranks)
-    width, spans = patterns.shape[1], []
+    index = FMIndex(text, len(windows.vocabulary) + 2)
+    items, at = [], []
+    for patterns, owners in windows.blocks():
+        low, high = index.search(patterns)
+        n = high - low
+        items.append(np.repeat(owners, n))
+        at.append(index.locate(np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
+    item, position = np.concatenate(items), np.concatenate(at)
     doc = np.searchsorted(starts, position, side="right") - 1
-    order = np.lexsort((position, doc, owner[which]))
-    for k in order:
-        item, d, a = int(owner[which[k]]), int(doc[k]), int(position[k] - starts[doc[k]])
-        if spans and spans[-1][0] == item and spans[-1][1] == d and a <= spans[-1][3]:
-            spans[-1][3] = max(spans[-1][3], a + width)
+    spans: list[list[int]] = []
+    for k in np.lexsort((position, doc, item)):
+        own, d, a = int(item[k]), int(doc[k]), int(position[k] - starts[doc[k]])
+        if spans and spans[-1][0] == own and spans[-1][1] == d and a <= spans[-1][3]:
+            spans[-1][3] = max(spans[-1][3], a + windows.width)
         else:
-            spans.append([item, d, a, a + width])
+            spans.append([own, d, a, a + windows.width])
     rows, offsets = [], {}
-    for item, d, a, b in spans:
+    for own, d, a, b in sorted(spans, key=lambda x: x[1]):
         if d not in offsets:
-            offsets = {d: [m.span() for m in _WORD.finditer(docs[d][1].lower())]}
-        rows.append((item, docs[d][0], a, b, offsets[d][a][0], offsets[d][b - 1][1]))
+            offsets = {d: [m.span() for m in _WORD.finditer(docs[d][1])]}
+        rows.append((own, docs[d][0], a, b, offsets[d][a][0], offsets[d][b - 1][1]))
     return pd.DataFrame(rows, columns=["item_id", "doc_id", "word_from", "word_to", "char_from", "char_to"])
 
 
+def _passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The stated query set in parts of ``ITEM_CHARS`` characters; its bound is the number of test items, not of documents."""
+    part, size = [], 0
+    for item, text in items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator():
+        part.append((item, text))
+        size += len(text)
+        if size >= ITEM_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(item_id, doc_id, word_from, word_to, char_from, char_to): each place where a document has ``min_words`` or more
-    consecutive words of an item, with the end exclusive; offsets in characters hold for the lower-cased text.
+    consecutive words of an item, with the end exclusive; offsets in words and in code points of the stored text.
 
     Null and empty texts and items shorter than ``min_words`` give no rows. Rows of ``items`` with a repeated id are searched
     under that id; repeated documents each give their rows.
     """
-    # the stated query set, in blocks; its bound is the number of test items, not of documents
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").toLocalIterator()]
     corpus = spread(documents.select("doc_id", "text").where("text is not null"), "doc_id")
     schema = "item_id long, doc_id long, word_from long, word_to long, char_from long, char_to long"
+    sc = documents.sparkSession.sparkContext
 
-    def run_over(block: list[tuple[int, str]]):
+    def run_over(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            windows = _item_windows(block, min_words)
-            if not len(windows[1]):
+            windows = _Windows(shared.value, min_words)
+            if not len(windows):
                 return
-            vocabulary, docs, codes, size = windows[0], [], [], 0
+            vocabulary, docs, codes, size = windows.vocabulary, [], [], 0
             for batch in batches:
                 for doc, text in zip(batch["doc_id"], batch["text"]):
                     # words of no item are in no phrase: they part phrases as the end of a document does
@@ -217,8 +249,8 @@ def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
 
         return run
 
-    blocks = [rows[i : i + ITEM_BLOCK] for i in range(0, max(len(rows), 1), ITEM_BLOCK)]
-    return reduce(DataFrame.unionByName, [corpus.mapInPandas(run_over(b), schema) for b in blocks])
+    parts = [corpus.mapInPandas(run_over(sc.broadcast(part)), schema) for part in _passes(items)]
+    return reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], schema)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -227,17 +259,20 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
 
 
 def removal_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_items, n_spans, removed_chars): spans of all items merged per document, with what they would remove."""
+    """(doc_id, n_items, spans) of each document that leaks: the spans of all items merged, as (char_from, char_to) in order.
+
+    A document's spans are at most as many as its words.
+    """
     at = F.struct("char_from", "char_to")
-    spans = leaked_spans(documents, items, min_words).groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.sort_array(F.collect_set(at)).alias("s"))
-    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(-1).cast("long").alias("end"))
-    merged = F.aggregate(
-        "s",
-        empty,
-        lambda acc, x: F.struct(
-            (acc["n"] + F.when(x["char_from"] > acc["end"], 1).otherwise(0)).alias("n"),
-            (acc["chars"] + F.greatest(F.lit(0).cast("long"), x["char_to"] - F.greatest(x["char_from"], acc["end"]))).alias("chars"),
-            F.greatest(acc["end"], x["char_to"]).alias("end"),
-        ),
-    )
-    return spans.withColumn("m", merged).select("doc_id", "n_items", F.col("m.n").alias("n_spans"), F.col("m.chars").alias("removed_chars"))
+    held = leaked_spans(documents, items, min_words).groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.sort_array(F.collect_set(at)).alias("s"))
+    none = F.array().cast("array<struct<char_from:bigint,char_to:bigint>>")
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["char_from"].alias("char_from"), F.greatest(last(acc)["char_to"], x["char_to"]).alias("char_to"))))
+    merged = F.aggregate("s", none, lambda acc, x: F.when((F.size(acc) > 0) & (x["char_from"] <= F.try_element_at(acc, F.lit(-1))["char_to"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x))))
+    return held.select("doc_id", "n_items", merged.alias("spans"))
+
+
+def removal_counts(spans: DataFrame) -> DataFrame:
+    """(doc_id, n_items, n_spans, removed_chars) of ``removal_spans``."""
+    chars = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["char_to"] - x["char_from"])
+    return spans.select("doc_id", "n_items", F.size("spans").cast("long").alias("n_spans"), chars.alias("removed_chars"))

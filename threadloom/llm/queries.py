@@ -74,8 +74,17 @@ def p8_found(spark, d):
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_spans(spark, d):
+    return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_removal(spark, d):
-    return leakage.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.removal_counts(leakage.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+def p8_removal_spans(spark, d):
+    spans = leakage.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return spans.select("doc_id", F.inline("spans"))
 
 
 def p9_found(spark, d):
@@ -94,7 +103,7 @@ def p9_without_repeats(spark, d):
     return spans.without_repeats(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p3_languages, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_removal, p9_found, p9_share, p9_spans, p9_without_repeats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p3_languages, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_spans, p8_removal, p8_removal_spans, p9_found, p9_share, p9_spans, p9_without_repeats)}
 
 _TERM = "regexp_replace(lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g')"
 _TAG_SQL = f"""
