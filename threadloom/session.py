@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +30,33 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys) if keys else df.repartition(2 * cores)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; where none is named (local tests) a temporary one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+    return named or os.path.join(tempfile.gettempdir(), "threadloom-checkpoint")
 
-    The folder is the one the cluster names in spark.checkpoint.dir; where none is named (local tests) a temporary one is set.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "threadloom-checkpoint"))
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder, for results too wide to be kept as a checkpoint: columns are
+    compressed and read one by one. The files go when the session's JVM ends."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/{uuid.uuid4()}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when ``df`` was counted and is small; a larger side is joined by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
