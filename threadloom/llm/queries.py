@@ -91,6 +91,10 @@ def p9_found(spark, d):
     return spans.span_pairs(table(spark, d, "documents"))
 
 
+def p9_copies(spark, d):
+    return spans.copy_classes(table(spark, d, "documents"))
+
+
 def p9_share(spark, d):
     return spans.shared_share(table(spark, d, "documents"))
 
@@ -103,7 +107,7 @@ def p9_without_repeats(spark, d):
     return spans.without_repeats(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p3_languages, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_spans, p8_removal, p8_removal_spans, p9_found, p9_share, p9_spans, p9_without_repeats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p3_languages, p4_found, p4_sanitised, p5_found, p5_groups, p6_found, p6_new_texts, p7_pack, p7_report, p8_found, p8_spans, p8_removal, p8_removal_spans, p9_found, p9_copies, p9_share, p9_spans, p9_without_repeats)}
 
 _TERM = "regexp_replace(lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g')"
 _TAG_SQL = f"""
@@ -129,6 +133,7 @@ ORACLE = {
         dg AS (SELECT doc_id, hash(array_to_string(w[i:i + 11], ' ')) AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)),
         eg AS (SELECT item_id, hash(array_to_string(w[i:i + 11], ' ')) AS g FROM e, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i))
         SELECT DISTINCT item_id, doc_id FROM dg JOIN eg USING (g)""",
+    "p9_copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE text IS NOT NULL",
     "p9_found": """
         WITH g AS (SELECT DISTINCT doc_id, hash(substring(text, i::INT, 300)) AS h FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 298)) AS i)),
         s AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), k AS (SELECT g.* FROM g JOIN s USING (h))

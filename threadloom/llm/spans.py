@@ -9,7 +9,8 @@ a boundary within the first 60 characters of a shared span of 300, and the run f
 the last 20, where the texts around the span could make a difference.
 
 Exact copies are one class with one representative before anything is joined; what is found for representatives holds for
-all members.
+all members. Classes and runs come from one pass over the texts, whose narrow rows are written once; texts are read again only
+where a span's ends have to be looked at.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.session import cut, small_side, spread
+from threadloom.session import cut, small_side, spread, written
 
 MIN_CHARS = 300
 RUN_CHARS = 160
@@ -91,30 +94,43 @@ def sentence_runs(text: str, run_chars: int = RUN_CHARS) -> list[tuple[int, int,
     return out
 
 
-def copy_classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_copies): class_id is the smallest id with exactly the same text. Null texts belong to no class.
-
-    Only ids and digests are shuffled; the grouping is combined on the map side, and members get their class by a join on
-    the digest.
-    """
-    keyed = documents.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("_key"))
-    classes = keyed.groupBy("_key").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("n_copies"))
-    return keyed.distinct().join(classes, "_key").select("doc_id", "class_id", "n_copies")
-
+class Scanned(NamedTuple):
+    classes: DataFrame  #: (doc_id, class_id, n_copies, n_chars) of every document with a text
+    runs: DataFrame  #: (h, doc_id, a, b) of the first document of each class
 
-def _representatives(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, text) without the non-first copies. Those are few in most corpora, so the texts need not be shuffled."""
-    copies = small_side(classes.where("doc_id > class_id").select("doc_id"))
-    return spread(documents.select("doc_id", "text").where("text is not null"), "doc_id").join(copies, "doc_id", "left_anti")
 
+def scan(documents: DataFrame, min_chars: int = MIN_CHARS) -> Scanned:
+    """Classes of exact copies, and the runs of their first members, in one pass over the texts. An id names one text."""
 
-def _runs(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, d, a, b) for d, t in zip(batch["doc_id"], batch["text"]) for h, a, b in sentence_runs(t)]
-            yield pd.DataFrame(rows, columns=["h", "doc_id", "a", "b"]).astype({"h": "int64", "doc_id": "int64", "a": "int32", "b": "int32"})
+            rows = []
+            for d, t in zip(batch["doc_id"], batch["text"]):
+                digest = blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                rows.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), d, -1, len(t)))
+                if len(t) >= min_chars:
+                    rows += [(h, None, d, a, b) for h, a, b in sentence_runs(t)]
+            found = pd.DataFrame(rows, columns=["h", "h2", "doc_id", "a", "b"])
+            yield found.astype({"h": "int64", "h2": "Int64", "doc_id": "int64", "a": "int32", "b": "int32"})
+
+    texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id")
+    rows = written(texts.mapInPandas(run, "h long, h2 long, doc_id long, a int, b int"))
+    keyed = rows.where("a < 0").select("h", "h2", "doc_id", F.col("b").alias("n_chars"))
+    # digests are combined on the map side; members get their class by a join on the digest
+    sizes = keyed.groupBy("h", "h2").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("n_copies"))
+    copied = sizes.where("n_copies > 1")
+    members = cut(keyed.distinct().join(small_side(copied), ["h", "h2"], "left"))
+    classes = members.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), "n_chars")
+    later = small_side(classes.where("doc_id > class_id").select("doc_id"))  # few in most corpora
+    return Scanned(classes, rows.where("a >= 0").drop("h2").join(later, "doc_id", "left_anti"))
 
-    return texts.where(F.length("text") >= MIN_CHARS).mapInPandas(run, "h long, doc_id long, a int, b int")
+
+def copy_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_copies): class_id is the smallest id with exactly the same text. Null texts belong to no class.
+
+    Only ids and digests are shuffled; the grouping is combined on the map side.
+    """
+    return scan(documents).classes.select("doc_id", "class_id", "n_copies")
 
 
 @F.pandas_udf(T.StructType().add("before", "integer").add("after", "integer"))
@@ -132,16 +148,15 @@ def _extend(left_a: pd.Series, left_b: pd.Series, right_a: pd.Series, right_b: p
     return pd.DataFrame({"before": [common(x[::-1], y[::-1]) for x, y in zip(left_a, left_b)], "after": [common(x, y) for x, y in zip(right_a, right_b)]}, dtype="int32")
 
 
-def shared_spans(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def shared_spans(documents: DataFrame, scanned: Scanned, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id_a, doc_id_b, from_a, from_b, n_chars): maximal equal spans of at least ``min_chars`` between distinct texts.
 
-    ``texts`` has one row (doc_id, text) for each distinct text; a row stored twice changes nothing but repeats its spans.
-    Offsets are code points. Texts shorter than ``min_chars`` share nothing.
+    Each distinct text stands for its copies; a row stored twice changes nothing. Offsets are code points. Texts shorter than
+    ``min_chars`` share nothing.
     """
-    runs = _runs(texts)
     # a run of one text only can't match: sieve before the join, by a count combined on the map side
-    held = runs.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("h")
-    shared = cut(runs.join(held, "h", "left_semi"))
+    held = scanned.runs.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("h")
+    shared = cut(scanned.runs.join(held, "h", "left_semi").distinct())
     x, y = shared.alias("x"), shared.alias("y")
     matched = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(
         F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b"), F.col("x.a").alias("a"), F.col("x.b").alias("b"), (F.col("y.a") - F.col("x.a")).alias("shift")
@@ -156,7 +171,9 @@ def shared_spans(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
     spans = cut(islands.withColumn("n", F.col("b") - F.col("a")))
     # only texts with an island are looked at again
-    near = texts.join(spans.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = cut(spans.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct())
+    texts = documents.select("doc_id", "text").where("text is not null")
+    near = texts.join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     around = lambda side: [
         F.expr(f"substring(text, greatest(1, p - {min_chars} + 1), least({min_chars}, p))").alias(f"left_{side}"),
         F.expr(f"substring(text, p + n + 1, {min_chars})").alias(f"right_{side}"),
@@ -176,11 +193,9 @@ def span_pairs(documents: DataFrame, min_chars: int = MIN_CHARS, expand_copies:
     members are written out, of a larger class its representative stands in the links and is linked with each member, so
     that the rows stay in proportion to the documents; ``copy_classes`` gives the membership for the rest.
     """
-    classes = cut(copy_classes(documents))
-    texts = _representatives(documents, classes)
-    links = shared_spans(texts, min_chars).select("doc_id_a", "doc_id_b").distinct()
-    long = documents.where(F.length("text") >= min_chars).select("doc_id").distinct()
-    members = classes.where("n_copies > 1").join(long, "doc_id", "left_semi").select("class_id", F.col("doc_id").alias("member"), "n_copies")
+    scanned = scan(documents, min_chars)
+    links = shared_spans(documents, scanned, min_chars).select("doc_id_a", "doc_id_b").distinct()
+    members = scanned.classes.where((F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars)).select("class_id", F.col("doc_id").alias("member"), "n_copies")
     small = members.where(F.col("n_copies") <= expand_copies).select("class_id", "member")
     for side in ("doc_id_a", "doc_id_b"):
         joined = links.join(small.withColumnRenamed("class_id", side), side, "left")
@@ -205,10 +220,10 @@ def document_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     is_first is false where a text of smaller id holds the span too. A text with exact copies is a span as a whole in each of
     them; its inner spans stand with the first copy only, so that the rows stay in proportion to the documents.
     """
-    classes = cut(copy_classes(documents))
-    inner = _sides(shared_spans(_representatives(documents, classes), min_chars)).select(F.col("class_id").alias("doc_id"), "a", "b", "later")
-    long = documents.where(F.length("text") >= min_chars).select("doc_id", F.length("text").alias("b"))
-    whole = long.join(classes.where("n_copies > 1"), "doc_id").select("doc_id", F.lit(0).alias("a"), "b", (F.col("doc_id") != F.col("class_id")).alias("later"))
+    scanned = scan(documents, min_chars)
+    inner = _sides(shared_spans(documents, scanned, min_chars)).select(F.col("class_id").alias("doc_id"), "a", "b", "later")
+    long = scanned.classes.where((F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars))
+    whole = long.select("doc_id", F.lit(0).alias("a"), F.col("n_chars").alias("b"), (F.col("doc_id") != F.col("class_id")).alias("later"))
     spans = inner.unionByName(whole).groupBy("doc_id", "a", "b").agg(F.max("later").alias("later"))
     return spans.select("doc_id", F.col("a").alias("from_char"), F.col("b").alias("to_char"), (~F.col("later")).alias("is_first"))
 
@@ -246,10 +261,8 @@ def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     occurrence would take. Null and empty texts share nothing. An id names one
     text: rows stored twice count once.
     """
-    classes = cut(copy_classes(documents))
-    texts = _representatives(documents, classes)
-    spans = shared_spans(texts, min_chars)
-    sides = _sides(spans)
+    scanned = scan(documents, min_chars)
+    sides = _sides(shared_spans(documents, scanned, min_chars))
 
     def covered(which: str):
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -261,7 +274,8 @@ def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.count_distinct("other").alias("n_linked"), F.collect_set(F.struct("a", "b")).alias("_all"), F.collect_set(F.when(F.col("later"), F.struct("a", "b"))).alias("_later")
     )
     per = per.select("class_id", "n_linked", covered("_all").alias("shared"), covered("_later").alias("repeated"))
-    rows = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).distinct().join(classes, "doc_id", "left").join(per, "class_id", "left")
+    textless = documents.where("text is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_copies"), F.lit(0).alias("n_chars"))
+    rows = scanned.classes.unionByName(textless).distinct().join(per, "class_id", "left")
     copied = (F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select(
