@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -72,29 +73,64 @@ def test_term_counts_match_brute_force(spark):
         ("1º ½ ™", "1º ½ ™", []),
     ],
 )
-def test_normal_form(text, normal, found):
-    assert charform.normal_form(text) == (normal, found)
-    assert charform.normal_form(normal)[0] == normal
+def test_class_form(spark, text, normal, found):
+    own = charform.forms(spark)
+    assert own.class_form(text) == (normal, found) and own.differs(text) == found
+    assert own.class_form(normal)[0] == normal and own.skeleton(normal) == own.skeleton(text)
+
+
+@pytest.mark.parametrize(
+    "text, normal",
+    [
+        ("ꓮpple", "Apple"), ("Ꭺpple", "Apple"), ("ᴀbc", "abc"), ("ıstanbul", "istanbul"), ("𐐬", "o"), ("а table", "a table"), ("Іnn", "Inn"), ("cаfé", "café"), ("раура", "paypa"), ("оrdеr Ⅷ", "order VIII"),
+        # ordinary: Turkish, symbols, words of another script, also one that looks Latin among others
+        ("Işık ıslak", None), ("σ = 2, α", None), ("кот сок Москва", None), ("να το πω", None), ("מים ו יין", None), ("œuvre, Ærø, straße", None), ("3×4, 5°", None), ("日本語テスト", None),
+    ],
+)
+def test_look_alikes_of_the_public_table(spark, text, normal):
+    own = charform.forms(spark)
+    assert own.class_form(text)[0] == (normal or text) and own.differs(text) == (["stand_in"] if normal else [])
+
+
+def test_skeletons(spark):
+    own = charform.forms(spark)
+    for a, b in [("rn", "m"), ("O0", "00"), ("Il1|", "llll"), ("“x”", '"x"'), ("ﬁn", "fin"), ("ꓮb", "Ab"), ("cafe\u0301", "café")]:
+        assert own.skeleton(a) == own.skeleton(b), a
+    assert own.skeleton("modem") == own.skeleton("rnodern") and own.skeleton("O0") == own.skeleton("0O") and own.skeleton("a") != own.skeleton("b")
+    df = spark.createDataFrame([("f", str(i), t) for i, t in enumerate(['m"%1I|`0', "", "modern | 10%", None])], "field_name string, record_id string, text string")
+    got = df.select("text", F.xxhash64(charform._ascii_skeleton(F.col("text"), own)).alias("a")).collect()
+    want = spark.createDataFrame([(r.text, own.skeleton(r.text)) for r in got if r.text is not None], "text string, s string").select("text", F.xxhash64("s").alias("b"))
+    assert {r.text: r.a for r in got if r.text is not None} == {r.text: r.b for r in want.collect()}
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aeo éñ оеА­​ ｎ𝐛́-“"), max_size=30))
-def test_normal_form_is_stable_and_looks_equal(text):
-    once = charform.normal_form(text)[0]
-    assert charform.normal_form(once)[0] == once
-    assert charform.skeleton(once) == charform.skeleton(charform.skeleton(text)) == charform.skeleton(text)
+@given(text=st.text(alphabet=st.sampled_from("aeo éñ оеА\u00ad\u200b\u00a0ｎ𝐛\u0301-“ıꓮm0"), max_size=30))
+def test_class_form_is_stable_and_looks_equal(spark, text):
+    own = charform.forms(spark)
+    once = own.class_form(text)[0]
+    assert own.class_form(once)[0] == once
+    assert own.skeleton(once) == own.skeleton(own.skeleton(text)) == own.skeleton(text)
     assert unicodedata.is_normalized("NFC", once)
 
 
-def test_character_records(spark):
-    rows = [("1", "оne"), ("2", "one"), ("3", None), ("4", ""), ("5", "ONE"), ("6", "оne"), ("7", "x" * 100_000 + " y")]
+def test_texts_that_are_not_suspect_are_class_forms(spark):
+    own = charform.forms(spark)
+    suspect = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", own.suspect()))
+    assert all(own.class_form(f"a{chr(cp)}b")[1] == [] for cp in range(0x20, 0x3000) if not suspect.search(chr(cp)))
+
+
+def test_character_records(spark, monkeypatch):
+    rows = [("1", "оne"), ("2", "one"), ("3", None), ("4", ""), ("5", "ONE"), ("6", "оne"), ("7", "x" * 100_000 + "\u00a0y")]
     inquiries = spark.createDataFrame(rows, "inquiry_id string, thread_text_redacted string").selectExpr("*", "1 as text", "2 as found", "3 as n")
     outputs = spark.createDataFrame([(9, "one")], "output_id long, response_draft string")
     fields = charform.text_fields(inquiries, outputs)
     assert sorted(r.record_id for r in charform.disguised_records(fields).collect()) == ["1", "6", "7"]
-    groups = {(r.field_name, r.record_id): (r.n_records, r.n_texts) for r in charform.look_alike_groups(fields).collect()}
-    assert groups["thread_text_redacted", "1"] == groups["response_draft", "9"] == (4, 2) and groups["thread_text_redacted", "5"] == (1, 1)
-    assert ("thread_text_redacted", "3") not in groups and charform.disguised_records(fields.limit(0)).count() == 0
+    for hot in (charform.HOT_RECORDS, 2):
+        monkeypatch.setattr(charform, "HOT_RECORDS", hot)
+        groups = {(r.field_name, r.record_id): (r.n_records, r.n_texts) for r in charform.look_alike_groups(fields).collect()}
+        assert groups["thread_text_redacted", "1"] == groups["response_draft", "9"] == (4, 2) and groups["thread_text_redacted", "5"] == (1, 1)
+        assert ("thread_text_redacted", "3") not in groups and len(groups) == 7
+    assert charform.disguised_records(fields.limit(0)).count() == 0
 
 
 # --- 7: packing
@@ -144,6 +180,15 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0), limits).count() == 0 and packing.pack_documents(docs, limits.limit(0)).count() == 0
 
 
+def test_waste_of_packing(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(WORDS) for _ in range(min(900, int(rng.paretovariate(1.1) * 12))))) for i in range(3000)], "doc_id long, text string")
+    limits = spark.createDataFrame([(1, 64), (2, 512)], "limit_id int, capacity_tokens int")
+    for shard_docs, n_shards in ((100_000, 1), (600, 5)):  # a shard wastes less than a container
+        for r in packing.packing_report(packing.pack_documents(docs, limits, shard_docs=shard_docs)).collect():
+            assert r.n_least <= r.n_containers <= 1.005 * r.n_least + n_shards, r
+
+
 # --- 8: leakage
 
 

@@ -152,8 +152,11 @@ def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str = TOK
 
 
 def packing_report(packed: DataFrame) -> DataFrame:
-    """(limit_id, capacity_tokens, n_containers, n_tokens, fill): how well the containers are used."""
+    """(limit_id, capacity_tokens, n_containers, n_tokens, n_least, fill): how well the containers are used.
+
+    n_least is the number of full containers that the tokens would need if texts could be cut anywhere: no packing has fewer.
+    """
     used = F.col("token_to") - F.col("token_from")
     per = packed.groupBy("limit_id", "capacity_tokens", "container_id").agg(F.sum(used).alias("n"))
     total = per.groupBy("limit_id", "capacity_tokens").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"))
-    return total.withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
+    return total.select("*", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("n_least"), F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("fill"))
