@@ -118,7 +118,7 @@ def test_injected_model(spark):
 
         return model
 
-    assert {r[0]: r.pred for r in ev.predict(rows, "t", make).collect()} == {"1": "qualified", "2": "ERROR", "3": "ERROR", "4": "qualified"}
+    assert {r[0]: r.pred for r in ev.predict(rows, "t", make, pause=0.01).collect()} == {"1": "qualified", "2": "ERROR", "3": "ERROR", "4": "qualified"}
 
 
 def test_validation(spark):
@@ -169,11 +169,129 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, labels, tmp_path):
-    src, rows = str(tmp_path / "src"), labels.distinct()
-    for n, part in enumerate((rows.where("label_id > 3"), rows.where("label_id <= 3"))):  # late rows come last
+    src, rows, state = str(tmp_path / "src"), labels.distinct(), str(tmp_path / "v")
+    assert latest.current(spark, state, labels.schema).count() == 0
+    steps = [rows.where("label_id > 3"), rows.where("label_id <= 3"), rows.where("label_id = 4").withColumn("labeled_at", F.lit("2025"))]  # late rows come second
+    seen = rows.limit(0)
+    for part in steps:
         part.coalesce(1).write.mode("append").parquet(src)
-        latest.keep_latest(latest.label_stream(spark, src, labels.schema), str(tmp_path / "v"), str(tmp_path / "c")).awaitTermination()
-    assert ids(latest.current(spark, str(tmp_path / "v"), 1)) == ids(lb.latest_labels(rows))
+        latest.keep_latest(latest.label_stream(spark, src, labels.schema), state, str(tmp_path / "c"), buckets=8).awaitTermination()
+        seen = seen.unionByName(part)
+        got = latest.current(spark, state, labels.schema)
+        assert sorted(map(str, got.collect())) == sorted(map(str, lb.latest_labels(seen).collect()))
+    last = {p.name for p in (tmp_path / "v" / "version=2").iterdir() if p.name.startswith("bucket")}
+    assert len(last) == 1  # the third batch has one key, and touches one part
+    held = sorted(p.parent.name for p in (tmp_path / "v").glob("version=0/bucket=*"))
+    assert len(held) < len({r[0] for r in rows.select("inquiry_id").collect()})  # what the second batch replaced is gone
+
+
+def test_lookups(spark, labels, inquiries):
+    assert ids(lb.latest_of(labels, "inquiry_id", "a", "labeled_at", "label_id")) == [3] and lb.latest_of(labels, "inquiry_id", "none", "label_id").count() == 0
+    wanted = spark.createDataFrame([("a",), ("zz",), ("a",), (None,)], "inquiry_id string")
+    assert {(r.inquiry_id, r.found) for r in lb.by_ids(inquiries, "inquiry_id", wanted).collect()} == {("a", True), ("zz", False), (None, False)}
+    assert tuple(lb.joinable(labels, inquiries).first()) == (8, 6, 2) and tuple(lb.joinable(labels.limit(0), inquiries).first()) == (0, 0, 0)
+    got = {r[0]: (r.n_items, r.shown) for r in lb.heads(labels, "inquiry_id", "label_id", 2).collect()}
+    assert got["a"] == (3, "1, 2 (+1 more)") and got[None] == (1, "7") and got["b"] == (1, "4")
+
+
+def test_relabel_guards(spark, labels, inquiries):
+    wide = labels.distinct().withColumn("labeled_by", F.lit("x"))
+    rule = lambda *r: spark.createDataFrame(list(r), "inquiry_id string, field string, expected string")
+    fine = rule(("a", "qualification_decision", "needs_info"), ("c", "edge_case_flag", "1"), ("c", "labeled_at", None))
+    assert lb.relabel_mismatches(wide, fine).count() == 0
+    wrong = lb.relabel_mismatches(wide, rule(("a", "qualification_decision", "declined"), ("new", "edge_case_flag", None), ("c", "labeled_at", "x"))).collect()
+    assert {(r.inquiry_id, r.actual) for r in wrong} == {("a", "needs_info"), ("new", None), ("c", None)}
+    batch = lambda reason: lb.copy_forward(wide, {"qualification_decision": F.lit("declined"), "edge_case_reason": F.lit(reason)}, F.col("inquiry_id") == "a", "2025", "me", "b9")
+    rows = lb.guarded_relabel(wide, inquiries, fine, batch(None), "b9")
+    assert [(r.inquiry_id, r.qualification_decision, r.label_id) for r in rows.collect()] == [("a", "declined", 8)]
+    with pytest.raises(ValueError, match="written already"):
+        lb.guarded_relabel(wide.unionByName(rows), inquiries, fine, rows, "b9")
+    with pytest.raises(ValueError, match="differ"):
+        lb.guarded_relabel(wide, inquiries, rule(("a", "qualification_decision", "declined")), batch(None), "b9")
+    with pytest.raises(ValueError, match="lose"):
+        lb.guarded_relabel(wide, inquiries, fine, batch("EXCLUDE_FROM_EVAL: x"), "b9")
+
+
+def test_mail_window(spark):
+    rows = [("a@x.test", "s", "2024-01-01 00:00:00"), ("Bot@x.test", "s", "2024-01-02 00:00:00"), ("c@x.test", "Spam list", "2024-01-02 00:00:00"), (None, None, "2024-01-02 23:59:59"), ("d@x.test", "s", "2024-01-03 00:00:00"), ("e@x.test", "s", None)]
+    df = spark.createDataFrame(rows, "sender string, subject string, at string").select("sender", "subject", F.to_timestamp("at").alias("sent_at"))
+    got = readers.mail_window(df, "2024/01/01", "2024/01/03", ["bot@x"], ("spam",))
+    assert [r.sender for r in got.orderBy("sent_at").collect()] == ["a@x.test", None]
+    assert readers.mail_window(df, None, None, []).count() == 6
+    with pytest.raises(ValueError):
+        readers.mail_window(df, "2024-01-01", None, [])
+    assert [r[0] for r in spark.createDataFrame([("2024/01/02",), ("2024/1/2",)], "a string").select(readers.is_slash_date(F.col("a"))).collect()] == [True, False]
+    assert [r.sender for r in readers.newest(df, 1, "sent_at").collect()] == ["d@x.test"]
+    assert readers.pick(df, 1, "sent_at", "sender").first().sender is None
+    for i in (-1, 6):
+        with pytest.raises(IndexError):
+            readers.pick(df, i, "sent_at")
+
+
+def test_landed_sources(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"id": "t1", "messages": [{"labelIds": ["A"], "payload": {"mimeType": "text/plain"}}, {"payload": {}}]}\nbroken\n{"id": "t2", "messages": []}\n{"id": "t3"}\n')
+    got = readers.landed_threads(spark, str(tmp_path / "t.json")).orderBy("message_no").collect()
+    assert [(r.thread_id, r.message_no, r.labels) for r in got] == [("t1", 1, ["A"]), ("t1", 2, None)] and got[0].payload == '{"mimeType":"text/plain"}'
+    listing = spark.createDataFrame([("c1", "100644 blob ab12\tsrc/a b.py"), ("c1", "040000 tree cd\tsrc"), ("c1", "100644 blob ef\tx.PNG"), ("c1", "")], "commit string, value string")
+    assert [tuple(r) for r in readers.tree_entries(listing).collect()] == [("c1", "100644", "ab12", "src/a b.py")]
+    log = spark.createDataFrame([("h1\0first\nline\x1e\nh2\0second\x1e\n",), (None,)], "value string")
+    assert [tuple(r) for r in readers.commit_messages(log).collect()] == [("h1", "first\nline"), ("h2", "second")]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "x.md").write_text("one")
+    (tmp_path / "b" / "y.md").write_bytes(b"\xff\xfe")
+    (tmp_path / "b" / "z.md").write_text("two")
+    assert sorted(r.text for r in readers.thread_files(spark, str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "none")).collect()) == ["one", "two"]
+    assert readers.thread_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("t1", "a"), ("t2", None)], "thread_id string, text string")
+    writers.write_threads(rows, str(tmp_path / "threads"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "threads")).collect()), key=str) == [("t1", "a"), ("t2", None)]
+    for _ in range(2):
+        writers.append_csv(spark.createDataFrame([('x "y"', "two\nlines")], "a string, b string"), str(tmp_path / "log"))
+    back = spark.read.csv(str(tmp_path / "log"), header=True, multiLine=True, escape='"').collect()
+    assert [tuple(r) for r in back] == [('x "y"', "two\nlines")] * 2
+    writers.write_report(spark.createDataFrame([(2, "b"), (1, "a")], "n int, line string"), str(tmp_path / "report"), "n")
+    assert [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["a", "b"]
+    after = spark.createDataFrame([("t1", "A"), ("t2", None), ("t3", "new")], "thread_id string, text string")
+    assert tuple(writers.rewrite_changed(rows, after, "thread_id", "text", str(tmp_path / "out"), dry_run=True).first()) == (3, 1) and not (tmp_path / "out").exists()
+    assert tuple(writers.rewrite_changed(rows, after, "thread_id", "text", str(tmp_path / "out")).first()) == (3, 1) and spark.read.parquet(str(tmp_path / "out")).count() == 1
+    broken = spark.createDataFrame([("t1", None), ("t2", None)], "thread_id string, text string")
+    assert {tuple(r) for r in writers.rewrite_status(rows, broken, "thread_id", "text").collect()} == {("errored", 1), ("unchanged", 1)}
+    table, backup = str(tmp_path / "threads"), str(tmp_path / "backup")
+    with pytest.raises(Exception):
+        writers.require_backup(spark, table, backup)
+    spark.read.parquet(table).write.parquet(backup)
+    writers.require_backup(spark, table, backup)
+    with pytest.raises(RuntimeError):
+        writers.require_backup(spark, table, backup, now=writers.modified(spark, backup) + 90_000)
+    with pytest.raises(RuntimeError):
+        writers.require_backup(spark, backup, table)
+
+
+def test_statuses(spark):
+    df = spark.createDataFrame([(" Needs-Info ",), (None,)], "a string")
+    assert [r[0] for r in df.select(schema.checked_status(F.col("a"))).collect()] == ["needs_info", None]
+    with pytest.raises(Exception, match="unknown status: maybe"):
+        spark.createDataFrame([("maybe",)], "a string").select(schema.checked_status(F.col("a"))).collect()
+
+
+def test_pauses_and_stages(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "late"), ("2", "ok")], "inquiry_id string, t string")
+
+    def make():
+        def draft(text):
+            if text == "late":
+                raise TimeoutError
+            return text.upper()
+
+        return ev.two_stages(draft, lambda text, reply: f"{text}/{reply}")
+
+    assert {r[0]: r.pred for r in ev.predict(rows, "t", make, attempts=2, pause=0.01).collect()} == {"1": "ERROR", "2": "ok/OK"}
+    drawn = ev.random_pairs(spark.range(500).selectExpr("cast(id as string) inquiry_id", "'x' truth"), ["x", "y"], 1)
+    assert drawn.where("fit_score between 0 and 100 and confidence between 0 and 1").count() == 500 and 200 < drawn.where("pred = 'x'").count() < 300
 
 
 def test_queries_run_their_operators_on_data(spark, tmp_path):

@@ -5,6 +5,8 @@ import json
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadloom.functions import checks, cleaning, patterns
@@ -51,7 +53,10 @@ def test_lines_match_splitlines(spark):
         (cleaning.clean_body, "a\nb On Jan 5, 2024, at 19:15, X wrote: c\n> d", "a\nb"),
         (cleaning.html_to_text, "<p>a&nbsp;&amp;lt; b</p><div>c<br/>d</div>​<script>x</script>", "a &lt; b\nc\nd\nx"),
         (cleaning.html_to_text_simple, "<style>s</style><p>a</p>b<br>c&amp;", "a\n\nb\nc&"),
+        (cleaning.html_to_text, "a< br >b</ p >c< BR / >d</ h2 >e", "a\nb\nc\nd\ne"),
+        (cleaning.html_to_text, None, None),
         (cleaning.preview, "  abc ", "abc"),
+        (cleaning.list_preview, "a\nb" + "c" * 90, "a b" + "c" * 67),
     ],
 )
 def test_cleaning(spark, fn, text, want):
@@ -65,9 +70,38 @@ def test_mime(spark):
         "parts": [{"mimeType": "text/html", "body": {"data": enc(b"<b>rich</b>")}}, {"mimeType": "multipart/alternative", "parts": [{"mimeType": "text/plain", "body": {"data": enc("pläin\xff".encode("latin-1"))}}]}, {"mimeType": "x", "filename": "A.PDF"}, {"mimeType": "x", "filename": "noext"}],
     }
     rows = spark.createDataFrame([(json.dumps(payload),), ("broken",), (None,)], "p string").select(cleaning.flatten_mime("p").alias("m"))
-    got = rows.select(cleaning.plain_text(F.col("m.parts")), cleaning.header_value(F.col("m.headers"), "SUBJECT"), cleaning.attachment_extensions(F.col("m.parts"))).collect()
-    assert tuple(got[0]) == ("pl�in�", "one", [".pdf", "(no extension)"])
-    assert got[1][0] == "" and got[2][0] == ""
+    got = rows.select("m.body", cleaning.header_value(F.col("m.headers"), "SUBJECT"), cleaning.attachment_extensions(F.col("m.parts")), F.size("m.parts")).collect()
+    assert tuple(got[0]) == ("rich", "one", [".pdf", "(no extension)"], 6)
+    assert got[1][0] is None and got[2][0] is None
+
+
+def part(mime, data=None, *parts, name=""):
+    enc = lambda s: base64.urlsafe_b64encode(s if isinstance(s, bytes) else s.encode()).decode().rstrip("=")
+    return {"mimeType": mime, "filename": name, "body": {} if data is None else {"data": enc(data)}, "parts": list(parts)}
+
+
+@pytest.mark.parametrize(
+    "payload, want",
+    [
+        (part("text/plain", ""), ""),  # a plain root is taken even if empty
+        (part("multipart/alternative", None, part("text/plain", ""), part("text/html", "<p>second</p>")), "second"),  # an empty part isn't
+        (part("multipart/alternative", None, part("text/html", "<b>first</b>"), part("text/plain", "plain")), "first"),  # document order
+        (part("multipart/mixed", None, part("multipart/alternative", None, part("text/html", "<br>"), part("text/plain", "inner"))), "inner"),
+        (part("text/html", "<p>own</p>", part("text/plain", "child")), "child"),
+        (part("text/html", "<p>own</p>", part("x", "no text")), "own"),
+        (part("text/plain", "named", name="a.txt"), "named"),  # parts with a file name count
+        (part("text/plain", "pläin\xff".encode("latin-1")), "pl\ufffdin\ufffd"),
+        (part("application/pdf", "x", name="a.pdf"), ""),
+    ],
+)
+def test_body_choice(spark, payload, want):
+    assert spark.createDataFrame([(json.dumps(payload),)], "p string").select(cleaning.flatten_mime("p")["body"]).first()[0] == want
+
+
+def test_extensions_from_the_last_dot(spark):
+    named = part("multipart/mixed", None, *[part("x", None, name=n) for n in (".bashrc", "file.", "a.tar.GZ", "plain", "a\n.b")])
+    got = spark.createDataFrame([(json.dumps(named),)], "p string").select(cleaning.attachment_extensions(cleaning.flatten_mime("p")["parts"])).first()[0]
+    assert got == [".bashrc", ".", ".gz", "(no extension)", ".b"]
 
 
 def test_changed_lines(spark):
@@ -78,7 +112,7 @@ def test_changed_lines(spark):
 ALLOWED = redaction.AllowList(["Alex", "Alex Sample", "Acme Daily News", None])
 
 
-@pytest.mark.parametrize("slot, want", [("Alex", True), ("Alex Other", False), ("Sample, Alex", True), ("alex’s", False), ("Acme Daily News", True), ("Acme Daily", False), ("", False), ("Alex Acme News Daily", True), ("News", False)])
+@pytest.mark.parametrize("slot, want", [("Alex", True), ("Alex Other", False), ("Sample, Alex", True), ("alex’s", False), ("Acme Daily News", True), ("Acme Daily", False), ("", False), ("Alex Acme News Daily", True), ("News", False), ("Acme Daily News Acme Daily News", False), ("Alex Sample Sample", False), ("Alex Alex Sample", True)])
 def test_allow_list(slot, want):
     assert ALLOWED.covers(slot) is want
 
@@ -114,6 +148,17 @@ def test_checks(spark):
     assert column(spark, ["0f8fad5b-d9cb-469f-a165-70867728950e", "x"], checks.is_uuid) == [True, False]
 
 
+def test_name_hits(spark):
+    df = spark.createDataFrame([("Hi Zoe,\nHello Inés and Dear Best\n\nJo Doe\nText here\nCheers\n", "verified"), (None, None)], "t string, status string")
+    got = df.select("status", F.inline(checks.name_hits(F.col("t"), ["best", "cheers"])))
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [("greeting", "Dear Best", "CLEARED"), ("greeting", "Hi Zoe", "REVIEW"), ("signature", "Cheers", "CLEARED"), ("signature", "Jo Doe", "REVIEW")]
+    cases = spark.createDataFrame([("store", "verified", "REVIEW"), ("store", None, "REVIEW"), ("store", "model_failed", "REVIEW"), ("file", "verified", "REVIEW"), ("store", "verified", "CLEARED")], "a string, b string, c string")
+    assert [r[0] for r in cases.select(checks.probe_verdict(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["gating", "gating", "quarantined", "reported", "cleared"]
+    table = spark.createDataFrame([("a — b 🎉",), ("fine",), (None,)], "t string").select(F.inline(checks.draft_checks(F.col("t")))).collect()
+    assert [(r["check"], r.passed, r.abstained) for r in table[:6]] == [("no_em_dash", False, False), ("no_emoji", False, False), ("language_match", True, True), ("no_em_dash", True, False), ("no_emoji", True, False), ("language_match", True, True)]
+    assert table[0].detail == "1 em, 0 en, 0 double"
+
+
 THREAD = "---\r\nsubject: Re: a: b\r\nthread_id: t9\r\nmessage_count: 2x\r\ndate_range: d1 / d2\r\nsubject: last\r\n---\r\n## Message 1\r\n**From:** X <{email}>\r\n**Date:** D1\r\n\r\nhello\r\n\r\nworld\r\n\r\n## Message 2\r\n**From:** Corvanne Table & Garden <y>\r\n**Date:** D2\r\n\r\n"
 
 
@@ -125,7 +170,8 @@ def test_threads(spark):
     inquiries = files.select(F.col("path").alias("inquiry_id"), F.col("text").alias("thread_text_redacted"))
     rows = threads.messages(inquiries).collect()
     assert [(r.message_no, r.sender, r.sent, r.body) for r in rows] == [(1, "X <{email}>", "D1", "hello\n\nworld"), (2, "Corvanne Table & Garden <y>", "D2", "")]
-    summary = threads.thread_summary(inquiries).first()
+    summary = threads.thread_summary(inquiries, "corvanne").first()
+    assert tuple(threads.reply_totals(threads.thread_summary(inquiries, "corvanne")).first()) == (1, 1, 0)
     assert (summary.n_messages, summary.first_date, summary.last_date, summary.house_replied) == (2, "D1", "D2", True)
     body = THREAD.split("---\r\n")[-1]
     assert column(spark, [body, "", "pre\n## Message 1\n**From:** a\n\nb"], threads.first_message_body) == ["hello\n\nworld", "", "pre"]
@@ -133,15 +179,38 @@ def test_threads(spark):
     assert merged == ["---\ndate_range: a / b\n---\nx"] and column(spark, merged, threads.merge_date_lines) == merged
 
 
-def test_assembly(spark):
-    rows = spark.createDataFrame([("t", 2, "B", "d2", None, ["b.pdf", "a.doc"]), ("t", 1, "A", "d1", " hi ", [])], "thread_id string, message_no int, sender string, sent string, body string, attachments array<string>")
-    assert threads.assemble_threads(rows).first().text == "## Message 1\n**From:** A\n**Date:** d1\n\nhi\n\n## Message 2\n**From:** B\n**Date:** d2\n\n_(no text body; 2 attachment(s): a.doc, b.pdf)_\n"
+def test_exported_threads(spark):
+    inbox = ["INBOX", "IMPORTANT"]
+    messages = [
+        part("multipart/mixed", None, part("text/plain", "hello\nOn Mon, Jan 5, 2024 at 9:15 AM X <y> wrote:\n> old"), part("image/png", None, name="A.PNG"), part("x", None, name="doc")),
+        part("multipart/mixed", None, part("application/pdf", None, name="b.pdf")),
+        part("multipart/mixed", None),
+    ]
+    heads = [("Jo Doe <jo@dun.test>", "D1", "Call 415-555-0100"), ("Alex <ops@house.test>", "D2", "Re: x"), ("Jo Doe <jo@dun.test>", "D3", "Re: x")]
+    for m, values in zip(messages, heads):
+        m["headers"] = [{"name": n, "value": v} for n, v in zip(("from", "Date", "Subject"), values)]
+    rows = [("4155550100415", i, json.dumps(m), inbox) for i, m in enumerate(messages, 1)]
+    df = spark.createDataFrame(rows[::-1] + [("t2", 1, "broken", None)], "thread_id string, message_no int, payload string, labels array<string>")
+    got = {r.thread_id: r for r in threads.exported_threads(threads.mail_messages(df), ALLOWED, "OPS@house").collect()}
+    assert got["4155550100415"].text == (
+        "---\nthread_id: 4155550100415\nsubject: Call {phone}\nmessage_count: 3\ndate_range: D1 / D3\nlabels: ['INBOX', 'IMPORTANT']\noperator_replied: True\n---\n\n"
+        "## Message 1\n**From:** {name} <{email}>\n**Date:** D1\n\nhello\n_(2 attachment(s): .png, (no extension))_\n\n"
+        "## Message 2\n**From:** Alex <{email}>\n**Date:** D2\n\n_(no text body; 1 attachment(s): .pdf)_\n\n## Message 3\n**From:** {name} <{email}>\n**Date:** D3\n\n_(no body extracted)_\n"
+    )
+    assert (got["4155550100415"].n_messages, got["t2"].n_messages, got["t2"].operator_replied) == (3, 1, False)
+    again = got["4155550100415"].text.replace("4155550100415", "id")
+    back = threads.thread_fields(spark.createDataFrame([("p", again)], "path string, text string")).first()
+    assert (back.subject, back.message_count, back.date_range_start, back.date_range_end) == ("Call {phone}", 3, "D1", "D3")
+    assert threads.exported_threads(threads.mail_messages(df.limit(0)), ALLOWED, "x").count() == 0
 
 
 def test_matcher():
     m = termscan.Matcher([("name", "jo doe"), ("name", "doe"), ("email", "a@b.co"), ("name", "")])
     assert [(s.kind, s.term) for s in m.spans("Jo  Doe, does, DOE a@b.co z@y.co q@x.test 415-555-0100 415 222 0100")] == [("name", "jo doe"), ("name", "doe"), ("email", "a@b.co"), ("email", "z@y.co"), ("phone", "4152220100")]
-    assert m.alive() and not termscan.Matcher([]).alive() and termscan.Matcher([]).spans("x@y.co")[0].kind == "email"
+    assert m.alive() == {"name": True, "email": True} and termscan.Matcher([]).alive() == {} and termscan.Matcher([]).spans("x@y.co")[0].kind == "email"
+    broken = termscan.Matcher([("name", "doe")])
+    broken.begins.clear()
+    assert broken.alive() == {"name": False}
     loose = termscan.Matcher([("name", "doe")], guarded=False)
     assert len(loose.terms("does")) == 1 and m.terms("does") == []
     a, b, c = termscan.Span(0, 5, "n", "x"), termscan.Span(0, 3, "n", "y"), termscan.Span(5, 6, "n", "z")
@@ -149,6 +218,65 @@ def test_matcher():
     line = "aaaa jo doe bbbb doe cccc"
     views = termscan.with_tokens(line, m.spans(line), {("name", "jo doe"): "{name-1}", ("name", "doe"): "{name-2}"}, pad=7)
     assert views == ["aaaa {name-1} bbbb {name-2}...", "...{name-1} bbbb {name-2} cccc"]
+    assert termscan.with_tokens("doe", [termscan.Span(0, 3, "name", "doe")], {}) == ["{name}"]
+    assert [(s.start, s.end) for s in termscan.Matcher([("n", "i̇x doe")]).terms("aİ  İX\tDoe.")] == [(4, 10)]
+
+
+WORDS = ["a", "ab", "abc", "b c", "ab c", "c", "ca", "(b", "é a"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(terms=st.lists(st.sampled_from(WORDS), max_size=6, unique=True), line=st.text(alphabet="abc (é A\t.", max_size=30), guarded=st.booleans())
+def test_matcher_equals_one_alternation(terms, line, guarded):
+    ordered = sorted(terms, key=lambda t: (-len(t), t))
+    body = "|".join(r"\s+".join(map(re.escape, t.split())) for t in ordered)
+    rx = re.compile((r"(?<![A-Za-z0-9])(?:%s)(?![A-Za-z0-9])" if guarded else "(?:%s)") % body, re.I)
+    want = [(m.start(), m.end(), " ".join(m[0].lower().split())) for m in rx.finditer(line)] if terms else []
+    assert [(s.start, s.end, s.term) for s in termscan.Matcher([("n", t) for t in terms], guarded).terms(line)] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(1, 6)), max_size=6), st.integers(0, 9), st.integers(0, 8))
+def test_views_never_cut_a_token(parts, tail, pad):
+    line, spans = "", []
+    for gap, width in parts:
+        line += "." * gap
+        spans.append(termscan.Span(len(line), len(line) + width, "k", f"t{len(spans)}"))
+        line += "x" * width
+    line += "." * tail
+    tokens = {(s.kind, s.term): f"{{{i}}}" for i, s in enumerate(spans)}
+    for i, view in enumerate(termscan.with_tokens(line, spans, tokens, pad)):
+        assert f"{{{i}}}" in view and view.count("{") == view.count("}") and "x" not in view
+        assert len(view) <= 3 * (2 * len(spans) + 1) + 2 * pad + 6
+
+
+def test_more_terms_than_are_sent_give_the_same_hits(spark):
+    texts = spark.createDataFrame([(1, "ann@firm.co and Ann\nnone\nplanned Ann  Lee"), (1, "ann@firm.co and Ann\nnone\nplanned Ann  Lee"), (2, None), (3, ""), (4, "z@y.co only")], "id int, t string")
+    terms = spark.createDataFrame([("email", "ann@firm.co"), ("name", "ann"), ("name", "Ann Lee"), ("name", "lane"), ("name", None), ("alias", "ann"), ("name", " ")], "kind string, term string")
+    for how in ({}, {"categories": True}, {"guarded": False}):
+        want = sorted(map(tuple, termscan.term_hits(texts, "id", "t", terms, **how).collect()))
+        assert sorted(map(tuple, termscan.term_hits(texts, "id", "t", terms, sent_terms=2, **how).collect())) == want and len(want) > 6
+        assert termscan.term_hits(texts.limit(0), "id", "t", terms, sent_terms=2, **how).count() == 0
+    got = {(r.line, r.term, r.category) for r in termscan.term_hits(texts, "id", "t", terms, categories=True).collect()}
+    assert got == {(1, "ann@firm.co", "GUARD"), (1, "ann", "GUARD"), (3, "ann", "SUB"), (3, "ann lee", "GUARD"), (1, "z@y.co", "GENERIC")}
+    sub = {(r.term, r.category) for r in termscan.term_hits(texts, "id", "t", terms.where("term = 'lane'").unionByName(spark.createDataFrame([("n", "lan")], "kind string, term string")), categories=True).collect()}
+    assert ("lan", "SUB") in sub
+
+
+def test_audit(spark):
+    texts = spark.createDataFrame([(1, "Ann is here\nplanned\n ask ann lee at a@b.co or ok@b.co, 415-222-0100, 4111 1111 1111 1111" + "x" * 90), (2, None), (3, "")], "id int, t string").withColumn("line", F.lit(9))
+    got = sorted((r.line, r.kind, r.found) for r in termscan.audit_hits(texts, "id", "t", ["Ann", "Ann Lee", "C++"], ("ok@b.co",)).collect())
+    assert got == [(1, "customer_name", "Ann"), (3, "customer_name", "Ann"), (3, "customer_name", "Ann Lee"), (3, "email", "a@b.co"), (3, "payment_run", "4111 1111 1111 1111"), (3, "phone", "415-222-0100")]
+    assert {len(r.context) for r in termscan.audit_hits(texts, "id", "t", ["Ann Lee"]).collect()} == {90}
+    assert termscan.audit_hits(texts.limit(0), "id", "t", []).count() == 0
+
+
+def test_mining(spark):
+    rows = spark.createDataFrame([("Hi Zoe and Hello Best\nJo Doe\nThe Hall\nAl\n\nBo\nThanks\n",), (None,)], "t string")
+    assert {r[0] for r in termscan.mined_names(rows, "t", ["best", "hello", "hi"]).collect()} == {"Zoe", "Hi Zoe", "Jo Doe"}
+    assert {tuple(r) for r in termscan.signature_names(rows, "t", ["thanks"]).collect()} == {("Jo Doe", "strong"), ("The Hall", "strong"), ("Al Bo", "strong")}
+    single = spark.createDataFrame([("Al\nx y\nBest\n",)], "t string")
+    assert {tuple(r) for r in termscan.signature_names(single, "t", ["best"]).collect()} == {("Al", "weak")}
 
 
 def test_term_tables(spark):
@@ -180,6 +308,20 @@ def test_rules(spark):
     assert {tuple(r) for r in termscan.rule_conflicts(rules.where("problem is null")).collect()} == {(1, 3, "duplicate"), (1, 2, "order")}
 
 
+def test_rule_report(spark):
+    lines = spark.createDataFrame([(1, r"regex:(?i)jo\ doe==>{name-1}"), (2, "regex:(?i)zed==>{name-2}"), (3, "regex:(?i)ghost==>{name}"), (4, "x")], "line int, value string")
+    rules = termscan.replacement_rules(lines)
+    contents = spark.createDataFrame([("a", "Jo Doe, JO DOE and zed"), ("b", "zed zed"), ("c", None)], "content_id string, text string")
+    derived = spark.createDataFrame([("jo doe",), ("ghost",)], "term string")
+    got = {r.line: tuple(r)[1:] for r in termscan.rule_report(rules, derived, contents, contents.where("content_id = 'a'")).collect()}
+    assert got == {1: ("{name-1}", True, 2, 0, True), 2: ("{name-2}", False, 1, 2, False), 3: ("{name}", True, 0, 0, False)}
+    assert termscan.rule_report(rules.limit(0), derived, contents, contents).count() == 0
+    assert tuple(termscan.covered_terms(rules, spark.createDataFrame([("Jo  Doe",), ("nobody",)], "term string")).first()) == (2, 1)
+    hits = spark.createDataFrame([("a", "name"), ("a", "email")], "content_id string, kind string")
+    places = spark.createDataFrame([("a", "notes.md"), ("b", "x")], "content_id string, path string")
+    assert tuple(termscan.control_hits(hits, places, "notes.md").first()) == (1, True) and tuple(termscan.control_hits(hits, places, "x").first()) == (0, False)
+
+
 def test_fan_out_and_reach(spark):
     hits = spark.createDataFrame([("s1", "name")], "sha string, kind string")
     places = spark.createDataFrame([("s1", "p"), ("s1", "q"), ("s2", "r")], "sha string, path string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from threadloom.functions.patterns import LOOSE_PHONE, PATTERNS, PLACEHOLDER
+from threadloom.functions.patterns import LOOSE_PHONE, PATTERNS, PLACEHOLDER, strip_all
 
 # Emoji ranges, carriers of mail-client residue, phrases of a model that talks back, words a greeting may hold.
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}\x{FE00}-\x{FE0F}]"
@@ -28,8 +28,14 @@ EXPECTED_WORDS = (
     "Hi", "Hello", "Dear", "Best", "Thanks", "Thank", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March",
     "April", "May", "June", "July", "August", "September", "October", "November", "December",
 )
-GREETING_NAME = r"\b(?:Hi|Hello|Dear)[ \t]+([A-Z][a-z]+)\b"
-SIGNATURE_LINE = r"(?m)^[ \t]*([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+)?)[ \t]*\r?$"
+GREETING = r"(?U)\b(?:Hi|Hello|Dear)[ \t]+([A-Z][a-z]+)\b"
+#: a line of one or two capitalised words; the white space between them may be a line end
+SIGNATURE = r"(?m)^\s*([A-Z][a-z]+)(?:\s+([A-Z][a-z]+))?\s*$"
+# Words of greetings and closings that are no names.
+STOP_WORDS = (
+    "best", "thanks", "thank", "cheers", "hi", "hello", "regards", "kind", "sincerely", "the", "warm", "warmest", "later", "dear", "all", "good", "morning", "afternoon",
+    "evening", "and", "or", "to", "of", "for",
+)
 
 
 def dashes_and_emoji(text: Column) -> list[Column]:
@@ -79,9 +85,31 @@ def from_line_format(rest: Column) -> Column:
     )
 
 
-def language_check() -> list[Column]:
-    """The language check has no implementation: it passes and says that it abstains."""
-    return [F.lit(True).alias("passed"), F.lit(True).alias("abstained")]
+def name_hits(text: Column, known: list[str]) -> Column:
+    """array<struct<kind, sample, verdict>> of greeted names and signature lines: CLEARED if every word is known, else REVIEW."""
+    common = F.array(*[F.lit(w) for w in sorted({k.lower() for k in known})]).cast("array<string>")
+    cleared = lambda words: F.forall(words, lambda w: F.array_contains(common, F.lower(w)))
+    hit = lambda kind, sample, words: F.struct(F.lit(kind).alias("kind"), sample.alias("sample"), F.when(cleared(words), "CLEARED").otherwise("REVIEW").alias("verdict"))
+    whole = lambda p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
+    greeted = F.zip_with(whole(GREETING, 0), whole(GREETING, 1), lambda m, w: hit("greeting", m, F.array(w)))
+    lines = F.zip_with(whole(SIGNATURE, 0), F.zip_with(whole(SIGNATURE, 1), whole(SIGNATURE, 2), lambda a, b: F.array_remove(F.array(a, b), "")), lambda m, ws: hit("signature", strip_all(m), ws))
+    return F.concat(greeted, lines)
+
+
+def probe_verdict(surface: Column, status: Column, verdict: Column) -> Column:
+    """What a hit means: a REVIEW of a stored row gates unless the row is quarantined (model_failed); files are only reported."""
+    return F.when(verdict == "CLEARED", "cleared").when(surface != "store", "reported").when(status.eqNullSafe(F.lit("model_failed")), "quarantined").otherwise("gating")
+
+
+def draft_checks(text: Column) -> Column:
+    """array<struct<check, passed, abstained, detail>>: dashes, emoji, and language, which has no implementation and abstains."""
+    em, en, double, emoji, _ = dashes_and_emoji(text)
+    one = lambda name, passed, abstained, detail: F.struct(F.lit(name).alias("check"), passed.alias("passed"), F.lit(abstained).alias("abstained"), detail.alias("detail"))
+    dashes = F.concat_ws(", ", F.concat(em.cast("string"), F.lit(" em")), F.concat(en.cast("string"), F.lit(" en")), F.concat(double.cast("string"), F.lit(" double")))
+    return F.array(
+        one("no_em_dash", em == 0, False, dashes), one("no_emoji", emoji == 0, False, emoji.cast("string")),
+        one("language_match", text.isNotNull(), True, F.when(text.isNotNull(), "not implemented")),
+    )
 
 
 def is_uuid(c: Column) -> Column:

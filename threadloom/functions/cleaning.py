@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import html
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,13 +46,22 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
-def html_to_text(source: Column) -> Column:
+# Tags that end a line, tags, and characters that leave no trace.
+_BREAK = re.compile(r"(?i)<\s*br\s*/?\s*>|</\s*(?:p|div|tr|li|h[1-6]|blockquote)\s*>")
+_TAG = re.compile(r"<[^>]+>")
+_TRACELESS = {0xA0: " ", 0xFEFF: None, 0x200B: None, 0x200C: None, 0x200D: None}
+
+
+def text_of_html(source: str) -> str:
     """Breaks and closing blocks to line ends, tags gone, then entities, odd spaces and runs of blank lines. Script bodies stay."""
-    text = F.regexp_replace(source, r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, r"(?i)</(?:p|div|tr|li|h[1-6]|blockquote)\s*>", "\n")
-    text = unescape(F.regexp_replace(text, r"<[^>]+>", ""))
-    text = F.regexp_replace(F.translate(text, "\u00a0", " "), r"[\x{feff}\x{200b}-\x{200d}]", "")
-    return strip_all(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", source))).translate(_TRACELESS)
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
+@F.pandas_udf(T.StringType())
+def html_to_text(source: pd.Series) -> pd.Series:
+    """``text_of_html`` of a column: one pass, as entities need Python anyway. Null stays null."""
+    return source.map(lambda t: None if t is None else text_of_html(t))
 
 
 def html_to_text_simple(source: Column) -> Column:
@@ -68,12 +79,37 @@ def decode_base64url(data: Column) -> Column:
 
 
 _PART = T.StructType().add("mime", "string").add("filename", "string").add("data", "string")
-MIME_PARTS = T.StructType().add("headers", T.MapType(T.StringType(), T.StringType())).add("parts", T.ArrayType(_PART))
+MIME_PARTS = T.StructType().add("headers", T.MapType(T.StringType(), T.StringType())).add("parts", T.ArrayType(_PART)).add("body", "string")
+
+
+def _decoded(node: dict) -> str:
+    data = (node.get("body") or {}).get("data")
+    try:
+        return base64.urlsafe_b64decode(data + "===").decode("utf-8", "replace") if data else ""
+    except ValueError:  # no base64: no text
+        return ""
+
+
+def _body_of(root: dict) -> str:
+    """The first text that isn't empty: a text/plain part is taken as it is, another one by its parts, then by itself if HTML."""
+    stack = [(root, False)]
+    while stack:
+        node, seen = stack.pop()
+        if node.get("mimeType") == "text/plain":
+            text = _decoded(node)
+        elif not seen:
+            stack += [(node, True), *((x, False) for x in reversed(node.get("parts") or []))]
+            continue
+        else:
+            text = text_of_html(_decoded(node)) if node.get("mimeType") == "text/html" else ""
+        if text:
+            return text
+    return ""
 
 
 @F.pandas_udf(MIME_PARTS)
 def flatten_mime(payload: pd.Series) -> pd.DataFrame:
-    """Headers (first of a name, lower-cased) and parts in document order of a recursive MIME payload as JSON.
+    """Headers (first of a name, lower-cased), parts in document order and body text of a recursive MIME payload as JSON.
 
     Recursion is what a Spark schema cannot express; everything after this is array functions. Malformed JSON gives nulls.
     """
@@ -87,23 +123,13 @@ def flatten_mime(payload: pd.Series) -> pd.DataFrame:
             parts, stack = [], [root]
             while stack:
                 node = stack.pop()
-                body = (node.get("body") or {}).get("data")
-                parts.append({"mime": node.get("mimeType"), "filename": node.get("filename") or "", "data": body})
+                parts.append({"mime": node.get("mimeType"), "filename": node.get("filename") or "", "data": (node.get("body") or {}).get("data")})
                 stack += reversed(node.get("parts") or [])
-            return headers, parts
+            return headers, parts, _body_of(root)
         except (TypeError, ValueError, AttributeError):
-            return None, None
+            return None, None, None
 
-    return pd.DataFrame([flat(t) for t in payload], columns=["headers", "parts"])
-
-
-def plain_text(parts: Column) -> Column:
-    """Text of the first text/plain part; else of the first text/html part, converted; else empty."""
-    plain = F.filter(parts, lambda p: (p["mime"] == "text/plain") & (p["filename"] == ""))
-    rich = F.filter(parts, lambda p: (p["mime"] == "text/html") & p["data"].isNotNull())
-    return F.when(F.size(plain) > 0, F.coalesce(decode_base64url(F.try_element_at(plain, F.lit(1))["data"]), F.lit(""))).otherwise(
-        F.coalesce(html_to_text(decode_base64url(F.try_element_at(rich, F.lit(1))["data"])), F.lit(""))
-    )
+    return pd.DataFrame([flat(t) for t in payload], columns=["headers", "parts", "body"])
 
 
 def header_value(headers: Column, name: str) -> Column:
@@ -111,8 +137,8 @@ def header_value(headers: Column, name: str) -> Column:
 
 
 def attachment_extensions(parts: Column) -> Column:
-    """Lower-cased extension with its dot of each named part, ``(no extension)`` where there is none."""
-    ext = lambda p: F.regexp_extract(F.lower(p["filename"]), r"[^.](\.[^.]+)$", 1)
+    """Lower-cased extension, from the last dot on, of each named part; ``(no extension)`` without a dot."""
+    ext = lambda p: F.regexp_extract(F.lower(p["filename"]), r"(?s)\.[^.]*\z", 0)
     return F.transform(F.filter(parts, lambda p: p["filename"] != ""), lambda p: F.when(ext(p) == "", "(no extension)").otherwise(ext(p)))
 
 
@@ -127,3 +153,8 @@ def preview(text: Column, n: int = 2000) -> Column:
     """Stripped text, cut after ``n`` characters with a note of how many follow."""
     t = strip_all(text)
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit(" [+"), (F.length(t) - n).cast("string"), F.lit(" chars]"))).otherwise(t)
+
+
+def list_preview(text: Column, n: int = 70) -> Column:
+    """One line of a list: line ends as blanks, the first ``n`` characters."""
+    return F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, n)

@@ -26,10 +26,6 @@ def redact_patterns(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> C
     return text
 
 
-def count_pattern(text: Column, kind: str) -> Column:
-    return F.regexp_count(text, F.lit(_UNICODE + PATTERNS[kind]))
-
-
 def strip_all(text: Column | str) -> Column:
     """Unicode white space gone from both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

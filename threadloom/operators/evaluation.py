@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.labels import gradeable, latest_per_key
 from threadloom.schema import normal_status
+from threadloom.session import cut
 
 #: Pairs from which an evaluation may gate a release.
 GATING_ROWS = 100
@@ -37,7 +39,7 @@ def classes(counts: DataFrame) -> DataFrame:
 
 def confusion_long(pairs: DataFrame) -> DataFrame:
     """(truth, pred, n) for every combination of the classes that occur, zero where there is no pair."""
-    counts = confusion_counts(pairs)
+    counts = cut(confusion_counts(pairs))  # a handful of rows, used three times
     # a grid over the handful of classes, not over rows
     names = classes(counts)
     grid = names.select(F.col("class").alias("truth")).join(F.broadcast(names.select(F.col("class").alias("pred"))), on=F.lit(True), how="inner")
@@ -76,21 +78,32 @@ def accuracy(pairs: DataFrame, *by: str) -> DataFrame:
 
 def oracle_pairs(truth: DataFrame) -> DataFrame:
     """The predictor that copies the truth: every metric must be 1."""
-    return truth.withColumn("pred", F.col("truth"))
+    return truth.withColumns({"pred": F.col("truth"), "fit_score": F.lit(90), "confidence": F.lit(1.0)})
 
 
 def fixed_pairs(truth: DataFrame, value: str = "human_review") -> DataFrame:
-    return truth.withColumn("pred", F.lit(value))
+    """The predictor that always says the same."""
+    return truth.withColumns({"pred": F.lit(value), "fit_score": F.lit(50), "confidence": F.lit(0.5)})
 
 
 def random_pairs(truth: DataFrame, values: list[str], seed: int = 0) -> DataFrame:
-    """A prediction drawn by hash of the inquiry and a seed: the same on any cluster and in any order."""
-    return truth.withColumn("pred", F.try_element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("inquiry_id", F.lit(seed)), F.lit(len(values))) + 1).cast("int")))
+    """A prediction, fit (0 to 100) and confidence (two decimals) drawn by hash of the inquiry and a seed: the same on any cluster
+    and in any order, which a generator's sequence over sorted rows isn't."""
+    draw = lambda k, n: F.pmod(F.xxhash64("inquiry_id", F.lit(seed), F.lit(k)), F.lit(n))
+    return truth.withColumns(
+        {"pred": F.try_element_at(F.array(*map(F.lit, values)), (draw(0, len(values)) + 1).cast("int")), "fit_score": draw(1, 101).cast("int"), "confidence": F.round(draw(2, 101) / 100, 2)}
+    )
+
+
+def two_stages(draft: Callable[[str], str], classify: Callable[[str, str], str]) -> Callable[[str], str]:
+    """A model of two calls: a reply to the inquiry, then a decision forced from inquiry and reply."""
+    return lambda text: classify(text, draft(text))
 
 
-def predict(rows: DataFrame, text: str, make_model: Callable[[], Callable[[str], str]], attempts: int = 3) -> DataFrame:
-    """Add ``pred`` from an injected model, made once per task. A failure after ``attempts`` connection errors, or any other
-    error, is ``ERROR``, which stays in the denominator. Null text is ``ERROR``.
+def predict(rows: DataFrame, text: str, make_model: Callable[[], Callable[[str], str]], attempts: int = 3, pause: float = 2.0) -> DataFrame:
+    """Add ``pred`` from an injected model, made once per task. Connection errors (and their kinds, such as time-outs) are tried
+    again, after ``pause`` seconds, then twice that, and so on; a failure after ``attempts`` of them, or any other error, is
+    ``ERROR``, which stays in the denominator. Null text is ``ERROR``.
     """
     schema = rows.withColumn("pred", F.lit("")).schema
 
@@ -98,11 +111,12 @@ def predict(rows: DataFrame, text: str, make_model: Callable[[], Callable[[str],
         model = make_model()
 
         def one(value: str | None) -> str:
-            for _ in range(attempts):
+            for attempt in range(attempts):
                 try:
                     return ERROR if value is None else model(value)
-                except ConnectionError:
-                    continue
+                except (ConnectionError, TimeoutError):
+                    if attempt + 1 < attempts:
+                        time.sleep(pause * 2**attempt)
                 except Exception:
                     return ERROR
             return ERROR

@@ -13,8 +13,8 @@ EXCLUDED = "EXCLUDE_FROM_EVAL%"
 def latest_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key by ``order`` (largest first, nulls last). One row per key, also for repeated rows.
 
-    Aggregated with map-side combine instead of a sort per key, so that a key with a third of all rows is reduced before
-    the shuffle. Rows with a null key form one key of their own.
+    Aggregated with map-side combine, so that a key with a third of all rows is reduced before the shuffle. Spark aggregates
+    strings by sorting each partition, so give it the columns that are needed only. Rows with a null key form one key of their own.
     """
     # equal order values are told apart by the whole row; maps can't be ordered and so can't be columns here
     rest = [c for c in df.columns if c not in (key, *order)]
@@ -122,3 +122,55 @@ def changed_rows(before: DataFrame, after: DataFrame, key: str, column: str) ->
     old = before.select(F.col(key).alias("_k"), F.col(column).alias("_old"))
     joined = after.join(old, F.col(key) == F.col("_k"))
     return joined.where(~F.col(column).eqNullSafe(F.col("_old"))).select(after.columns)
+
+
+def latest_of(df: DataFrame, key: str, value, *order: str) -> DataFrame:
+    """The last row of one key: filtered before anything is compared, then the top row; empty if there is none."""
+    return df.where(F.col(key) == value).orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(1)
+
+
+def by_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """(key, found, ...): a row of ``df`` for each distinct id of ``ids`` (one column of that name), with nulls where there is none."""
+    return ids.select(key).distinct().join(df.withColumn("_found", F.lit(True)), key, "left").select(key, F.coalesce("_found", F.lit(False)).alias("found"), *[c for c in df.columns if c != key])
+
+
+def joinable(labels: DataFrame, inquiries: DataFrame) -> DataFrame:
+    """(n_labels, n_joinable, n_orphans): labels with and without an inquiry."""
+    known = inquiries.select("inquiry_id", F.lit(True).alias("_k")).distinct()
+    return labels.select("inquiry_id").join(known, "inquiry_id", "left").agg(F.count("*").alias("n_labels"), F.count("_k").alias("n_joinable"), F.count_if(F.col("_k").isNull()).alias("n_orphans"))
+
+
+def relabel_mismatches(labels: DataFrame, expected: DataFrame) -> DataFrame:
+    """(inquiry_id, field, expected, actual) where the latest row isn't as a relabelling expects it: (inquiry_id, field, expected)
+    rows, values as text. An inquiry without a label differs in every field. Empty means that the batch may be written."""
+    fields = [c for c in labels.columns if c not in ("inquiry_id",)]
+    last = latest_labels(labels).select("inquiry_id", F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.col(c).cast("string") for c in fields])).alias("_now"))
+    joined = expected.join(last, "inquiry_id", "left").withColumn("actual", F.try_element_at("_now", F.col("field")))
+    return joined.where(F.col("_now").isNull() | ~F.col("actual").eqNullSafe(F.col("expected"))).select("inquiry_id", "field", "expected", "actual")
+
+
+def guarded_relabel(labels: DataFrame, inquiries: DataFrame, expected: DataFrame, rows: DataFrame, batch_id: str) -> DataFrame:
+    """The rows of a relabelling after its guards, else an error and nothing to write: the batch is new, the latest rows are as
+    expected, and appending loses no gradeable inquiry and keeps every id unique. ``rows`` come from ``copy_forward``."""
+    if labels.where(F.col("batch_id") == batch_id).limit(1).count():
+        raise ValueError(f"batch {batch_id} was written already")
+    if wrong := relabel_mismatches(labels, expected).limit(5).collect():
+        raise ValueError(f"latest rows differ from what is expected: {[tuple(r) for r in wrong]}")
+    new = cut(rows)
+    after = labels.unionByName(new)
+    lost = gradeable(labels, inquiries).join(gradeable(after, inquiries), "inquiry_id", "left_anti").limit(1).count()
+    if lost or after.groupBy("label_id").count().where("count > 1").limit(1).count():
+        raise ValueError("the batch would lose gradeable inquiries or repeat an id")
+    return new
+
+
+def heads(df: DataFrame, group: str, item: str, n: int = 4) -> DataFrame:
+    """(group, n_items, shown): the first ``n`` distinct items of each group in order, and ``(+k more)`` where there are more.
+
+    Only the first items of a group travel: each task keeps its own ``n`` smallest.
+    """
+    ranked = df.select(group, item).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(item)))
+    total = df.groupBy(group).agg(F.count_distinct(item).alias("n_items"))
+    first = ranked.where(F.col("_r") <= n).groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(item)), ", ").alias("_s"))
+    more = F.when(F.col("n_items") > n, F.concat(F.lit(" (+"), (F.col("n_items") - n).cast("string"), F.lit(" more)"))).otherwise("")
+    return total.join(first, total[group].eqNullSafe(first[group]), "left").select(total[group], "n_items", F.concat(F.coalesce("_s", F.lit("")), more).alias("shown"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,11 +39,9 @@ class AllowList:
         left = Counter(self.words(slot))
         if not left:
             return False
-        for phrase in self.phrases:
-            while all(left[w] >= n for w, n in phrase.items()):
+        for phrase in self.phrases:  # each once: what a repeated phrase leaves over has to be allowed by itself
+            if all(left[w] >= n for w, n in phrase.items()):
                 left -= phrase
-                if not left:
-                    return True
         return all(w in self.single for w in left)
 
     def redact_slots(self, text: str) -> str:
@@ -56,29 +54,23 @@ def allow_list(allow_terms: DataFrame, kinds: tuple[str, ...] = ("staff_name", "
     return AllowList([r[0] for r in allow_terms.where(F.col("kind").isin(*kinds) & F.col("entry").isNotNull()).select("entry").distinct().collect()])
 
 
-def slot_redactor(allowed: AllowList):
-    @F.pandas_udf(T.StringType())
-    def redact_slots(text: pd.Series) -> pd.Series:
-        """Sender and receiver slots that aren't allowed become {name}; Spark's replacement cannot call back."""
-        return text.map(lambda t: None if t is None else allowed.redact_slots(t))
-
-    return redact_slots
-
-
 def redacted(df: DataFrame, text: str, allowed: AllowList, into: str = "redacted") -> DataFrame:
     """Add the text with addresses, links, numbers and sender slots redacted. Applying it twice changes nothing more."""
-    return df.withColumn(into, slot_redactor(allowed)(redact_patterns(F.col(text))))
+
+    @F.pandas_udf(T.StringType())
+    def slots(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: None if t is None else allowed.redact_slots(t))
+
+    return df.withColumn(into, slots(redact_patterns(F.col(text))))
 
 
 FINDINGS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer"))
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 
 
-@F.pandas_udf(FINDINGS)
-def surviving(text: pd.Series) -> pd.Series:
+def survivors(text: str) -> list[dict]:
     """Matches of the four patterns that are left, grouped email, phone, payment, url; offsets in code points, end exclusive."""
-    order = ("email", "phone", "payment", "url")
-    return text.map(lambda t: [] if t is None else [{"kind": k, "start": m.start(), "end": m.end()} for k in order for m in _COMPILED[k].finditer(t)])
+    return [{"kind": k, "start": m.start(), "end": m.end()} for k in ("email", "phone", "payment", "url") for m in _COMPILED[k].finditer(text)]
 
 
 def redact_threads(df: DataFrame, text: str, allowed: AllowList, redactor: Callable[[str], str] | None = None) -> DataFrame:
@@ -86,34 +78,38 @@ def redact_threads(df: DataFrame, text: str, allowed: AllowList, redactor: Calla
 
     ``redactor`` is an injected model call, made per row in Arrow batches; its exceptions give model_failed, and an answer
     longer than max(1.2 x length, length + 200) is taken for a hallucination: flagged, and the raw text is what gets
-    redacted. Without one, names stay (names_unredacted). Status: flagged > model_failed > names_unredacted > verified.
+    redacted. Without one, names stay (names_unredacted) and no text goes to Python for it. Patterns are replaced in the JVM;
+    slots and what survives are one more Arrow pass. Status: flagged > model_failed > names_unredacted > verified.
     Null text stays null and is model_failed.
     """
-    kind = T.StructType().add("stage", "string").add("failed", "boolean").add("grown", "boolean")
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(T.StructType().add("stage", "string").add("failed", "boolean").add("grown", "boolean"))
     def call(raw: pd.Series) -> pd.DataFrame:
         rows = []
         for t in raw:
-            if t is None:
-                rows.append((None, True, False))
-            elif redactor is None or not t.strip():
-                rows.append((t, False, False))
-            else:
-                try:
-                    answer = redactor(t) or t
-                    grown = len(answer) > max(1.2 * len(t), len(t) + 200)
-                    rows.append((t if grown else answer, False, grown))
-                except Exception:
-                    rows.append((t, True, False))
+            if t is None or not t.strip():
+                rows.append((t, t is None, False))
+                continue
+            try:
+                answer = redactor(t) or t
+                grown = len(answer) > max(1.2 * len(t), len(t) + 200)
+                rows.append((t if grown else answer, False, grown))
+            except Exception:
+                rows.append((t, True, False))
         return pd.DataFrame(rows, columns=["stage", "failed", "grown"])
 
-    staged = df.withColumn("_s", call(text)).withColumn("_t", redact_patterns(F.col("_s.stage"))).withColumn("safe_text", slot_redactor(allowed)("_t"))
-    found = staged.withColumn("findings", surviving("safe_text"))
+    @F.pandas_udf(T.StructType().add("safe_text", "string").add("findings", FINDINGS))
+    def finish(part: pd.Series) -> pd.DataFrame:
+        safe = [None if t is None else allowed.redact_slots(t) for t in part]
+        return pd.DataFrame({"safe_text": safe, "findings": [[] if t is None else survivors(t) for t in safe]})
+
+    raw = F.col(text)
+    staged = df.withColumn("_s", F.struct(raw.alias("stage"), raw.isNull().alias("failed"), F.lit(False).alias("grown")) if redactor is None else call(raw))
+    done = staged.withColumn("_f", finish(redact_patterns(F.col("_s.stage")))).withColumns({"safe_text": F.col("_f.safe_text"), "findings": F.col("_f.findings")})
     status = (
         F.when(F.col("_s.grown") | (F.size("findings") > 0), "flagged").when(F.col("_s.failed"), "model_failed").when(F.lit(redactor is None), "names_unredacted").otherwise("verified")
     )
-    return found.withColumn("redaction_status", status).drop("_s", "_t")
+    return done.withColumn("redaction_status", status).drop("_s", "_f")
 
 
 def stored_findings(inquiries: DataFrame) -> DataFrame:
@@ -135,13 +131,3 @@ def sender_leaks(inquiries: DataFrame, allowed: AllowList) -> DataFrame:
     bare = F.regexp_replace("slot", "^[\"']+|[\"']+$", "")
     open_ = slots.where((F.col("slot") != "") & ~bare.isin("{name}", "{email}", "{url}", "{phone}"))
     return open_.where(~covered("slot"))
-
-
-def batches_of(model: Callable[[str], str]) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    """A per-text callable as a batch iterator, for callers that keep a client open per task."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(model)
-
-    return run

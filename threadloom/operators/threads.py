@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions import cleaning
 from threadloom.functions.patterns import strip_all
+from threadloom.operators.redaction import AllowList, redacted
 
 FRONT = r"(?s)^---[^\S\n]*\r?\n(.*?)\r?\n---[^\S\n]*(?:\r?\n(.*))?$"
-#: Operators of the house, by what their sender line holds.
-HOUSE = "Corvanne"
 
 
 def front_matter(text: Column) -> Column:
@@ -88,8 +88,11 @@ def sender_line(text: Column, within: int = 250) -> Column:
     return F.trim(F.regexp_extract(F.substring(text, 1, within), r"\*\*From:\*\*([^\r\n]*)", 1))
 
 
-def thread_summary(inquiries: DataFrame, house: str = HOUSE) -> DataFrame:
-    """(inquiry_id, n_messages, first_sender, first_date, last_date, house_replied) of each thread, without a shuffle."""
+def thread_summary(inquiries: DataFrame, house: str) -> DataFrame:
+    """(inquiry_id, n_messages, first_sender, first_date, last_date, house_replied) of each thread, without a shuffle.
+
+    house: what sender lines of the house hold, in any case.
+    """
     text = F.col("thread_text_redacted")
     found = lambda label: F.regexp_extract_all(text, F.lit(rf"(?m)^\*\*{label}:\*\* ?([^\r\n]*)"), F.lit(1))
     rows = inquiries.select("inquiry_id", found("From").alias("s"), found("Date").alias("d"), F.regexp_count(text, F.lit(r"(?m)^## Message \d+")).alias("n_messages"))
@@ -99,14 +102,52 @@ def thread_summary(inquiries: DataFrame, house: str = HOUSE) -> DataFrame:
     )
 
 
-def assemble_threads(rows: DataFrame) -> DataFrame:
-    """(thread_id, text): message blocks of (thread_id, message_no, sender, sent, body, attachments) rows joined in order.
+def reply_totals(summary: DataFrame) -> DataFrame:
+    """(n_exported, n_with_reply, n_without_reply) over ``thread_summary``; threads without messages weren't exported."""
+    replied = F.coalesce("house_replied", F.lit(False))
+    return summary.where("n_messages > 0").agg(F.count("*").alias("n_exported"), F.count_if(replied).alias("n_with_reply"), F.count_if(~replied).alias("n_without_reply"))
+
+
+def message_block() -> Column:
+    """``## Message N`` with its headers and body; a remark counts the attachments by their extensions, as names may be personal."""
+    n = F.size(F.coalesce("extensions", F.array().cast("array<string>")))
+    held = F.concat(n.cast("string"), F.lit(" attachment(s): "), F.array_join("extensions", ", "), F.lit(")_"))
+    text = F.coalesce(F.col("body"), F.lit(""))
+    body = F.when(text != "", F.when(n > 0, F.concat(text, F.lit("\n_("), held)).otherwise(text)).when(n > 0, F.concat(F.lit("_(no text body; "), held)).otherwise("_(no body extracted)_")
+    blank = F.lit("")
+    return F.concat(F.lit("## Message "), F.col("message_no").cast("string"), F.lit("\n**From:** "), F.coalesce("sender", blank), F.lit("\n**Date:** "), F.coalesce("sent", blank), F.lit("\n\n"), body, F.lit("\n"))
 
-    An empty body becomes a remark that names its attachments. Messages of one thread are few; threads are many.
+
+def exported_threads(messages: DataFrame, allowed: AllowList, operator: str) -> DataFrame:
+    """(thread_id, n_messages, operator_replied, text) of (thread_id, message_no, sender, sent, subject, body, extensions, labels) rows.
+
+    The text is front matter, of which only the subject is redacted (an id of many digits must stay whole), and the blocks of
+    all messages in order, redacted in one pass over the joined text, where sender lines have the form that redaction looks
+    for. operator: what a sender line of the operator holds, in any case. Messages of one thread are few; threads are many.
     """
-    n = F.size("attachments")
-    remark = F.when(n > 0, F.concat(F.lit("_(no text body; "), n.cast("string"), F.lit(" attachment(s): "), F.array_join(F.array_sort(F.array_distinct("attachments")), ", "), F.lit(")_"))).otherwise("_(no body extracted)_")
-    body = F.when(F.coalesce(strip_all("body"), F.lit("")) == "", remark).otherwise(strip_all("body"))
-    block = F.concat(F.lit("## Message "), F.col("message_no").cast("string"), F.lit("\n**From:** "), F.coalesce("sender", F.lit("")), F.lit("\n**Date:** "), F.coalesce("sent", F.lit("")), F.lit("\n\n"), body, F.lit("\n"))
-    parts = rows.groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("message_no", block.alias("block")))).alias("_b"))
-    return parts.select("thread_id", F.array_join(F.transform("_b", lambda x: x["block"]), "\n").alias("text"))
+    each = messages.select("thread_id", F.struct("message_no", "sender", "sent", "subject", "labels", message_block().alias("block")).alias("m"))
+    rows = each.groupBy("thread_id").agg(F.sort_array(F.collect_list("m")).alias("_m"))
+    first, last = F.get("_m", F.lit(0)), F.element_at("_m", -1)
+    replied = F.exists("_m", lambda m: F.contains(F.lower(F.coalesce(m["sender"], F.lit(""))), F.lit(operator.lower())))
+    rows = rows.select(
+        "thread_id", F.size("_m").alias("n_messages"), replied.alias("operator_replied"), F.coalesce(first["subject"], F.lit("")).alias("_subject"), first["sent"].alias("_first"), last["sent"].alias("_last"),
+        F.coalesce(first["labels"], F.array().cast("array<string>")).alias("_labels"), F.array_join(F.transform("_m", lambda m: m["block"]), "\n").alias("_blocks"),
+    )
+    done = redacted(redacted(rows, "_subject", allowed, "_subject"), "_blocks", allowed, "_blocks")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("_labels", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    lines = [
+        F.lit("---"), F.concat(F.lit("thread_id: "), text(F.col("thread_id"))), F.concat(F.lit("subject: "), F.col("_subject")), F.concat(F.lit("message_count: "), F.col("n_messages").cast("string")),
+        F.concat(F.lit("date_range: "), text(F.col("_first")), F.lit(" / "), text(F.col("_last"))), F.concat(F.lit("labels: "), listed), F.concat(F.lit("operator_replied: "), F.when(F.col("operator_replied"), "True").otherwise("False")), F.lit("---"), F.lit(""), F.col("_blocks"),
+    ]
+    return done.select("thread_id", "n_messages", "operator_replied", F.concat_ws("\n", *lines).alias("text"))
+
+
+def mail_messages(payloads: DataFrame, thread_id: str = "thread_id", message_no: str = "message_no", payload: str = "payload", labels: str = "labels") -> DataFrame:
+    """The rows ``exported_threads`` takes, from MIME payloads as JSON: headers by name, the body chosen and cleaned of quotes."""
+    m = payloads.withColumn("_m", cleaning.flatten_mime(payload))
+    head = lambda name: cleaning.header_value(F.col("_m.headers"), name)
+    return m.select(
+        F.col(thread_id).alias("thread_id"), F.col(message_no).alias("message_no"), head("From").alias("sender"), head("Date").alias("sent"), head("Subject").alias("subject"),
+        cleaning.clean_body(F.col("_m.body")).alias("body"), cleaning.attachment_extensions(F.col("_m.parts")).alias("extensions"), F.col(labels).alias("labels"),
+    )

@@ -12,6 +12,8 @@ from threadloom.sources import readers, writers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+#: What sender lines of the house hold.
+HOUSE = "Corvanne"
 _LABEL_COLUMNS = ["label_id", "inquiry_id", "language", "qualification_decision", "outcome", "edge_case_flag", "edge_case_reason", "labeled_at"]
 
 
@@ -266,15 +268,43 @@ def random_stub_metrics(spark, d):
     "(SELECT inquiry_id, thread_text_redacted AS t, regexp_extract_all(thread_text_redacted, '(?m)^\\*\\*From:\\*\\* ?([^\\r\\n]*)', 1) AS s, regexp_extract_all(thread_text_redacted, '(?m)^\\*\\*Date:\\*\\* ?([^\\r\\n]*)', 1) AS e FROM inquiries)"
 )
 def thread_summary(spark, d):
-    return threads.thread_summary(table(spark, d, "inquiries"))
+    return threads.thread_summary(table(spark, d, "inquiries"), HOUSE)
 
 
-@query()
+@query(
+    "SELECT count(*) AS n_exported, count(*) FILTER (r) AS n_with_reply, count(*) FILTER (NOT r) AS n_without_reply FROM (SELECT len(list_filter(regexp_extract_all(thread_text_redacted, '(?m)^\\*\\*From:\\*\\* ?([^\\r\\n]*)', 1), lambda x: contains(lower(x), 'corvanne'))) > 0 AS r "
+    "FROM inquiries WHERE regexp_matches(thread_text_redacted, '(?m)^## Message \\d+'))"
+)
+def export_totals(spark, d):
+    return threads.reply_totals(threads.thread_summary(table(spark, d, "inquiries"), HOUSE))
+
+
+_WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+_BLOCKS = "(SELECT inquiry_id, unnest(string_split(regexp_replace(replace(thread_text_redacted, chr(13) || chr(10), chr(10)), '(?m)^## Message (\\d+)[ \\t]*$', chr(1) || '\\1', 'g'), chr(1))[2:]) AS b FROM inquiries)"
+_BODY = _strip("regexp_replace(b, '^\\d+\\n?(?:\\*\\*(?:From|Date|To|Cc|Subject):\\*\\*[^\\n]*(?:\\n|$))*', '')")
+_MESSAGES = (
+    "(SELECT inquiry_id, CAST(regexp_extract(b, '^(\\d+)', 1) AS INTEGER) AS message_no, regexp_extract(b, '(?m)^\\*\\*From:\\*\\*[ \\t]*(.*?)[ \\t]*$', 1) AS sender, "
+    f"regexp_extract(b, '(?m)^\\*\\*Date:\\*\\*[ \\t]*(.*?)[ \\t]*$', 1) AS sent, {_BODY} AS body FROM {_BLOCKS})"
+)
+
+
+@query(f"SELECT * FROM {_MESSAGES}")
 def thread_messages(spark, d):
     return threads.messages(table(spark, d, "inquiries"))
 
 
-@query()
+_FIRST = f"(SELECT inquiry_id, COALESCE(list_filter(string_split(replace(replace(thread_text_redacted, chr(13) || chr(10), chr(10)), '## Message', chr(1) || '## Message'), chr(1)), lambda x: regexp_matches(x, '[^\\s]'))[1], '') AS f FROM inquiries)"
+_AFTER = "(?s)^.*?\\*\\*From:\\*\\*[^\\n]*\\n(?:[^\\n]*[^\\s][^\\n]*\\n)*[ \\t\\r\\f\\v]*\\n(.*)$"
+
+
+@query(
+    f"SELECT inquiry_id, {_strip('r')} AS body FROM (SELECT inquiry_id, CASE WHEN regexp_matches(f, '{_AFTER}') THEN regexp_extract(f, '{_AFTER}', 1) "
+    f"ELSE regexp_replace(f, '(?m)^(?:## Message[^\\n]*|\\*\\*(?:From|To|Date|Subject|Cc):\\*\\*[^\\n]*)\\n?', '', 'g') END AS r FROM {_FIRST})"
+)
 def first_message_bodies(spark, d):
     return table(spark, d, "inquiries").select("inquiry_id", threads.first_message_body(F.col("thread_text_redacted")).alias("body"))
 
@@ -309,7 +339,18 @@ def draft_emails_redacted(spark, d):
     return table(spark, d, "agent_outputs").select("output_id", patterns.redact_patterns(F.col("response_draft"), ("email",)).alias("text"))
 
 
-@query()
+def _patterns_sql(column: str) -> str:
+    """RE2 has no look-around: the digits that may not stand beside a number are matched and put back, twice for neighbours."""
+    out = f"regexp_replace({column}, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b', '{{email}}', 'g')"
+    out = f"regexp_replace({out}, '(?i)\\bhttps?://[^\\s\\p{{Z}})>\\]]+', '{{url}}', 'g')"
+    phone = "(?:\\+?1[\\s\\p{Z}.-]?)?\\(?\\p{Nd}{3}\\)?[\\s\\p{Z}.-]?\\p{Nd}{3}[\\s\\p{Z}.-]?\\p{Nd}{4}"
+    for kind, pattern in (("payment", "(?:\\p{Nd}[ -]?){13,16}"), ("phone", phone)):
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(^|[^\\p{{Nd}}]){pattern}([^\\p{{Nd}}]|$)', '\\1{{{kind}}}\\2', 'g')"
+    return out
+
+
+@query(f"SELECT output_id, {_patterns_sql('response_draft')} AS text FROM agent_outputs")
 def draft_patterns_redacted(spark, d):
     return table(spark, d, "agent_outputs").select("output_id", patterns.redact_patterns(F.col("response_draft")).alias("text"))
 
@@ -407,7 +448,14 @@ def allow_term_hit_counts(spark, d):
     return termscan.hit_counts(allow_term_hits(spark, d), "kind", "term")
 
 
-@query()
+_OWN = "(SELECT list(lower(entry)) FROM allow_terms)"
+_SLOT = "trim(regexp_replace(trim(regexp_replace(trim(unnest(regexp_extract_all(thread_text_redacted, '(?m)^\\*\\*From:\\*\\*([^\\r\\n]*)', 1))), '\\s*<[^>]*>\\s*$', '')), '^[\"'']+|[\"'']+$', '', 'g'))"
+
+
+@query(
+    f"WITH s AS (SELECT DISTINCT name FROM (SELECT {_SLOT} AS name FROM inquiries) WHERE name <> '' AND regexp_replace(name, '[{{}}]', '', 'g') NOT IN ('name', 'email', 'url', 'phone', 'payment') AND len(list_filter({_OWN}, lambda a: contains(lower(name), a))) = 0) "
+    "SELECT name FROM s UNION SELECT regexp_replace(name, '^\\s*([^,]*?)\\s*,\\s*(.*?)\\s*$', '\\2 \\1') FROM s WHERE regexp_matches(name, '^\\s*[^,\\s][^,]*,\\s*[^\\s]')"
+)
 def sender_names(spark, d):
     allowed = [r[0] for r in table(spark, d, "allow_terms").select("entry").collect()]
     return termscan.sender_names(table(spark, d, "inquiries"), "thread_text_redacted", allowed)
@@ -421,7 +469,28 @@ def sender_name_tokens(spark, d):
     return termscan.stable_tokens(termscan.variants(sender_names(spark, d), held("email"), held("phone"), mined_names(spark, d), allowed))
 
 
-@query()
+_EXPECTED = "[" + ", ".join(repr(w.lower()) for w in checks.EXPECTED_WORDS) + "]"
+_KNOWN_WORDS = "[" + ", ".join(repr(w) for w in sorted({*checks.STOP_WORDS, *(w.lower() for w in checks.EXPECTED_WORDS)})) + "]"
+_FUNCTION_WORDS = "[" + ", ".join(map(repr, termscan.FUNCTION_WORDS)) + "]"
+
+
+#: RE2 knows ASCII words only: marks are doubled, so that each side of a word has one of its own, and halved again.
+_MARK = "[^\\p{L}\\p{N}_]"
+
+
+def _whole_words(column: str, pattern: str) -> str:
+    found = f"regexp_extract_all(regexp_replace({column}, '({_MARK})', '\\1\\1', 'g'), '(?:^|{_MARK})({pattern})(?:{_MARK}|$)', 1)"
+    return f"unnest(list_transform({found}, lambda w: regexp_replace(w, '([ \\t])[ \\t]', '\\1', 'g')))"
+
+
+def _new_words(name: str, known: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({name}, '[ \\t]+'), lambda w: NOT list_contains({known}, lower(w)))) > 0"
+
+
+@query(
+    f"SELECT DISTINCT name FROM (SELECT regexp_extract(m, '([A-Z][a-z]+)$', 1) AS name FROM (SELECT {_whole_words('response_draft', '(?:Hi|Hello|Dear)[ \\t]+[A-Z][a-z]+')} AS m FROM agent_outputs) UNION ALL "
+    f"SELECT name FROM (SELECT {_whole_words('response_draft', '[A-Z][a-z]+[ \\t]+[A-Z][a-z]+')} AS name FROM agent_outputs) WHERE NOT list_has_any(regexp_split_to_array(lower(name), '[ \\t]+'), {_FUNCTION_WORDS})) WHERE {_new_words('name', _EXPECTED)}"
+)
 def mined_names(spark, d):
     return termscan.mined_names(table(spark, d, "agent_outputs").where("response_draft is not null"), "response_draft", list(checks.EXPECTED_WORDS))
 
@@ -439,11 +508,172 @@ def label_migration_report(spark, d):
     return writers.reconcile(rows, rebuilt, "label_id", table(spark, d, "inquiries"), "inquiry_id")
 
 
-@query()
+_OPENS = f"list_transform(l, lambda x: regexp_matches({_strip('x')}, '{cleaning.QUOTED_LINE}'))"
+_CUT = f"regexp_replace({_strip('k')}, '{cleaning.INLINE_CUT.replace(chr(39), chr(39) * 2)}', '')"
+
+
+@query(
+    f"SELECT inquiry_id, message_no, regexp_replace({_CUT}, '{_WS}+$', '') AS body FROM (SELECT inquiry_id, message_no, array_to_string(CASE WHEN list_contains(o, true) THEN l[:list_position(o, true) - 1] ELSE l END, chr(10)) AS k FROM "
+    f"(SELECT inquiry_id, message_no, l, {_OPENS} AS o FROM (SELECT inquiry_id, message_no, regexp_split_to_array(body, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM {_MESSAGES})))"
+)
 def cleaned_bodies(spark, d):
     return threads.messages(table(spark, d, "inquiries")).select("inquiry_id", "message_no", cleaning.clean_body(F.col("body")).alias("body"))
 
 
-@query()
+@query(
+    "SELECT table_name, CAST(column_index - 1 AS INTEGER) AS position, column_name, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS type "
+    "FROM duckdb_columns() WHERE table_name IN ('inquiries', 'labels', 'agent_outputs', 'usefulness_tally')"
+)
 def catalogue(spark, d):
     return readers.table_columns({t: table(spark, d, t) for t in ("inquiries", "labels", "agent_outputs", "usefulness_tally")})
+
+
+@query("SELECT count(*) AS n_labels, count(i.inquiry_id) AS n_joinable, count(*) - count(i.inquiry_id) AS n_orphans FROM labels l LEFT JOIN inquiries i USING (inquiry_id)")
+def joinable_labels(spark, d):
+    return labels.joinable(table(spark, d, "labels"), table(spark, d, "inquiries"))
+
+
+@query(
+    "SELECT t.inquiry_id, i.inquiry_id IS NOT NULL AS found, redaction_status, message_count FROM (SELECT DISTINCT inquiry_id FROM usefulness_tally WHERE inquiry_id IS NOT NULL) t LEFT JOIN inquiries i USING (inquiry_id)"
+)
+def tally_lookup(spark, d):
+    wanted = table(spark, d, "usefulness_tally").where("inquiry_id is not null")
+    return labels.by_ids(table(spark, d, "inquiries").select("inquiry_id", "redaction_status", "message_count"), "inquiry_id", wanted)
+
+
+_CANARY = "(SELECT inquiry_id FROM agent_outputs GROUP BY 1 ORDER BY count(*) DESC, inquiry_id LIMIT 1)"
+
+
+@query(f"SELECT output_id, inquiry_id, created_at FROM agent_outputs WHERE inquiry_id = {_CANARY} ORDER BY created_at DESC, output_id DESC LIMIT 1")
+def latest_output_of_busiest(spark, d):
+    rows = table(spark, d, "agent_outputs").select("output_id", "inquiry_id", "created_at")
+    busiest = rows.groupBy("inquiry_id").count().orderBy(F.desc("count"), "inquiry_id").first()
+    return labels.latest_of(rows, "inquiry_id", busiest and busiest[0], "created_at", "output_id")
+
+
+@query(
+    "SELECT redaction_status, n_items, list_aggregate(ids[:4], 'string_agg', ', ') || CASE WHEN n_items > 4 THEN ' (+' || (n_items - 4) || ' more)' ELSE '' END AS shown FROM "
+    "(SELECT redaction_status, count(DISTINCT inquiry_id) AS n_items, list_sort(list(DISTINCT inquiry_id)) AS ids FROM inquiries GROUP BY 1)"
+)
+def status_heads(spark, d):
+    return labels.heads(table(spark, d, "inquiries"), "redaction_status", "inquiry_id")
+
+
+_TALLY_STRICT = schema.T.StructType([schema.T.StructField(f.name, f.dataType, False) for f in schema.TALLY.fields])
+
+
+@query(" UNION ALL ".join(f"SELECT inquiry_id, '{f.name} is null' AS rule, CAST(NULL AS VARCHAR) AS value FROM usefulness_tally WHERE {f.name} IS NULL" for f in schema.TALLY.fields))
+def tally_violations(spark, d):
+    return schema.broken_rules(table(spark, d, "usefulness_tally"), _TALLY_STRICT, "inquiry_id")
+
+
+PHRASES = ("thank you", "please tell me", "i can set aside", "could you confirm")
+
+
+@query(" UNION ALL ".join(f"SELECT output_id, '{p}' AS phrase FROM agent_outputs WHERE contains(lower(response_draft), '{p}')" for p in PHRASES))
+def draft_phrases(spark, d):
+    return table(spark, d, "agent_outputs").select("output_id", F.explode(checks.talk_back_phrases(F.col("response_draft"), PHRASES)).alias("phrase"))
+
+
+_EM, _EN, _DOUBLE = (f"len(regexp_extract_all(response_draft, '{c}'))" for c in ("—", "–", "--"))
+_N_EMOJI = f"len(regexp_extract_all(response_draft, '{_RE2_EMOJI}'))"
+
+
+@query(
+    f"SELECT output_id, 'no_em_dash' AS \"check\", {_EM} = 0 AS passed, false AS abstained, CASE WHEN response_draft IS NULL THEN '' ELSE {_EM} || ' em, ' || {_EN} || ' en, ' || {_DOUBLE} || ' double' END AS detail FROM agent_outputs "
+    f"UNION ALL SELECT output_id, 'no_emoji', {_N_EMOJI} = 0, false, CAST({_N_EMOJI} AS VARCHAR) FROM agent_outputs "
+    "UNION ALL SELECT output_id, 'language_match', response_draft IS NOT NULL, true, CASE WHEN response_draft IS NOT NULL THEN 'not implemented' END FROM agent_outputs"
+)
+def draft_check_table(spark, d):
+    return table(spark, d, "agent_outputs").select("output_id", F.inline(checks.draft_checks(F.col("response_draft"))))
+
+
+def _known_words() -> list[str]:
+    return [*checks.STOP_WORDS, *checks.EXPECTED_WORDS]
+
+
+_NAME_HITS = f"""
+    (SELECT inquiry_id, redaction_status, 'greeting' AS kind, m AS sample, CASE WHEN list_contains({_KNOWN_WORDS}, lower(regexp_extract(m, '([A-Z][a-z]+)$', 1))) THEN 'CLEARED' ELSE 'REVIEW' END AS verdict
+     FROM (SELECT inquiry_id, redaction_status, {_whole_words('thread_text_redacted', '(?:Hi|Hello|Dear)[ \\t]+[A-Z][a-z]+')} AS m FROM inquiries)
+     UNION ALL SELECT inquiry_id, redaction_status, 'signature', {_strip('m')}, CASE WHEN len(list_filter(regexp_extract_all(m, '[A-Z][a-z]+'), lambda w: NOT list_contains({_KNOWN_WORDS}, lower(w)))) = 0 THEN 'CLEARED' ELSE 'REVIEW' END
+     FROM (SELECT inquiry_id, redaction_status, unnest(regexp_extract_all(thread_text_redacted, '{checks.SIGNATURE}')) AS m FROM inquiries))"""
+
+
+@query(f"SELECT inquiry_id, kind, sample, verdict FROM {_NAME_HITS}")
+def artifact_names(spark, d):
+    return table(spark, d, "inquiries").select("inquiry_id", F.inline(checks.name_hits(F.col("thread_text_redacted"), _known_words())))
+
+
+@query(
+    f"SELECT redaction_status, CASE WHEN verdict = 'CLEARED' THEN 'cleared' WHEN redaction_status = 'model_failed' THEN 'quarantined' ELSE 'gating' END AS outcome, count(*) AS n FROM {_NAME_HITS} GROUP BY 1, 2"
+)
+def artifact_verdicts(spark, d):
+    hits = table(spark, d, "inquiries").select("redaction_status", F.inline(checks.name_hits(F.col("thread_text_redacted"), _known_words())))
+    outcome = checks.probe_verdict(F.lit("store"), F.col("redaction_status"), F.col("verdict"))
+    return hits.groupBy("redaction_status", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"SELECT DISTINCT array_to_string(w, ' ') AS name, CASE WHEN len(w) > 1 THEN 'strong' ELSE 'weak' END AS strength FROM (SELECT regexp_extract_all(m, '[A-Z][a-z]+') AS w FROM "
+    f"(SELECT unnest(regexp_extract_all(thread_text_redacted, '{termscan.SIGNATURE_NAME}')) AS m FROM inquiries)) WHERE len(list_filter(w, lambda x: NOT list_contains({_KNOWN_WORDS}, lower(x)))) > 0"
+)
+def signature_names(spark, d):
+    return termscan.signature_names(table(spark, d, "inquiries"), "thread_text_redacted", _known_words())
+
+
+def _staff(spark, d) -> list[str]:
+    # configuration: the house's own names
+    return sorted(r[0] for r in table(spark, d, "allow_terms").where("kind = 'staff_name' and entry is not null").select("entry").distinct().collect())
+
+
+_DRAFT_LINES = "(SELECT output_id, i AS line, l[i] AS t FROM (SELECT output_id, regexp_split_to_array(response_draft, '\\r\\n|\\n') AS l FROM agent_outputs), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"
+
+
+@query(
+    f"SELECT output_id, CAST(line AS INTEGER) AS line, kind, found, substring({_strip('t')}, 1, 90) AS context FROM (SELECT output_id, line, t, 'customer_name' AS kind, entry AS found FROM {_DRAFT_LINES}, (SELECT DISTINCT entry FROM allow_terms WHERE kind = 'staff_name') "
+    "WHERE CASE WHEN contains(entry, ' ') THEN contains(lower(t), lower(entry)) ELSE regexp_matches(lower(t), '(?:^|[^\\p{L}\\p{N}\\p{M}_])' || lower(entry) || '(?:[^\\p{L}\\p{N}\\p{M}_]|$)') END "
+    f"UNION ALL SELECT output_id, line, t, 'email', unnest(regexp_extract_all(t, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b')) FROM {_DRAFT_LINES})"
+)
+def draft_audit_names(spark, d):
+    return draft_audit(spark, d).where("kind in ('customer_name', 'email')")
+
+
+@query()
+def draft_audit(spark, d):
+    return termscan.audit_hits(table(spark, d, "agent_outputs"), "output_id", "response_draft", _staff(spark, d))
+
+
+@query(
+    f"WITH e AS (SELECT inquiry_id, min(outcome) AS expected FROM labels GROUP BY 1 UNION ALL SELECT inquiry_id, 'unknown' FROM inquiries i WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.inquiry_id = i.inquiry_id)) "
+    f"SELECT e.inquiry_id, 'outcome' AS field, expected, outcome AS actual FROM e LEFT JOIN {_LATEST} l USING (inquiry_id) WHERE outcome IS DISTINCT FROM expected"
+)
+def relabel_mismatches(spark, d):
+    rows, known = table(spark, d, "labels"), table(spark, d, "inquiries").select("inquiry_id")
+    expected = rows.groupBy("inquiry_id").agg(F.min("outcome").alias("expected")).unionByName(labels.orphans(known, rows).withColumn("expected", F.lit("unknown")))
+    return labels.relabel_mismatches(rows.select("label_id", "inquiry_id", "labeled_at", "outcome"), expected.withColumn("field", F.lit("outcome")))
+
+
+@query(
+    "SELECT CASE WHEN a IS NOT DISTINCT FROM response_draft THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM (SELECT response_draft, "
+    "regexp_replace(response_draft, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '{email}', 'g') AS a FROM agent_outputs) GROUP BY 1"
+)
+def draft_rewrite_status(spark, d):
+    rows = table(spark, d, "agent_outputs").select("output_id", "response_draft")
+    return writers.rewrite_status(rows, rows.select("output_id", patterns.redact_patterns(F.col("response_draft"), ("email",)).alias("response_draft")), "output_id", "response_draft")
+
+
+@query()
+def draft_hit_categories(spark, d):
+    terms = table(spark, d, "allow_terms").select("kind", F.col("entry").alias("term"))
+    hits = termscan.term_hits(table(spark, d, "agent_outputs"), "output_id", "response_draft", terms, categories=True)
+    places = table(spark, d, "agent_outputs").select("output_id", "inquiry_id")
+    placed = termscan.reach(termscan.fan_out(hits, places, "output_id"), table(spark, d, "inquiries"), "inquiry_id")
+    return placed.groupBy("term", "category", "reach").agg(F.count("*").alias("n"))
+
+
+@query()
+def draft_hits_by_place(spark, d):
+    terms = table(spark, d, "allow_terms").select("kind", F.col("entry").alias("term"))
+    hits = termscan.term_hits(table(spark, d, "agent_outputs"), "output_id", "response_draft", terms)
+    places = table(spark, d, "agent_outputs").select("output_id", F.col("inquiry_id").alias("path"), F.col("run_id").alias("commit"))
+    return termscan.hit_counts(termscan.fan_out(hits, places, "output_id"), "path", "term", "commit", "kind")

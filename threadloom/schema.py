@@ -68,11 +68,6 @@ def broken_rules(df: DataFrame, schema: T.StructType, key: str) -> DataFrame:
     return df.select(F.col(key), F.inline(F.filter(broken, lambda r: r.isNotNull())))
 
 
-def json_array(cell: Column) -> Column:
-    """A JSON-array cell as array<string>; null where it isn't one."""
-    return F.when(cell.rlike(r"(?s)^\s*\[.*\]\s*$"), F.from_json(cell, "array<string>", {"allowSingleQuotes": "false"}))
-
-
 def agent_result(raw: Column) -> Column:
     """Struct (result, valid) of an agent's JSON answer: aliases resolved, edge_flags [] where missing, ranges checked."""
     parsed = F.from_json(raw, AGENT_RESULT)
@@ -93,6 +88,12 @@ STATUS_ALIASES = {
 
 
 def normal_status(raw: Column) -> Column:
-    """Canonical decision of a trimmed, lower-cased spelling; null for anything else."""
+    """Canonical decision of a trimmed, lower-cased spelling; null for anything else (``checked_status`` fails there)."""
     known = F.create_map(*[F.lit(x) for kv in STATUS_ALIASES.items() for x in kv])
     return F.try_element_at(known, F.lower(F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")))
+
+
+def checked_status(raw: Column) -> Column:
+    """``normal_status``; a spelling that isn't known ends the query, a null stays null."""
+    status = normal_status(raw)
+    return F.when(raw.isNotNull() & status.isNull(), F.raise_error(F.concat(F.lit("unknown status: "), raw)).cast("string")).otherwise(status)

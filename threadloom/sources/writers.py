@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.labels import changed_rows, new_rows
@@ -16,8 +18,27 @@ def append_new(stored: DataFrame, incoming: DataFrame, key: str, path: str) -> i
     return seen
 
 
+def modified(spark: SparkSession, path: str) -> float:
+    """When a table's files were last written, in seconds; an error if it is missing or empty."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    stamps = []
+    while files.hasNext():
+        stamps.append(files.next().getModificationTime() / 1000)
+    if not stamps:
+        raise FileNotFoundError(f"no files in {path}")
+    return max(stamps)
+
+
+def require_backup(spark: SparkSession, table: str, backup: str, most_seconds: float = 86_400, now: float | None = None) -> None:
+    """An error unless the backup is there, no older than ``most_seconds``, and no older than the table it is a copy of."""
+    copied = modified(spark, backup)
+    if copied < modified(spark, table) or (time.time() if now is None else now) - copied > most_seconds:
+        raise RuntimeError(f"the backup {backup} is out of date: nothing was written")
+
+
 def rewrite_changed(before: DataFrame, after: DataFrame, key: str, column: str, path: str, dry_run: bool = False) -> DataFrame:
-    """(n_rows, n_changed) of a rewrite; the changed rows go to ``path`` unless it is a dry run."""
+    """(n_rows, n_changed) of a rewrite; the changed rows go to ``path`` unless it is a dry run. Call ``require_backup`` first."""
     changed = changed_rows(before, after, key, column)
     if not dry_run:
         changed.write.mode("overwrite").parquet(path)
@@ -25,6 +46,13 @@ def rewrite_changed(before: DataFrame, after: DataFrame, key: str, column: str,
     return counts.join(F.broadcast(changed.agg(F.count("*").alias("n_changed"))), on=F.lit(True), how="inner")
 
 
+def rewrite_status(before: DataFrame, after: DataFrame, key: str, column: str) -> DataFrame:
+    """(status, n): how many rows a rewrite leaves as they are, changes, or can't make (null)."""
+    old = before.select(F.col(key).alias("_k"), F.col(column).alias("_old"))
+    status = F.when(F.col(column).isNull() & F.col("_old").isNotNull(), "errored").when(F.col(column).eqNullSafe(F.col("_old")), "unchanged").otherwise("changed")
+    return after.join(old, F.col(key) == F.col("_k")).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 def append_csv(rows: DataFrame, path: str) -> None:
     """Append rows to a CSV log with a header in each part file."""
     rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
