@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import cached_property
 
 import pandas as pd
@@ -64,6 +65,14 @@ def _small_capitals() -> dict[int, str]:
     return {cp: n[-1].lower() for cp, n in named if re.fullmatch(r"LATIN LETTER SMALL CAPITAL [A-Z]", n)}
 
 
+def _runs(cps: Iterable[int]) -> list[tuple[int, int]]:
+    """Code points as ranges, which patterns test faster than many single ones."""
+    out: list[tuple[int, int]] = []
+    for cp in sorted(cps):
+        out[-1:] = [(out[-1][0], cp)] if out and cp == out[-1][1] + 1 else [*out[-1:], (cp, cp)]
+    return out
+
+
 def _script(c: str) -> str:
     return unicodedata.name(c, "").split(" ")[0]
 
@@ -81,12 +90,13 @@ class Forms:
     @cached_property
     def _reads(self) -> dict[int, str]:
         """Ordinary Latin letters or digits that characters stand in for in a word: the readable side of the table."""
-        out = {cp: c for cp, c in _small_capitals().items()}
+        small = _small_capitals()
+        out = dict(small)
         for cp, look in self.prototypes.items():
             c = chr(cp)
             if cp < 0x80 or cp in self._stand or unicodedata.category(c)[0] not in "LN":
                 continue
-            plain = _READS.get(look) or (_small_capitals().get(ord(look)) if len(look) == 1 else None) or look
+            plain = _READS.get(look) or (small.get(ord(look)) if len(look) == 1 else None) or look
             if not (plain.isascii() and plain.isalnum()) or (len(plain) > 1 and cp < 0x250):
                 continue  # æ and œ are letters of their own
             if unicodedata.category(c) == "Lu":  # prototypes are what a character looks like: a capital that looks like l is an I
@@ -101,14 +111,13 @@ class Forms:
 
     @cached_property
     def _foreign(self) -> re.Pattern:
-        return re.compile("[" + "".join(re.escape(chr(cp)) for cp in self._reads) + "]")
+        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(self._reads)) + "]")
 
     def suspect(self) -> str:
         """Java class of characters that can make a text differ from its class form."""
-        ordinary, runs = [cp for cp in _ORDINARY if cp not in self._reads], []
-        for cp in ordinary:
-            runs[-1:] = [(runs[-1][0], cp)] if runs and cp == runs[-1][1] + 1 else [*runs[-1:], (cp, cp)]
-        return "[^\\x00-\\x7f" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+        runs = _runs(cp for cp in _ORDINARY if cp not in self._reads)
+        # an intersection, so that ASCII, most of any text, is told by its first part
+        return "[[^\\x00-\\x7f]&&[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]]"
 
     def _genuine(self, word: str, script: str) -> bool:
         """Whether a word is wholly in a script, with letters that no Latin one looks like."""
@@ -136,7 +145,7 @@ class Forms:
         found = []
         seen = _INVISIBLE.sub(_unveil, text)
         hidden = any(_unveil(m) == "" for m in _IN_WORD.finditer(text))
-        plain = seen.translate(self._stand)
+        plain = self._plainly(seen)
         composed = unicodedata.normalize("NFC", plain)
         spaced = _SPACE.sub(" ", composed)
         done = spaced
@@ -154,14 +163,22 @@ class Forms:
 
     def skeleton(self, text: str) -> str:
         """Decompose, drop what can't be seen, replace every character by its prototype, decompose again."""
-        seen = text if text.isascii() else _INVISIBLE.sub(_unveil, text).translate(self._stand)
-        apart = unicodedata.normalize("NFD", _SPACE.sub(" ", seen))
-        return unicodedata.normalize("NFD", apart.translate(self._capitals).translate(self.prototypes))
+        seen = text if text.isascii() else self._plainly(_INVISIBLE.sub(_unveil, text))
+        return unicodedata.normalize("NFD", unicodedata.normalize("NFD", _SPACE.sub(" ", seen)).translate(self._looks))
 
     @cached_property
-    def _capitals(self) -> dict[int, str]:
-        """Characters whose readable side isn't of their prototype's class: small capitals, and capitals of small forms."""
-        return {cp: plain for cp, plain in self._reads.items() if "".join(self.prototypes.get(ord(c), c) for c in plain) != self.prototypes.get(cp)}
+    def _looks(self) -> dict[int, str]:
+        """The prototypes; characters whose readable side isn't of their prototype's class, such as small capitals, have its prototype."""
+        look = lambda plain: "".join(self.prototypes.get(ord(c), c) for c in plain)
+        return self.prototypes | {cp: look(plain) for cp, plain in self._reads.items() if look(plain) != self.prototypes.get(cp)}
+
+    @cached_property
+    def _stands(self) -> re.Pattern:
+        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(self._stand)) + "]")
+
+    def _plainly(self, text: str) -> str:
+        """The text without compatibility forms of characters."""
+        return text.translate(self._stand) if self._stands.search(text) else text
 
     def differs(self, text: str) -> list[str]:
         """What makes a text differ from the class form of its skeleton; empty where it is the class form itself."""
