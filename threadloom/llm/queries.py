@@ -75,7 +75,7 @@ def p8_found(spark, d):
 
 
 def p8_spans(spark, d):
-    return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id", "word_from", "word_to")
 
 
 def p8_removal(spark, d):
@@ -124,15 +124,41 @@ _TAG_SQL = f"""
     marked AS (
         SELECT *, CASE WHEN field_name = 'failure_tag' THEN (SELECT count(*) FROM usefulness_tally) ELSE (SELECT count(*) FROM labels) END AS n_table_rows FROM counted)
 """
+_GRAMS = """
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+        dg AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 11], ' ')) AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)),
+        eg AS (SELECT DISTINCT item_id, hash(array_to_string(w[i:i + 11], ' ')) AS g FROM e, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i))"""
+#: Windows of 300 characters of the first of equal texts, the windows other texts hold too, and what they cover of each text.
+_WINDOWS = """
+        c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents),
+        g AS (SELECT doc_id, i, hash(substring(text, i::INT, 300)) AS h FROM c, LATERAL (SELECT unnest(range(1, length(text) - 298)) AS i) WHERE doc_id = class_id),
+        s AS (SELECT h, min(doc_id) AS lo FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+        k AS (SELECT g.*, s.lo < g.doc_id AS later FROM g JOIN s USING (h)),
+        cover AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(300, i - lag(i, 1, i - 300) OVER (PARTITION BY doc_id ORDER BY i)) AS n FROM (SELECT DISTINCT doc_id, i FROM k)) GROUP BY 1),
+        cover_later AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(300, i - lag(i, 1, i - 300) OVER (PARTITION BY doc_id ORDER BY i)) AS n FROM (SELECT DISTINCT doc_id, i FROM k WHERE later)) GROUP BY 1)"""
 ORACLE = {
     "p2_frequencies": _TAG_SQL + " SELECT *, n_rows <= 2 AS is_rare, n_rows > 0.3 * n_table_rows AS is_common FROM marked",
     "p2_found": _TAG_SQL + " SELECT field_name, term, 'rare' AS mark FROM marked WHERE n_rows <= 2 UNION ALL SELECT field_name, term, 'common' FROM marked WHERE n_rows > 0.3 * n_table_rows",
-    "p8_found": """
-        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
-        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
-        dg AS (SELECT doc_id, hash(array_to_string(w[i:i + 11], ' ')) AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)),
-        eg AS (SELECT item_id, hash(array_to_string(w[i:i + 11], ' ')) AS g FROM e, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i))
-        SELECT DISTINCT item_id, doc_id FROM dg JOIN eg USING (g)""",
+    "p8_found": f"WITH {_GRAMS} SELECT DISTINCT item_id, doc_id FROM dg JOIN eg USING (g)",
+    "p8_spans": f"""
+        WITH {_GRAMS}, m AS (SELECT item_id, doc_id, i FROM dg JOIN eg USING (g)),
+        n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY item_id, doc_id ORDER BY i) <= 12 THEN 0 ELSE 1 END AS fresh FROM m),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS run FROM n)
+        SELECT item_id, doc_id, min(i) - 1 AS word_from, max(i) + 11 AS word_to FROM r GROUP BY item_id, doc_id, run""",
+    "p9_share": f"""
+        WITH {_WINDOWS}, o AS (SELECT x.doc_id, count(DISTINCT y.doc_id) AS n_linked FROM k x JOIN k y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY 1)
+        SELECT d.doc_id, COALESCE(length(d.text), 0) AS n_chars, c.class_id, c.n_copies, COALESCE(o.n_linked, 0) AS n_linked,
+            CASE WHEN c.n_copies > 1 AND length(d.text) >= 300 THEN length(d.text) ELSE COALESCE(cover.n, 0) END AS shared_chars,
+            CASE WHEN c.n_copies > 1 AND length(d.text) >= 300 AND d.doc_id <> c.class_id THEN length(d.text) ELSE COALESCE(cover_later.n, 0) END AS repeated_chars
+        FROM documents d LEFT JOIN (SELECT * FROM c WHERE text IS NOT NULL) c ON c.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = c.class_id LEFT JOIN cover ON cover.doc_id = c.class_id LEFT JOIN cover_later ON cover_later.doc_id = c.class_id""",
+    "p9_without_repeats": f"""
+        WITH {_WINDOWS}, gone AS (SELECT DISTINCT doc_id, p FROM k, LATERAL (SELECT unnest(range(i, i + 300)) AS p) WHERE later),
+        held AS (SELECT c.doc_id, string_agg(substring(c.text, q::INT, 1), '' ORDER BY q) AS t FROM c, LATERAL (SELECT unnest(range(1, length(c.text) + 1)) AS q)
+            WHERE c.doc_id IN (SELECT doc_id FROM gone) AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = c.doc_id AND gone.p = q) GROUP BY 1),
+        clean AS (SELECT d.doc_id, d.text, CASE WHEN c.n_copies > 1 AND length(d.text) >= 300 AND d.doc_id <> c.class_id THEN '' WHEN d.doc_id IN (SELECT doc_id FROM gone) THEN COALESCE(held.t, '') ELSE d.text END AS clean_text
+            FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN held ON held.doc_id = d.doc_id)
+        SELECT doc_id, COALESCE(length(text) - length(clean_text), 0) AS n_removed, clean_text FROM clean""",
     "p9_copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE text IS NOT NULL",
     "p9_found": """
         WITH g AS (SELECT DISTINCT doc_id, hash(substring(text, i::INT, 300)) AS h FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 298)) AS i)),
