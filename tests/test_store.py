@@ -271,6 +271,13 @@ def test_sinks(spark, tmp_path):
         writers.require_backup(spark, backup, table)
 
 
+def test_single_text_and_stamp(spark, labels):
+    assert [r[0] for r in readers.single_text(spark, "é".encode() + b"\xff").collect()] == ["é\ufffd"] and readers.single_text(spark, b" \n").count() == 0
+    row = lb.copy_forward(labels.withColumn("labeled_by", F.lit("x")), {}, F.col("inquiry_id") == "b", None, "me", "b9").first()
+    assert row.labeled_at.endswith("+00:00") and len(row.labeled_at) == 25
+    assert [r.n for r in lb.distribution(labels, "qualification_decision").collect()] == sorted((r.n for r in lb.distribution(labels, "qualification_decision").collect()), reverse=True)
+
+
 def test_statuses(spark):
     df = spark.createDataFrame([(" Needs-Info ",), (None,)], "a string")
     assert [r[0] for r in df.select(schema.checked_status(F.col("a"))).collect()] == ["needs_info", None]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +67,10 @@ def relabelled(labels: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, pct): rows of each value and their percentage with two decimals. Null is a value."""
+    """(value, n, pct): rows of each value and their percentage with two decimals, most frequent first. Null is a value."""
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("_all"))  # one row
-    return n.join(F.broadcast(total), on=F.lit(True), how="inner").select("value", "n", F.round(100.0 * F.col("n") / F.col("_all"), 2).alias("pct"))
+    return n.join(F.broadcast(total), on=F.lit(True), how="inner").select("value", "n", F.round(100.0 * F.col("n") / F.col("_all"), 2).alias("pct")).orderBy(F.desc("n"), "value")
 
 
 def summary_sets(df: DataFrame, *columns: str) -> DataFrame:
@@ -97,15 +99,21 @@ def dense_ids(df: DataFrame, order: list[str], name: str, start: Column) -> Data
     return numbered.join(F.broadcast(before), "__part").withColumn(name, start + F.col("__before") + F.col("__at")).drop("__part", "__rows", "__before", "__at")
 
 
-def copy_forward(labels: DataFrame, overrides: dict[str, Column], where: Column, labeled_at: str, labeled_by: str, batch_id: str) -> DataFrame:
-    """New label rows that repeat the latest row of each matching inquiry with some columns overridden.
+def now_stamp() -> str:
+    """The present second as an ISO stamp in UTC, the form of stored stamps."""
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+
+
+def copy_forward(labels: DataFrame, overrides: dict[str, Column], where: Column, labeled_at: str | None, labeled_by: str, batch_id: str) -> DataFrame:
+    """New label rows that repeat the latest row of each matching inquiry with some columns overridden; stamped now unless
+    ``labeled_at`` is given.
 
     Ids go on from the largest one in inquiry order. Inquiries that the batch relabelled already are left out, so that a
     second run adds nothing. The result is to be appended; stored rows are never changed.
     """
     done = labels.where(F.col("batch_id") == batch_id).select("inquiry_id")
     rows = latest_labels(labels).where(where).join(done, "inquiry_id", "left_anti").drop("label_id")
-    rows = rows.withColumns({**overrides, "labeled_at": F.lit(labeled_at), "labeled_by": F.lit(labeled_by), "batch_id": F.lit(batch_id)})
+    rows = rows.withColumns({**overrides, "labeled_at": F.lit(labeled_at or now_stamp()), "labeled_by": F.lit(labeled_by), "batch_id": F.lit(batch_id)})
     top = labels.agg(F.coalesce(F.max("label_id"), F.lit(0)).alias("_top"))
     with_top = rows.join(F.broadcast(top), on=F.lit(True), how="inner")
     return dense_ids(with_top, ["inquiry_id"], "label_id", F.col("_top")).select(labels.columns)

@@ -46,6 +46,20 @@ def p1_resolution(spark, d):
     return timestamps.normalise_dates(table(spark, d, "inquiries"), table(spark, d, "mailboxes"))
 
 
+#: Written forms with a numeric offset: those of mail headers and of ISO 8601.
+_OFFSET_FORMS = {"%a, %d %b %Y %H:%M:%S %z": r"^[A-Z][a-z]{2}, \d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$", "%Y-%m-%dT%H:%M:%S%z": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:?\d{2}$"}
+
+
+@query(
+    "SELECT inquiry_id, field_name, written, epoch_us(CASE " + " ".join(f"WHEN regexp_matches(written, '{p}') THEN try_strptime(written, '{f}')" for f, p in _OFFSET_FORMS.items())
+    + " END) AS utc_micros FROM (SELECT inquiry_id, 'start' AS field_name, date_range_start AS written FROM inquiries UNION ALL SELECT inquiry_id, 'end', date_range_end FROM inquiries) WHERE "
+    + " OR ".join(f"regexp_matches(written, '{p}')" for p in _OFFSET_FORMS.values())
+)
+def p1_offset_forms(spark, d):
+    forms = [F.col("written").rlike(p) for p in _OFFSET_FORMS.values()]
+    return p1_resolution(spark, d).where(forms[0] | forms[1]).select("inquiry_id", "field_name", "written", "utc_micros")
+
+
 @query(f"SELECT {_COLS} FROM {_LATEST}")
 def latest_labels(spark, d):
     return labels.latest_labels(table(spark, d, "labels").select(_LABEL_COLUMNS))

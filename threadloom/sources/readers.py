@@ -28,6 +28,12 @@ def thread_files(spark: SparkSession, *folders: str, recursive: bool = False) ->
     return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null")
 
 
+def single_text(spark: SparkSession, raw: bytes) -> DataFrame:
+    """(text): one row of a body handed in as UTF-8 bytes; none where nothing was. Broken bytes become U+FFFD."""
+    text = raw.decode("utf-8", "replace")
+    return spark.createDataFrame([(text,)] if text.strip() else [], "text string")
+
+
 def list_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): lines of a list, blank ones and ``#`` comments skipped; a missing file is an empty list."""
     if not _exists(spark, path):
