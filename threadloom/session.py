@@ -47,12 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *parts: str) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder, for results too wide to be kept as a checkpoint: columns are
-    compressed and read one by one. The files go when the session's JVM ends."""
+    compressed and read one by one, in folders by ``parts``. The files go when the session's JVM ends."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/{uuid.uuid4()}")
-    df.write.parquet(path.toString())
+    df.write.partitionBy(*parts).parquet(path.toString())
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(path.toString())
 
