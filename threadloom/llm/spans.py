@@ -114,15 +114,16 @@ def scan(documents: DataFrame, min_chars: int = MIN_CHARS) -> Scanned:
             yield found.astype({"h": "int64", "h2": "Int64", "doc_id": "int64", "a": "int32", "b": "int32"})
 
     texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id")
-    rows = written(texts.mapInPandas(run, "h long, h2 long, doc_id long, a int, b int"))
-    keyed = rows.where("a < 0").select("h", "h2", "doc_id", F.col("b").alias("n_chars"))
+    scanned = texts.mapInPandas(run, "h long, h2 long, doc_id long, a int, b int")
+    rows = written(scanned.withColumn("is_text", F.col("a") < 0), "is_text")
+    keyed = rows.where("is_text").select("h", "h2", "doc_id", F.col("b").alias("n_chars"))
     # digests are combined on the map side; members get their class by a join on the digest
     sizes = keyed.groupBy("h", "h2").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("n_copies"))
     copied = sizes.where("n_copies > 1")
     members = cut(keyed.distinct().join(small_side(copied), ["h", "h2"], "left"))
     classes = members.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), "n_chars")
     later = small_side(classes.where("doc_id > class_id").select("doc_id"))  # few in most corpora
-    return Scanned(classes, rows.where("a >= 0").drop("h2").join(later, "doc_id", "left_anti"))
+    return Scanned(classes, rows.where("not is_text").drop("h2", "is_text").join(later, "doc_id", "left_anti"))
 
 
 def copy_classes(documents: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def shared_spans(documents: DataFrame, scanned: Scanned, min_chars: int = MIN_CH
     )
     spans = cut(islands.withColumn("n", F.col("b") - F.col("a")))
     # only texts with an island are looked at again
-    ids = cut(spans.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct())
+    ids = spans.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
     texts = documents.select("doc_id", "text").where("text is not null")
     near = texts.join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     around = lambda side: [
