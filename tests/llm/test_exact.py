@@ -306,6 +306,23 @@ def test_large_copy_classes_stay_linear(spark, corpus):
     assert {(r.class_id, r.n_copies) for r in spans.copy_classes(df).collect()} == {(1000, 10), (5, 1)}
 
 
+def test_one_passage_in_very_many_documents(spark, monkeypatch):
+    """Spans, share and removal stay in proportion to the documents: no pair is made."""
+    rng = random.Random(4)
+    passage = "".join(sentence(rng) for _ in range(9))[:420]
+    rows = [(i, f"Note {i} of {rng.random()}: {passage} {rng.random()} end of {i}.") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(spans, "shared_spans", None)
+    found = defaultdict(list)
+    for r in spans.document_spans(df).collect():
+        found[r.doc_id].append(r)
+    text = dict(rows)
+    assert len(found) == 2000 and sum(map(len, found.values())) < 4000  # a few more where what follows the passage is equal, too
+    assert all(any(passage in text[i][r.from_char : r.to_char] and r.is_first == (i == 0) for r in held) for i, held in found.items())
+    assert {r.n_holders for r in spans.shared_share(df).collect()} == {2000}
+    assert sum(r.n_removed >= 420 for r in spans.without_repeats(df).collect()) == 1999
+
+
 def test_share(spark, corpus):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     rows = {r.doc_id: r for r in spans.shared_share(df).collect()}

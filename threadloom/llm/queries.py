@@ -147,11 +147,16 @@ ORACLE = {
         r AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS run FROM n)
         SELECT item_id, doc_id, min(i) - 1 AS word_from, max(i) + 11 AS word_to FROM r GROUP BY item_id, doc_id, run""",
     "p9_share": f"""
-        WITH {_WINDOWS}, o AS (SELECT x.doc_id, count(DISTINCT y.doc_id) AS n_linked FROM k x JOIN k y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY 1)
-        SELECT d.doc_id, COALESCE(length(d.text), 0) AS n_chars, c.class_id, c.n_copies, COALESCE(o.n_linked, 0) AS n_linked,
+        WITH {_WINDOWS}, o AS (SELECT doc_id, max(n) AS n_holders FROM k JOIN (SELECT h, count(DISTINCT doc_id) AS n FROM k GROUP BY 1) USING (h) GROUP BY 1)
+        SELECT d.doc_id, COALESCE(length(d.text), 0) AS n_chars, c.class_id, c.n_copies, COALESCE(o.n_holders, 0) AS n_holders,
             CASE WHEN c.n_copies > 1 AND length(d.text) >= 300 THEN length(d.text) ELSE COALESCE(cover.n, 0) END AS shared_chars,
             CASE WHEN c.n_copies > 1 AND length(d.text) >= 300 AND d.doc_id <> c.class_id THEN length(d.text) ELSE COALESCE(cover_later.n, 0) END AS repeated_chars
         FROM documents d LEFT JOIN (SELECT * FROM c WHERE text IS NOT NULL) c ON c.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = c.class_id LEFT JOIN cover ON cover.doc_id = c.class_id LEFT JOIN cover_later ON cover_later.doc_id = c.class_id""",
+    "p9_spans": f"""
+        WITH {_WINDOWS}, r AS (SELECT doc_id, later, i, i - row_number() OVER (PARTITION BY doc_id, later ORDER BY i) AS run FROM (SELECT DISTINCT doc_id, later, i FROM k)),
+        u AS (SELECT doc_id, min(i) - 1 AS a, max(i) + 299 AS b, later FROM r GROUP BY doc_id, later, run
+            UNION ALL SELECT doc_id, 0, length(text), doc_id <> class_id FROM c WHERE n_copies > 1 AND length(text) >= 300)
+        SELECT doc_id, CAST(a AS INTEGER) AS from_char, CAST(b AS INTEGER) AS to_char, NOT bool_or(later) AS is_first FROM u GROUP BY doc_id, a, b""",
     "p9_without_repeats": f"""
         WITH {_WINDOWS}, gone AS (SELECT DISTINCT doc_id, p FROM k, LATERAL (SELECT unnest(range(i, i + 300)) AS p) WHERE later),
         held AS (SELECT c.doc_id, string_agg(substring(c.text, q::INT, 1), '' ORDER BY q) AS t FROM c, LATERAL (SELECT unnest(range(1, length(c.text) + 1)) AS q)

@@ -8,6 +8,10 @@ No span is missed: clauses have at most ``CLAUSE_CHARS`` characters and break at
 a boundary within the first 60 characters of a shared span of 300, and the run from there ends within 160 + 60 more, before
 the last 20, where the texts around the span could make a difference.
 
+Pairs are made where pairs are asked for. What a document shares with any other, first and later occurrences and the share of
+the text they cover come from windows instead: those around shared runs are hashed and grouped, and each document is marked by
+its own, so that a passage in very many documents costs no pairs.
+
 Exact copies are one class with one representative before anything is joined; what is found for representatives holds for
 all members. Classes and runs come from one pass over the texts, whose narrow rows are written once; texts are read again only
 where a span's ends have to be looked at.
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -207,24 +212,52 @@ def span_pairs(documents: DataFrame, min_chars: int = MIN_CHARS, expand_copies:
     return both.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b")).distinct()
 
 
-def _sides(spans: DataFrame) -> DataFrame:
-    """(class_id, other, a, b, later): each span from either text; later where the other text has the smaller id."""
-    end = lambda c: (F.col(c) + F.col("n_chars")).alias("b")
-    return spans.select(F.col("doc_id_a").alias("class_id"), F.col("doc_id_b").alias("other"), F.col("from_a").alias("a"), end("from_a"), F.lit(False).alias("later")).unionByName(
-        spans.select(F.col("doc_id_b").alias("class_id"), F.col("doc_id_a").alias("other"), F.col("from_b").alias("a"), end("from_b"), F.lit(True).alias("later"))
-    )
+def _shared_windows(documents: DataFrame, scanned: Scanned, min_chars: int) -> DataFrame:
+    """(doc_id, s, later, n_holders): where a window of ``min_chars`` characters starts that another text holds too.
+
+    later: a text of smaller id holds it; n_holders: how many distinct texts do. No pairs are made, so a passage that many
+    texts hold costs its length in each of them. A shared window has a shared run that starts in its first ``CLAUSE_CHARS``
+    characters, so only windows before one are hashed; each distinct text stands for its copies.
+    """
+    held = scanned.runs.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("h")
+    # run starts of one text: no more than its clauses
+    starts = cut(scanned.runs.join(held, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("a").alias("starts")))
+    texts = documents.select("doc_id", "text").where("text is not null")
+    near = texts.join(small_side(starts.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(starts, "doc_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, t, begins in zip(batch["doc_id"], batch["text"], batch["starts"]):
+                at, done = [], -1
+                for a in sorted(begins):
+                    at += range(max(a - CLAUSE_CHARS + 1, done + 1, 0), min(a, len(t) - min_chars) + 1)
+                    done = max(a, done)
+                hashes = [xxhash.xxh3_128_digest(t[s : s + min_chars]) for s in at]
+                two = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
+                yield pd.DataFrame({"h": two[:, 0], "h2": two[:, 1], "doc_id": np.int64(d), "s": np.array(at, dtype="int32")})
+
+    windows = written(near.mapInPandas(run, "h long, h2 long, doc_id long, s int"))
+    several = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").drop("_hi")
+    marked = windows.join(several, ["h", "h2"])
+    counted = marked.groupBy("h", "h2").agg(F.count_distinct("doc_id").alias("n_holders"))
+    return cut(marked.join(counted, ["h", "h2"]).select("doc_id", "s", (F.col("_lo") < F.col("doc_id")).alias("later"), "n_holders"))
 
 
 def document_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct (doc_id, from_char, to_char, is_first): the maximal spans a document shares with others, in code points.
+    """Distinct (doc_id, from_char, to_char, is_first): the stretches of a document that other texts hold too, in code points.
 
-    is_first is false where a text of smaller id holds the span too. A text with exact copies is a span as a whole in each of
-    them; its inner spans stand with the first copy only, so that the rows stay in proportion to the documents.
+    Every character of a stretch lies in ``min_chars`` or more that one other text holds as they are. is_first is false where a
+    text of smaller id does. A text with exact copies is a span as a whole in each of them; its inner spans stand with the
+    first copy only, so that the rows stay in proportion to the documents.
     """
     scanned = scan(documents, min_chars)
-    inner = _sides(shared_spans(documents, scanned, min_chars)).select(F.col("class_id").alias("doc_id"), "a", "b", "later")
+    windows = _shared_windows(documents, scanned, min_chars)
+    # windows that start one after the other are one stretch; a text's windows are no more than its characters
+    order = Window.partitionBy("doc_id", "later").orderBy("s")
+    ranked = windows.select("doc_id", "later", "s").distinct().withColumn("_run", F.col("s") - F.row_number().over(order))
+    inner = ranked.groupBy("doc_id", "later", "_run").agg(F.min("s").alias("a"), (F.max("s") + min_chars).alias("b")).drop("_run")
     long = scanned.classes.where((F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars))
-    whole = long.select("doc_id", F.lit(0).alias("a"), F.col("n_chars").alias("b"), (F.col("doc_id") != F.col("class_id")).alias("later"))
+    whole = long.select("doc_id", (F.col("doc_id") != F.col("class_id")).alias("later"), F.lit(0).alias("a"), F.col("n_chars").alias("b"))
     spans = inner.unionByName(whole).groupBy("doc_id", "a", "b").agg(F.max("later").alias("later"))
     return spans.select("doc_id", F.col("a").alias("from_char"), F.col("b").alias("to_char"), (~F.col("later")).alias("is_first"))
 
@@ -255,32 +288,29 @@ def without_repeats(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFra
 
 
 def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_chars, class_id, n_copies, n_linked, shared_chars, repeated_chars) of every document.
+    """(doc_id, n_chars, class_id, n_copies, n_holders, shared_chars, repeated_chars) of every document.
 
-    shared_chars are covered by spans shared with any other text (all of them where the document has a copy of at least
-    ``min_chars``), repeated_chars by spans that an earlier text (smaller id) holds too: what removing every non-first
-    occurrence would take. Null and empty texts share nothing. An id names one
-    text: rows stored twice count once.
+    n_holders is the largest number of distinct texts that hold one of its spans, itself included, 0 without any; shared_chars
+    are covered by spans shared with any other text (all of them where the document has a copy of at least ``min_chars``),
+    repeated_chars by spans that an earlier text (smaller id) holds too: what removing every non-first occurrence would take.
+    Null and empty texts share nothing. An id names one text: rows stored twice count once.
     """
     scanned = scan(documents, min_chars)
-    sides = _sides(shared_spans(documents, scanned, min_chars))
+    windows = _shared_windows(documents, scanned, min_chars)
 
-    def covered(which: str):
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-        step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end"))
-        return F.aggregate(F.array_sort(F.col(which)), zero, step, lambda acc: acc["n"])
+    def covered(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("doc_id").orderBy("s")
+        fresh = F.least(F.lit(min_chars), F.col("s") - F.lag("s", 1).over(order))  # characters that the window before doesn't hold
+        return rows.select("doc_id", "s").distinct().select("doc_id", F.coalesce(fresh, F.lit(min_chars)).alias("n")).groupBy("doc_id").agg(F.sum("n").cast("int").alias("n"))
 
-    # spans of one text are distinct (start, end) pairs: at most as many as its clauses squared, whatever the corpus
-    per = sides.groupBy("class_id").agg(
-        F.count_distinct("other").alias("n_linked"), F.collect_set(F.struct("a", "b")).alias("_all"), F.collect_set(F.when(F.col("later"), F.struct("a", "b"))).alias("_later")
-    )
-    per = per.select("class_id", "n_linked", covered("_all").alias("shared"), covered("_later").alias("repeated"))
+    most = windows.groupBy("doc_id").agg(F.max("n_holders").alias("n_holders"))
+    per = most.join(covered(windows).withColumnRenamed("n", "shared"), "doc_id").join(covered(windows.where("later")).withColumnRenamed("n", "repeated"), "doc_id", "left")
     textless = documents.where("text is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_copies"), F.lit(0).alias("n_chars"))
-    rows = scanned.classes.unionByName(textless).distinct().join(per, "class_id", "left")
+    rows = scanned.classes.unionByName(textless).distinct().join(per.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     copied = (F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select(
-        "doc_id", "n_chars", "class_id", "n_copies", zero("n_linked").alias("n_linked"),
+        "doc_id", "n_chars", "class_id", "n_copies", zero("n_holders").alias("n_holders"),
         F.when(copied, F.col("n_chars")).otherwise(zero("shared")).alias("shared_chars"),
         F.when(copied & (F.col("doc_id") != F.col("class_id")), F.col("n_chars")).otherwise(zero("repeated")).alias("repeated_chars"),
     )
