@@ -212,10 +212,10 @@ def span_pairs(documents: DataFrame, min_chars: int = MIN_CHARS, expand_copies:
     return both.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b")).distinct()
 
 
-def _shared_windows(documents: DataFrame, scanned: Scanned, min_chars: int) -> DataFrame:
-    """(doc_id, s, later, n_holders): where a window of ``min_chars`` characters starts that another text holds too.
+def _shared_windows(documents: DataFrame, scanned: Scanned, min_chars: int, holders: bool = False) -> DataFrame:
+    """(doc_id, s, later): where a window of ``min_chars`` characters starts that another text holds too.
 
-    later: a text of smaller id holds it; n_holders: how many distinct texts do. No pairs are made, so a passage that many
+    later: a text of smaller id holds it; with ``holders`` also n_holders: how many distinct texts do. No pairs are made, so a passage that many
     texts hold costs its length in each of them. A shared window has a shared run that starts in its first ``CLAUSE_CHARS``
     characters, so only windows before one are hashed; each distinct text stands for its copies.
     """
@@ -238,9 +238,11 @@ def _shared_windows(documents: DataFrame, scanned: Scanned, min_chars: int) -> D
 
     windows = written(near.mapInPandas(run, "h long, h2 long, doc_id long, s int"))
     several = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").drop("_hi")
-    marked = windows.join(several, ["h", "h2"])
-    counted = marked.groupBy("h", "h2").agg(F.count_distinct("doc_id").alias("n_holders"))
-    return cut(marked.join(counted, ["h", "h2"]).select("doc_id", "s", (F.col("_lo") < F.col("doc_id")).alias("later"), "n_holders"))
+    marked = windows.join(several, ["h", "h2"]).withColumn("later", F.col("_lo") < F.col("doc_id"))
+    if holders:
+        marked = cut(marked)
+        marked = marked.join(marked.groupBy("h", "h2").agg(F.count_distinct("doc_id").alias("n_holders")), ["h", "h2"])
+    return cut(marked.select("doc_id", "s", "later", *(["n_holders"] if holders else [])))
 
 
 def document_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -296,7 +298,7 @@ def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Null and empty texts share nothing. An id names one text: rows stored twice count once.
     """
     scanned = scan(documents, min_chars)
-    windows = _shared_windows(documents, scanned, min_chars)
+    windows = _shared_windows(documents, scanned, min_chars, holders=True)
 
     def covered(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("doc_id").orderBy("s")
