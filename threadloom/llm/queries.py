@@ -129,6 +129,19 @@ _GRAMS = """
         e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
         dg AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 11], ' ')) AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)),
         eg AS (SELECT DISTINCT item_id, hash(array_to_string(w[i:i + 11], ' ')) AS g FROM e, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i))"""
+_LEAKS = f"""{_GRAMS}, m AS (SELECT item_id, doc_id, i FROM dg JOIN eg USING (g)),
+        n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY item_id, doc_id ORDER BY i) <= 12 THEN 0 ELSE 1 END AS fresh FROM m),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS run FROM n),
+        leaks AS (SELECT item_id, doc_id, min(i) - 1 AS word_from, max(i) + 11 AS word_to FROM r GROUP BY item_id, doc_id, run)"""
+#: Where each word lies in its text, from the lengths of words and of what stands between them.
+_REMOVAL = """
+        t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w, regexp_extract_all(text, '[^\\p{L}\\p{N}]+') AS gaps, CAST(regexp_matches(text, '^[^\\p{L}\\p{N}]') AS INT) AS ahead FROM documents),
+        u AS (SELECT doc_id, q, length(w[q]) AS wl, COALESCE(length(gaps[q - 1 + ahead]), 0) AS gap FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS q)),
+        wo AS (SELECT doc_id, q, sum(wl + gap) OVER (PARTITION BY doc_id ORDER BY q) AS b, wl FROM u),
+        located AS (SELECT l.doc_id, CAST(x.b - x.wl AS BIGINT) AS a, CAST(y.b AS BIGINT) AS b FROM leaks l JOIN wo x ON x.doc_id = l.doc_id AND x.q = word_from + 1 JOIN wo y ON y.doc_id = l.doc_id AND y.q = word_to),
+        o AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM located),
+        z AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM o),
+        removal AS (SELECT doc_id, min(a) AS char_from, max(b) AS char_to FROM z GROUP BY doc_id, run)"""
 #: Windows of 300 characters of the first of equal texts, the windows other texts hold too, and what they cover of each text.
 _WINDOWS = """
         c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents),
@@ -141,11 +154,9 @@ ORACLE = {
     "p2_frequencies": _TAG_SQL + " SELECT *, n_rows <= 2 AS is_rare, n_rows > 0.3 * n_table_rows AS is_common FROM marked",
     "p2_found": _TAG_SQL + " SELECT field_name, term, 'rare' AS mark FROM marked WHERE n_rows <= 2 UNION ALL SELECT field_name, term, 'common' FROM marked WHERE n_rows > 0.3 * n_table_rows",
     "p8_found": f"WITH {_GRAMS} SELECT DISTINCT item_id, doc_id FROM dg JOIN eg USING (g)",
-    "p8_spans": f"""
-        WITH {_GRAMS}, m AS (SELECT item_id, doc_id, i FROM dg JOIN eg USING (g)),
-        n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY item_id, doc_id ORDER BY i) <= 12 THEN 0 ELSE 1 END AS fresh FROM m),
-        r AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS run FROM n)
-        SELECT item_id, doc_id, min(i) - 1 AS word_from, max(i) + 11 AS word_to FROM r GROUP BY item_id, doc_id, run""",
+    "p8_spans": f"WITH {_LEAKS} SELECT * FROM leaks",
+    "p8_removal": f"WITH {_LEAKS}, {_REMOVAL} SELECT doc_id, n_items, count(*) AS n_spans, CAST(sum(char_to - char_from) AS BIGINT) AS removed_chars FROM removal JOIN (SELECT doc_id, count(DISTINCT item_id) AS n_items FROM leaks GROUP BY 1) USING (doc_id) GROUP BY 1, 2",
+    "p8_removal_spans": f"WITH {_LEAKS}, {_REMOVAL} SELECT * FROM removal",
     "p9_share": f"""
         WITH {_WINDOWS}, o AS (SELECT doc_id, max(n) AS n_holders FROM k JOIN (SELECT h, count(DISTINCT doc_id) AS n FROM k GROUP BY 1) USING (h) GROUP BY 1)
         SELECT d.doc_id, COALESCE(length(d.text), 0) AS n_chars, c.class_id, c.n_copies, COALESCE(o.n_holders, 0) AS n_holders,

@@ -212,10 +212,10 @@ def span_pairs(documents: DataFrame, min_chars: int = MIN_CHARS, expand_copies:
     return both.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b")).distinct()
 
 
-def _shared_windows(documents: DataFrame, scanned: Scanned, min_chars: int, holders: bool = False) -> DataFrame:
-    """(doc_id, s, later): where a window of ``min_chars`` characters starts that another text holds too.
+def _shared_windows(documents: DataFrame, scanned: Scanned, min_chars: int) -> DataFrame:
+    """(doc_id, s, later, n_holders): where a window of ``min_chars`` characters starts that another text holds too.
 
-    later: a text of smaller id holds it; with ``holders`` also n_holders: how many distinct texts do. No pairs are made, so a passage that many
+    later: a text of smaller id holds it; n_holders: how many distinct texts do. No pairs are made, so a passage that many
     texts hold costs its length in each of them. A shared window has a shared run that starts in its first ``CLAUSE_CHARS``
     characters, so only windows before one are hashed; each distinct text stands for its copies.
     """
@@ -233,16 +233,16 @@ def _shared_windows(documents: DataFrame, scanned: Scanned, min_chars: int, hold
                     at += range(max(a - CLAUSE_CHARS + 1, done + 1, 0), min(a, len(t) - min_chars) + 1)
                     done = max(a, done)
                 hashes = [xxhash.xxh3_128_digest(t[s : s + min_chars]) for s in at]
+                if not at:
+                    continue
                 two = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
-                yield pd.DataFrame({"h": two[:, 0], "h2": two[:, 1], "doc_id": np.int64(d), "s": np.array(at, dtype="int32")})
+                once = np.zeros(len(at), dtype="int32")  # a window that a text holds twice counts as one of its
+                once[list({x: i for i, x in enumerate(hashes)}.values())] = 1
+                yield pd.DataFrame({"h": two[:, 0], "h2": two[:, 1], "doc_id": np.int64(d), "s": np.array(at, dtype="int32"), "once": once})
 
-    windows = written(near.mapInPandas(run, "h long, h2 long, doc_id long, s int"))
-    several = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").drop("_hi")
-    marked = windows.join(several, ["h", "h2"]).withColumn("later", F.col("_lo") < F.col("doc_id"))
-    if holders:
-        marked = cut(marked)
-        marked = marked.join(marked.groupBy("h", "h2").agg(F.count_distinct("doc_id").alias("n_holders")), ["h", "h2"])
-    return cut(marked.select("doc_id", "s", "later", *(["n_holders"] if holders else [])))
+    windows = written(near.mapInPandas(run, "h long, h2 long, doc_id long, s int, once int"))
+    several = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("_lo"), F.sum("once").alias("n_holders")).where("n_holders > 1")
+    return windows.join(several, ["h", "h2"]).select("doc_id", "s", (F.col("_lo") < F.col("doc_id")).alias("later"), "n_holders")
 
 
 def document_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -256,7 +256,7 @@ def document_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     windows = _shared_windows(documents, scanned, min_chars)
     # windows that start one after the other are one stretch; a text's windows are no more than its characters
     order = Window.partitionBy("doc_id", "later").orderBy("s")
-    ranked = windows.select("doc_id", "later", "s").distinct().withColumn("_run", F.col("s") - F.row_number().over(order))
+    ranked = windows.select("doc_id", "later", "s").withColumn("_run", F.col("s") - F.row_number().over(order))
     inner = ranked.groupBy("doc_id", "later", "_run").agg(F.min("s").alias("a"), (F.max("s") + min_chars).alias("b")).drop("_run")
     long = scanned.classes.where((F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars))
     whole = long.select("doc_id", (F.col("doc_id") != F.col("class_id")).alias("later"), F.lit(0).alias("a"), F.col("n_chars").alias("b"))
@@ -298,15 +298,16 @@ def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Null and empty texts share nothing. An id names one text: rows stored twice count once.
     """
     scanned = scan(documents, min_chars)
-    windows = _shared_windows(documents, scanned, min_chars, holders=True)
+    windows = _shared_windows(documents, scanned, min_chars)
 
-    def covered(rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy("doc_id").orderBy("s")
-        fresh = F.least(F.lit(min_chars), F.col("s") - F.lag("s", 1).over(order))  # characters that the window before doesn't hold
-        return rows.select("doc_id", "s").distinct().select("doc_id", F.coalesce(fresh, F.lit(min_chars)).alias("n")).groupBy("doc_id").agg(F.sum("n").cast("int").alias("n"))
+    def covered(which: str):
+        """Characters under windows in order of their starts: what the window before doesn't hold."""
+        last = lambda acc, s: F.struct((acc["n"] + F.least(F.lit(min_chars), s - acc["s"])).alias("n"), s.alias("s"))
+        return F.aggregate(F.array_sort(which), F.struct(F.lit(0).alias("n"), F.lit(-min_chars).alias("s")), last, lambda acc: acc["n"])
 
-    most = windows.groupBy("doc_id").agg(F.max("n_holders").alias("n_holders"))
-    per = most.join(covered(windows).withColumnRenamed("n", "shared"), "doc_id").join(covered(windows.where("later")).withColumnRenamed("n", "repeated"), "doc_id", "left")
+    # a text's windows are no more than its characters
+    each = windows.groupBy("doc_id").agg(F.max("n_holders").alias("n_holders"), F.collect_list("s").alias("_all"), F.collect_list(F.when(F.col("later"), F.col("s"))).alias("_later"))
+    per = each.select("doc_id", "n_holders", covered("_all").alias("shared"), covered("_later").alias("repeated"))
     textless = documents.where("text is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_copies"), F.lit(0).alias("n_chars"))
     rows = scanned.classes.unionByName(textless).distinct().join(per.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     copied = (F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars)
