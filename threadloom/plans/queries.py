@@ -337,7 +337,23 @@ def sender_formats(spark, d):
     return lines.select(checks.from_line_format(F.trim("r")).alias("format")).groupBy("format").agg(F.count("*").alias("n"))
 
 
-@query()
+def _tokens_sql(c: str) -> str:
+    marks = "[.,;:\"''()<>\\[\\]]"
+    return f"list_filter(list_transform(regexp_split_to_array(lower({c}), '[\\s,]+'), lambda w: regexp_replace(regexp_replace(w, '[''’]', '', 'g'), '^{marks}+|{marks}+$', '', 'g')), lambda w: w <> '')"
+
+
+_ENTRIES = f"(SELECT DISTINCT {_tokens_sql('entry')} AS w FROM allow_terms WHERE kind IN ('staff_name', 'organisation') AND entry IS NOT NULL)"
+_COVERED = (
+    "list_reduce(list_prepend(tokens, phrases), lambda acc, p: CASE WHEN len(list_filter(p, lambda t: NOT list_contains(acc, t))) = 0 THEN list_filter(acc, lambda t: NOT list_contains(p, t)) ELSE acc END)"
+)
+
+
+@query(
+    f"SELECT inquiry_id, slot FROM (SELECT inquiry_id, slot, tokens, singles, {_COVERED} AS rest FROM (SELECT inquiry_id, slot, {_tokens_sql('slot')} AS tokens, (SELECT list(w ORDER BY len(w) DESC) FROM {_ENTRIES} WHERE len(w) > 1) AS phrases, "
+    f"(SELECT list(w[1]) FROM {_ENTRIES} WHERE len(w) = 1) AS singles FROM (SELECT inquiry_id, "
+    "trim(regexp_replace(trim(unnest(regexp_extract_all(thread_text_redacted, '(?m)^\\*\\*From:\\*\\*([^\\r\\n]*)', 1))), '\\s*<[^>]*>\\s*$', '')) AS slot FROM inquiries) WHERE slot <> '' AND regexp_replace(slot, '^[\"'']+|[\"'']+$', '', 'g') NOT IN ('{name}', '{email}', '{url}', '{phone}'))) "
+    "WHERE len(tokens) = 0 OR len(list_filter(rest, lambda t: NOT list_contains(singles, t))) > 0"
+)
 def sender_leaks(spark, d):
     return redaction.sender_leaks(table(spark, d, "inquiries"), redaction.allow_list(table(spark, d, "allow_terms")))
 
