@@ -306,6 +306,19 @@ def test_large_copy_classes_stay_linear(spark, corpus):
     assert {(r.class_id, r.n_copies) for r in spans.copy_classes(df).collect()} == {(1000, 10), (5, 1)}
 
 
+def test_chains_meet_once(spark):
+    rng = random.Random(8)
+    passage = "".join(sentence(rng) for _ in range(12))
+    part = passage[len(passage) // 2 :]
+    rows = [(i, f"{i} {rng.random()}. {passage}{rng.random()} {i}.") for i in range(40)] + [(100 + i, f"{i} {rng.random()}. {part}{rng.random()} {i}.") for i in range(3)]
+    scanned = spans.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    chains = spans.shared_chains(scanned).collect()
+    per = Counter(r.doc_id for r in chains)
+    assert all(per[i] == 2 for i in range(40)) and all(per[100 + i] <= 2 for i in range(3))  # the second half is a chain of its own
+    assert scanned.runs.where("doc_id = 0").count() > 8
+    assert spans.span_pairs(spark.createDataFrame(rows, "doc_id long, text string")).count() == 43 * 42 / 2
+
+
 def test_one_passage_in_very_many_documents(spark, monkeypatch):
     """Spans, share and removal stay in proportion to the documents: no pair is made."""
     rng = random.Random(4)

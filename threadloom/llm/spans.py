@@ -101,7 +101,7 @@ def sentence_runs(text: str, run_chars: int = RUN_CHARS) -> list[tuple[int, int,
 
 class Scanned(NamedTuple):
     classes: DataFrame  #: (doc_id, class_id, n_copies, n_chars) of every document with a text
-    runs: DataFrame  #: (h, doc_id, a, b) of the first document of each class
+    runs: DataFrame  #: (h, doc_id, k, a, b), the k-th run of a text, of the first document of each class
 
 
 def scan(documents: DataFrame, min_chars: int = MIN_CHARS) -> Scanned:
@@ -112,14 +112,14 @@ def scan(documents: DataFrame, min_chars: int = MIN_CHARS) -> Scanned:
             rows = []
             for d, t in zip(batch["doc_id"], batch["text"]):
                 digest = blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), d, -1, len(t)))
+                rows.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), d, -1, -1, len(t)))
                 if len(t) >= min_chars:
-                    rows += [(h, None, d, a, b) for h, a, b in sentence_runs(t)]
-            found = pd.DataFrame(rows, columns=["h", "h2", "doc_id", "a", "b"])
-            yield found.astype({"h": "int64", "h2": "Int64", "doc_id": "int64", "a": "int32", "b": "int32"})
+                    rows += [(h, None, d, k, a, b) for k, (h, a, b) in enumerate(sentence_runs(t))]
+            found = pd.DataFrame(rows, columns=["h", "h2", "doc_id", "k", "a", "b"])
+            yield found.astype({"h": "int64", "h2": "Int64", "doc_id": "int64", "k": "int32", "a": "int32", "b": "int32"})
 
     texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id")
-    scanned = texts.mapInPandas(run, "h long, h2 long, doc_id long, a int, b int")
+    scanned = texts.mapInPandas(run, "h long, h2 long, doc_id long, k int, a int, b int")
     rows = written(scanned.withColumn("is_text", F.col("a") < 0), "is_text")
     keyed = rows.where("is_text").select("h", "h2", "doc_id", F.col("b").alias("n_chars"))
     # digests are combined on the map side; members get their class by a join on the digest
@@ -154,16 +154,34 @@ def _extend(left_a: pd.Series, left_b: pd.Series, right_a: pd.Series, right_b: p
     return pd.DataFrame({"before": [common(x[::-1], y[::-1]) for x, y in zip(left_a, left_b)], "after": [common(x, y) for x, y in zip(right_a, right_b)]}, dtype="int32")
 
 
+def shared_chains(scanned: Scanned) -> DataFrame:
+    """(doc_id, h, a, b): the runs that several texts hold, with those that always follow each other joined to one chain.
+
+    If every text that holds a run goes on with the same next one, and every text that holds that one comes from the first,
+    a pair of texts that matches in one matches in both, at the same distance. So only the first run of a chain, h, has to
+    meet in a join of pairs: a passage in n texts gives its pairs once, not once for each of its runs.
+    """
+    # a run of one text only can't match: sieve before anything else, by a count combined on the map side
+    held = scanned.runs.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("h")
+    shared = scanned.runs.join(held, "h", "left_semi").distinct()
+    order = Window.partitionBy("doc_id").orderBy("k")  # a text's runs are no more than its clauses
+    beside = lambda f, step: F.when(f("k").over(order) == F.col("k") + step, f("h").over(order))
+    placed = cut(shared.withColumns({"before": beside(F.lag, -1), "after": beside(F.lead, 1)}))
+    only = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
+    ways = placed.groupBy("h").agg(only("before").alias("_b"), F.min("before").alias("before"), only("after").alias("_a"), F.min("after").alias("after"))
+    led, leads = ways.where("_b").select("h", "before"), ways.where("_a").select(F.col("h").alias("before"), F.col("after").alias("h"))
+    follows = led.join(leads, ["h", "before"]).select("h", F.lit(True).alias("_follows"))
+    chained = placed.join(follows, "h", "left").withColumn("_chain", F.count_if(F.col("_follows").isNull()).over(order))
+    return chained.groupBy("doc_id", "_chain").agg(F.max(F.when(F.col("_follows").isNull(), F.col("h"))).alias("h"), F.min("a").alias("a"), F.max("b").alias("b")).drop("_chain")
+
+
 def shared_spans(documents: DataFrame, scanned: Scanned, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id_a, doc_id_b, from_a, from_b, n_chars): maximal equal spans of at least ``min_chars`` between distinct texts.
 
     Each distinct text stands for its copies; a row stored twice changes nothing. Offsets are code points. Texts shorter than
     ``min_chars`` share nothing.
     """
-    # a run of one text only can't match: sieve before the join, by a count combined on the map side
-    held = scanned.runs.groupBy("h").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("h")
-    shared = cut(scanned.runs.join(held, "h", "left_semi").distinct())
-    x, y = shared.alias("x"), shared.alias("y")
+    x, y = (c := cut(shared_chains(scanned))).alias("x"), c.alias("y")
     matched = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(
         F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b"), F.col("x.a").alias("a"), F.col("x.b").alias("b"), (F.col("y.a") - F.col("x.a")).alias("shift")
     )
