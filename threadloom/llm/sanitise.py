@@ -32,7 +32,6 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadloom.llm.newtext import _CLOSING
 from threadloom.session import cut, spread
@@ -446,19 +445,18 @@ def personal_items(fields: DataFrame, allow_terms: DataFrame) -> DataFrame:
 def sanitised(fields: DataFrame, allow_terms: DataFrame) -> DataFrame:
     """(field_name, record_id, n_items, clean_text) of every record: its personal items replaced by typed placeholders.
 
-    The rest of the text is unchanged. The items of a record are collected per record, never per key of the data.
+    The rest of the text is unchanged. The items of a record are collected per record, never per key of the data, and replaced
+    inside the JVM. A record stored twice is replaced in both rows; of items of one id with several texts, those that don't
+    stand in a text as found are left alone there.
     """
-    items = personal_items(fields, allow_terms).groupBy("field_name", "record_id").agg(F.collect_set(F.struct("start", "n_chars", "kind")).alias("_items"))
-
-    @F.pandas_udf(T.StringType())
-    def replaced(text: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(text, found):
-            for s in sorted(spans, key=lambda s: -s["start"]) if spans is not None else ():
-                t = t[: s["start"]] + PLACEHOLDERS[s["kind"]] + t[s["start"] + s["n_chars"] :]
-            out.append(t)
-        return pd.Series(out)
-
-    joined = fields.join(items, ["field_name", "record_id"], "left")
-    clean = F.when(F.col("_items").isNull(), F.col("text")).otherwise(replaced("text", "_items"))
-    return joined.select("field_name", "record_id", F.coalesce(F.size("_items"), F.lit(0)).alias("n_items"), clean.alias("clean_text"))
+    items = personal_items(fields, allow_terms).groupBy("field_name", "record_id").agg(F.array_sort(F.collect_set(F.struct("start", "n_chars", "kind", "surface"))).alias("_items"))
+    shown = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])
+    joined = fields.join(items, ["field_name", "record_id"], "left").withColumn("_shown", shown)
+    held = F.expr("filter(_items, i -> substring(text, i.start + 1, i.n_chars) = i.surface)")
+    done = F.expr(
+        "aggregate(_held, struct('' AS out, 0 AS at), (acc, i) -> struct(concat(acc.out, substring(text, acc.at + 1, i.start - acc.at), element_at(_shown, i.kind)) AS out, i.start + i.n_chars AS at),"
+        " acc -> concat(acc.out, substring(text, acc.at + 1)))"
+    )
+    rows = joined.withColumn("_held", F.coalesce(held, F.array().cast(items.schema["_items"].dataType)))
+    clean = F.when(F.size("_held") == 0, F.col("text")).otherwise(done)
+    return rows.select("field_name", "record_id", F.size("_held").alias("n_items"), clean.alias("clean_text"))

@@ -287,24 +287,14 @@ def without_repeats(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFra
 
     n_removed is ``repeated_chars`` of ``shared_share``. The first occurrence of a span stays; null texts stay null.
     """
-    later = document_spans(documents, min_chars).where("not is_first").groupBy("doc_id").agg(F.collect_set(F.struct("from_char", "to_char")).alias("_later"))
-
-    @F.pandas_udf(T.StringType())
-    def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, held in zip(text, spans):
-            if t is None or held is None or not len(held):
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for a, b in sorted((s["from_char"], s["to_char"]) for s in held):
-                parts.append(t[at:a])  # empty where spans overlap
-                at = max(at, b)
-            out.append("".join(parts) + t[at:])
-        return pd.Series(out)
-
+    later = document_spans(documents, min_chars).where("not is_first").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("from_char", "to_char"))).alias("_later"))
+    kept = F.expr(
+        "aggregate(_later, struct('' AS out, 0 AS at), (acc, s) -> struct(concat(acc.out, substring(text, acc.at + 1, greatest(0, s.from_char - acc.at))) AS out, greatest(acc.at, s.to_char) AS at),"
+        " acc -> concat(acc.out, substring(text, acc.at + 1)))"
+    )
     joined = spread(documents.select("doc_id", "text"), "doc_id").join(small_side(later), "doc_id", "left")
-    return joined.select("doc_id", "text", kept("text", "_later").alias("clean_text")).select("doc_id", F.coalesce(F.length("text") - F.length("clean_text"), F.lit(0)).alias("n_removed"), "clean_text")
+    clean = joined.select("doc_id", "text", F.when(F.col("_later").isNull(), F.col("text")).otherwise(kept).alias("clean_text"))
+    return clean.select("doc_id", F.coalesce(F.length("text") - F.length("clean_text"), F.lit(0)).alias("n_removed"), "clean_text")
 
 
 def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
