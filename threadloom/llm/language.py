@@ -67,18 +67,22 @@ def sentences(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def fit_linear(rows: list[np.ndarray], signs: np.ndarray, cost: float = 0.5, epochs: int = 6, seed: int = 7) -> np.ndarray:
+def packed(words: list[str], seen: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(features, values of length 1 together) of a sentence; seen keeps the features of words."""
+    seen = {} if seen is None else seen
+    idx, n = np.unique([f for w in words for f in (seen.get(w) or seen.setdefault(w, word_features(w)))], return_counts=True)
+    return idx, n / np.sqrt((n * n).sum())
+
+
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: float = 0.5, epochs: int = 6, seed: int = 7) -> np.ndarray:
     """Weights of a linear support vector machine without bias, by dual coordinate ascent; both classes weigh the same."""
     weights, alpha, order = np.zeros(DIMENSIONS), np.zeros(len(rows)), np.random.default_rng(seed)
     bound = np.where(signs > 0, cost * len(rows) / max(2 * (signs > 0).sum(), 1), cost * len(rows) / max(2 * (signs < 0).sum(), 1))
-    packed = []
-    for r in rows:
-        idx, n = np.unique(r, return_counts=True)
-        packed.append((idx, n / np.sqrt((n * n).sum())))
+    alpha, bound, signs = alpha.tolist(), bound.tolist(), signs.tolist()
     for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            idx, x = packed[i]
-            now = min(max(alpha[i] + 1 - signs[i] * weights[idx].dot(x), 0.0), bound[i])
+        for i in order.permutation(len(rows)).tolist():
+            idx, x = rows[i]
+            now = min(max(alpha[i] + 1 - signs[i] * float(weights[idx].dot(x)), 0.0), bound[i])
             if now != alpha[i]:
                 weights[idx] += (now - alpha[i]) * signs[i] * x
                 alpha[i] = now
@@ -144,17 +148,19 @@ def fit_discriminator(labelled: list[tuple[str, str]], sentences_per_language: i
         data += [own[i] for i in sorted(rng.permutation(len(own))[:sentences_per_language])]
     family = {x: f for f, xs in FAMILIES.items() for x in xs}
 
-    def fit(part: list) -> np.ndarray:
-        rows = [np.array([f for w in words for f in word_features(w)]) for _, words in part]
-        langs = [lang for lang, _ in part]
+    seen: dict[str, list[int]] = {}
+    rows_of = [packed(words, seen) for _, words in data]
+
+    def fit(part: list[int]) -> np.ndarray:
+        rows, langs = [rows_of[i] for i in part], [data[i][0] for i in part]
         machines = [fit_linear(rows, np.array([1 if family[x] == "romance" else -1 for x in langs]))]
         for a, b in pairs:
             pick = [i for i, x in enumerate(langs) if x in (a, b)]
             machines.append(fit_linear([rows[i] for i in pick], np.array([1 if langs[i] == a else -1 for i in pick])))
         return np.stack(machines)
 
-    first = Discriminator(fit(data), pairs, 1.0)
-    model = Discriminator(fit([d for d in data if first.place(d[1])[0] == d[0]]), pairs, 1.0)
+    first = Discriminator(fit(list(range(len(data)))), pairs, 1.0)
+    model = Discriminator(fit([i for i, (lang, words) in enumerate(data) if first.place(words)[0] == lang]), pairs, 1.0)
     # slope of the logistic curve: one Newton-fitted parameter on the margins of sentences that no machine saw
     placed = [(min(margin, 4.0), found == lang) for lang, words in held or seeds for found, margin in [model.margin(words)]]
     margin, right = np.array([x for x, _ in placed]), np.array([x for _, x in placed], dtype=float)

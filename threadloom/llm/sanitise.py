@@ -159,7 +159,10 @@ def can_hold_id(text: str, low: str) -> bool:
     """Whether a label of an identity number may stand in the text; never False where ``_ID`` matches. low: the text in lower case."""
     if not text.isascii():  # letters that count as i and s where case is ignored
         low = low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
-    return any(h in low for h in _ID_HINTS) or any(h in low and p.search(low) for h, p in _ID_SHORT)
+    for h in _ID_HINTS:
+        if h in low:
+            return True
+    return any(h in low and p.search(low) for h, p in _ID_SHORT)
 
 
 def _emails(text: str, low: str) -> Iterator[re.Match]:
