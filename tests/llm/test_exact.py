@@ -394,3 +394,16 @@ def test_very_long_clauses():
         parts = spans.clauses(text)
         assert sum(b - a for a, b in parts) == len(text) and max(b - a for a, b in parts) <= spans.CLAUSE_CHARS
         assert len(spans.sentence_runs(text)) > 100
+
+
+def test_rows_without_an_id(spark):
+    big = 2**60 + 1
+    text = " ".join(WORDS) + ". " + "one long passage that two texts hold, word for word, and that goes on. " * 6
+    docs = spark.createDataFrame([(None, text), (big, text), (big + 1, "x " + text), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(WORDS)), (None, text)], "item_id long, text string")
+    assert {tuple(r) for r in leakage.leaked_items(docs, items).collect()} == {(1, big), (1, big + 1)}
+    assert {tuple(r) for r in spans.span_pairs(docs).collect()} == {(big, big + 1)}
+    share = [(r.doc_id, r.class_id, r.n_chars > 0, r.shared_chars > 0) for r in spans.shared_share(docs).collect()]
+    assert sorted(share, key=str) == sorted([(big, big, True, True), (big + 1, big + 1, True, True), (None, None, True, False), (None, None, False, False)], key=str)
+    assert {r.doc_id for r in packing.pack_documents(docs, spark.createDataFrame([(1, 50)], "limit_id int, capacity_tokens int")).collect()} == {big, big + 1}
+    assert sorted(str(r.doc_id) for r in spans.without_repeats(docs).collect()) == sorted(map(str, [big, big + 1, None, None]))

@@ -359,3 +359,10 @@ def test_sanitised(spark):
     assert rows["response_draft", "1"].clean_text == "It is {name}'s party. Mark the boxes."
     assert rows["response_draft", "6"].clean_text == "Ask {name}, {email} is hers. {name} pays." and rows["response_draft", "4"].n_items == 0
     assert rows["response_draft", "4"].clean_text.startswith("Tobin Harrow of Corvanne") and len(rows) == f.count()
+
+
+def test_records_without_an_id_are_sanitised(spark):
+    texts = "field_name string, record_id string, text string"
+    f = spark.createDataFrame([("response_draft", None, "mail jo@dun.test"), ("response_draft", "1", "mail al@dun.test or call")], texts)
+    got = {r.record_id: (r.n_items, r.clean_text) for r in sanitise.sanitised(f, spark.createDataFrame([], "entry string, kind string")).collect()}
+    assert got == {None: (1, "mail {email}"), "1": (1, "mail {email} or call")}

@@ -220,10 +220,10 @@ def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
     """(item_id, doc_id, word_from, word_to, char_from, char_to): each place where a document has ``min_words`` or more
     consecutive words of an item, with the end exclusive; offsets in words and in code points of the stored text.
 
-    Null and empty texts and items shorter than ``min_words`` give no rows. Rows of ``items`` with a repeated id are searched
+    Null and empty texts, rows without an id, and items shorter than ``min_words`` give no rows. Rows of ``items`` with a repeated id are searched
     under that id; repeated documents each give their rows.
     """
-    corpus = spread(documents.select("doc_id", "text").where("text is not null"), "doc_id")
+    corpus = spread(documents.select("doc_id", "text").where("text is not null and doc_id is not null"), "doc_id")
     schema = "item_id long, doc_id long, word_from long, word_to long, char_from long, char_to long"
     sc = documents.sparkSession.sparkContext
 

@@ -30,7 +30,7 @@ SHARD_DOCS = 20_000
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of every document; null and empty texts have 0 tokens. Special-token strings are ordinary text.
+    """(doc_id, n_tokens) of every document that has an id; null and empty texts have 0 tokens. Special-token strings are ordinary text.
 
     The vocabulary file (about 1 MB) is read on the driver and broadcast.
     """
@@ -46,7 +46,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": pd.Series(n, dtype="int32")})
 
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id long, n_tokens int")
+    return spread(documents.select("doc_id", "text").where("doc_id is not null"), "doc_id").mapInPandas(run, "doc_id long, n_tokens int")
 
 
 class _Pool:
@@ -133,7 +133,8 @@ def _pack_shard(capacity: int, docs: list[tuple[int, int]]) -> Iterator[tuple[in
 def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(limit_id, capacity_tokens, container_id, doc_id, piece_no, token_from, token_to): where each document lies.
 
-    Every document, also a repeated id, is placed once for each limit with a positive capacity; other limits give no rows.
+    Every document, also a repeated id, is placed once for each limit with a positive capacity; other limits give no rows, nor
+    do documents without an id, which nothing could refer to.
     Documents of no tokens lie in a container without using it. Only documents above the capacity have several pieces.
     """
     counts = cut(token_counts(documents, tokenizer))

@@ -454,7 +454,8 @@ def sanitised(fields: DataFrame, allow_terms: DataFrame) -> DataFrame:
     """
     items = personal_items(fields, allow_terms).groupBy("field_name", "record_id").agg(F.array_sort(F.collect_set(F.struct("start", "n_chars", "kind", "surface"))).alias("_items"))
     shown = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])
-    joined = fields.join(items, ["field_name", "record_id"], "left").withColumn("_shown", shown)
+    items = items.withColumnsRenamed({"field_name": "_f", "record_id": "_r"})  # an id may be null
+    joined = fields.join(items, (F.col("field_name") == F.col("_f")) & F.col("record_id").eqNullSafe(F.col("_r")), "left").withColumn("_shown", shown)
     held = F.expr("filter(_items, i -> substring(text, i.start + 1, i.n_chars) = i.surface)")
     done = F.expr(
         "aggregate(_held, struct('' AS out, 0 AS at), (acc, i) -> struct(concat(acc.out, substring(text, acc.at + 1, i.start - acc.at), element_at(_shown, i.kind)) AS out, i.start + i.n_chars AS at),"

@@ -105,7 +105,8 @@ class Scanned(NamedTuple):
 
 
 def scan(documents: DataFrame, min_chars: int = MIN_CHARS) -> Scanned:
-    """Classes of exact copies, and the runs of their first members, in one pass over the texts. An id names one text."""
+    """Classes of exact copies, and the runs of their first members, in one pass over the texts. An id names one text; rows without an id belong to
+    no class and share nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -316,7 +317,7 @@ def shared_share(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # a text's windows are no more than its characters
     each = windows.groupBy("doc_id").agg(F.max("n_holders").alias("n_holders"), F.collect_list("s").alias("_all"), F.collect_list(F.when(F.col("later"), F.col("s"))).alias("_later"))
     per = each.select("doc_id", "n_holders", covered("_all").alias("shared"), covered("_later").alias("repeated"))
-    textless = documents.where("text is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_copies"), F.lit(0).alias("n_chars"))
+    textless = documents.where("text is null or doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_copies"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
     rows = scanned.classes.unionByName(textless).distinct().join(per.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     copied = (F.col("n_copies") > 1) & (F.col("n_chars") >= min_chars)
     zero = lambda c: F.coalesce(c, F.lit(0))
