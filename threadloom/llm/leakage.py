@@ -2,7 +2,8 @@
 
 Each task walks its partition, collects documents to a shard of bounded size, and builds the shard's FM-index over words:
 suffix array by prefix doubling, Burrows-Wheeler transform, wavelet tree with constant-time ranks, and suffix positions
-sampled every few words. All test phrases (every window of ``MIN_WORDS`` words of every item) are searched backwards at
+sampled every few words. Words that no test item has part phrases as the end of a document does, so stretches between them
+that are shorter than a phrase can hold none and are left out of the index. All test phrases (every window of ``MIN_WORDS`` words of every item) are searched backwards at
 once, the ranges found are located through the sampled positions, and the located words are merged to removal spans.
 
 The test items are the stated query set: they are sent to every task, each shard is indexed once, and the windows are searched
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from threadloom.session import spread
 
 MIN_WORDS = 12
-#: Words in a shard, windows searched at once, and characters of test items sent to the tasks in one pass over the corpus.
+#: Indexed words in a shard, windows searched at once, and characters of test items sent to the tasks in one pass over the corpus.
 SHARD_WORDS, WINDOW_BLOCK, ITEM_CHARS = 400_000, 200_000, 64_000_000
 SAMPLE_EVERY = 16
 _WORD = re.compile(r"[^\W_]+")
@@ -175,10 +176,21 @@ class _Windows:
             yield self.codes[starts[:, None] + np.arange(self.width)], self.owners[i : i + WINDOW_BLOCK]
 
 
-def _search_shard(docs: list[tuple[int, str]], codes: list[np.ndarray], windows: _Windows) -> pd.DataFrame:
-    """(item_id, doc_id, word_from, word_to, char_from, char_to): merged spans of one shard."""
-    text = np.concatenate([*(x for c in codes for x in (c, [1])), [0]]).astype(np.int64)
-    starts = np.cumsum([0] + [len(c) + 1 for c in codes])
+def _stretches(coded: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The stretches of ``width`` or more words of items, each with a parting word behind it, and where each word stood."""
+    parts = np.flatnonzero(coded == 1)
+    begins, ends = np.concatenate(([0], parts + 1)), np.concatenate((parts, [len(coded)]))
+    long = ends - begins >= width
+    if not long.any():
+        return None
+    where = np.concatenate([np.arange(a, b + 1) for a, b in zip(begins[long], ends[long])])
+    return np.append(coded, 1)[where], where
+
+
+def _search_shard(docs: list[tuple[int, str, np.ndarray]], codes: list[np.ndarray], windows: _Windows) -> pd.DataFrame:
+    """(item_id, doc_id, word_from, word_to, char_from, char_to): merged spans of one shard of (id, text, places of its words)."""
+    text = np.concatenate([*codes, [0]]).astype(np.int64)
+    starts = np.cumsum([0] + [len(c) for c in codes])
     index = FMIndex(text, len(windows.vocabulary) + 2)
     items, at = [], []
     for patterns, owners in windows.blocks():
@@ -190,7 +202,8 @@ def _search_shard(docs: list[tuple[int, str]], codes: list[np.ndarray], windows:
     doc = np.searchsorted(starts, position, side="right") - 1
     spans: list[list[int]] = []
     for k in np.lexsort((position, doc, item)):
-        own, d, a = int(item[k]), int(doc[k]), int(position[k] - starts[doc[k]])
+        own, d = int(item[k]), int(doc[k])
+        a = int(docs[d][2][position[k] - starts[d]])
         if spans and spans[-1][0] == own and spans[-1][1] == d and a <= spans[-1][3]:
             spans[-1][3] = max(spans[-1][3], a + windows.width)
         else:
@@ -235,12 +248,11 @@ def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
             vocabulary, docs, codes, size = windows.vocabulary, [], [], 0
             for batch in batches:
                 for doc, text in zip(batch["doc_id"], batch["text"]):
-                    # words of no item are in no phrase: they part phrases as the end of a document does
                     coded = np.fromiter((vocabulary.get(w, 1) for w in words_of(text)), dtype=np.int64)
-                    if len(coded) >= min_words:
-                        docs.append((doc, text))
-                        codes.append(coded)
-                        size += len(coded) + 1
+                    if (kept := _stretches(coded, min_words)) is not None:
+                        docs.append((doc, text, kept[1]))
+                        codes.append(kept[0])
+                        size += len(kept[0])
                     if size >= SHARD_WORDS:
                         yield _search_shard(docs, codes, windows)
                         docs, codes, size = [], [], 0
