@@ -310,7 +310,10 @@ def scan_fields(fields: DataFrame, allowed: list[tuple[str, str]], known: frozen
 
 
 def name_span(tokens: list[str], gaps: list[str], disclosure: list[float], own: frozenset) -> list[tuple[int, int]]:
-    """Index ranges [i, j) of the names in a capitalised sequence, given each token's disclosure (negative where unknown)."""
+    """Index ranges [i, j) of the names in a capitalised sequence, given each token's disclosure (negative where unknown).
+
+    A term that discloses too little alone belongs to a name next to one that does.
+    """
     n, out = len(tokens), []
     keys = [_key(t) for t in tokens]
     strong = [d >= MIN_DISCLOSURE and k not in own for d, k in zip(disclosure, keys)]
@@ -385,14 +388,14 @@ def personal_items(fields: DataFrame, allow_terms: DataFrame) -> DataFrame:
         rows = stats.collect()
         terms = [r for r in rows if r["kind"] == "term"]
         n_uses = sum(r["n"] for r in terms) + PRIOR_USES
-        scores = {r["term"]: (1 + math.log2(min(1.0, r["n_slot"] / r["n"])) / person_bits if r["n_slot"] else 0.0, -math.log2(r["n"] / n_uses)) for r in terms}
+        scores = {r["term"]: (max(0.0, 1 + math.log2(min(1.0, r["n_slot"] / r["n"])) / person_bits) if r["n_slot"] else 0.0, -math.log2(r["n"] / n_uses)) for r in terms}
         shared, scored = sc.broadcast(scores), sequences
     else:
         stats = cut(stats)
         rows = stats.where("kind <> 'term'").collect()
         terms = stats.where("kind = 'term'")
         n_uses = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + PRIOR_USES
-        given = F.when(F.col("n_slot") > 0, 1 + F.log2(F.least(F.lit(1.0), F.col("n_slot") / F.col("n"))) / person_bits).otherwise(0.0)
+        given = F.when(F.col("n_slot") > 0, F.greatest(F.lit(0.0), 1 + F.log2(F.least(F.lit(1.0), F.col("n_slot") / F.col("n"))) / person_bits)).otherwise(0.0)
         given = terms.select("term", F.struct(given.alias("d"), (-F.log2(F.col("n") / n_uses)).alias("bits")).alias("given"))
         keyed = sequences.withColumn("_id", F.xxhash64("field_name", "record_id", "start", "tokens"))
         each = keyed.select("_id", F.posexplode("tokens").alias("at", "token")).select("_id", "at", term.alias("term")).join(given, "term", "left")

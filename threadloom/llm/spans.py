@@ -288,7 +288,7 @@ def without_repeats(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFra
 
     n_removed is ``repeated_chars`` of ``shared_share``. The first occurrence of a span stays; null texts stay null.
     """
-    later = document_spans(documents, min_chars).where("not is_first").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("from_char", "to_char"))).alias("_later"))
+    later = cut(document_spans(documents, min_chars).where("not is_first").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("from_char", "to_char"))).alias("_later")))
     kept = F.expr(
         "aggregate(_later, struct('' AS out, 0 AS at), (acc, s) -> struct(concat(acc.out, substring(text, acc.at + 1, greatest(0, s.from_char - acc.at))) AS out, greatest(acc.at, s.to_char) AS at),"
         " acc -> concat(acc.out, substring(text, acc.at + 1)))"
