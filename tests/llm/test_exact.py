@@ -103,7 +103,7 @@ def test_skeletons(spark):
     assert {r.text: r.a for r in got if r.text is not None} == {r.text: r.b for r in want.collect()}
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=800, deadline=None)
 @given(text=st.text(alphabet=st.sampled_from("aeo éñ оеА\u00ad\u200b\u00a0ｎ𝐛\u0301-“ıꓮm0"), max_size=30))
 def test_class_form_is_stable_and_looks_equal(spark, text):
     own = charform.forms(spark)

@@ -34,7 +34,7 @@ _INVISIBLE = re.compile(f"[{_UNSEEN}]+")
 _JOINING = re.compile("[֐-῿]")
 _IN_WORD = re.compile(f"(?<=\\w)[{_UNSEEN}]+(?=\\w)")
 _EMOJI = re.compile("[←-⯿️\U0001f000-\U0001faff\U000e0020-\U000e007f]")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile("[^\\W_](?:[^\\W_]|[\u0300-\u036f])*")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 #: Records from which a group of look-alikes counts as hot, and the keys its rows are dealt over.
 HOT_RECORDS, SALTS = 1_000_000, 64
@@ -132,7 +132,8 @@ class Forms:
             return False
         if _LATIN.search(word.replace("ı", "")):
             return set(held) != {"ı"} or not _TURKISH.search(m.string)
-        if not all(c in self._strict for c in word) or (len(word) == 1 and word.islower() and _script(word) == "GREEK"):
+        letters = [c for c in word if c.isalpha()]
+        if not letters or not all(c in self._strict for c in letters) or (len(word) == 1 and word.islower() and _script(word) == "GREEK"):
             return False  # a Greek letter alone is a symbol
         text, script = m.string, _script(word[0])
         before, after = re.search(r"([^\W\d_]+)[^\w\n]*\Z", text[max(0, m.start() - 40) : m.start()]), re.match(r"[^\w\n]*([^\W\d_]+)", text[m.end() : m.end() + 40])
